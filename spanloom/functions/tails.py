@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 _log_gamma = np.vectorize(lgamma, otypes=[float])
@@ -69,23 +70,23 @@ def _series(values: np.ndarray) -> pd.Series:
     return pd.Series(values).replace({np.nan: None}).astype("Float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _series(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_p(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     f, a, b = (s.to_numpy(float) for s in (f, df1, df2))
     return _series(regularized_beta(b / 2, a / 2, b / (b + a * f)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_q(p: pd.Series, df: pd.Series) -> pd.Series:
     return _series(t_quantile(p.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
     from math import erfc
 

@@ -78,8 +78,9 @@ def mean_time(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFram
     for col in cols:
         kind = df.schema[col].dataType.simpleString()
         micros = F.unix_micros(F.col(col).cast("timestamp"))
-        whole = F.avg(micros.cast("decimal(20,0)"))
-        out.append(F.timestamp_micros(F.floor(whole).cast("long")).cast(kind).alias(col))
+        total, n = F.sum(micros.cast("decimal(20,0)")), F.count(col).cast("decimal(20,0)")
+        whole = (total - F.pmod(total, n)) / n
+        out.append(F.timestamp_micros(whole.cast("long")).cast(kind).alias(col))
     return df.groupBy(*by).agg(*out)
 
 
