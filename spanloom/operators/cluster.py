@@ -94,11 +94,12 @@ def _refine(cells: pd.DataFrame, k: int, budget: int) -> tuple[list[float], list
     if kk < k:
         active = wide
     edge = bound[0::2] >= slack
-    edge[cuts] = True
+    chosen = np.zeros(len(n) + 1, dtype=bool)
+    chosen[cuts] = edge[cuts] = True
 
     spans: list[list] = []  # [low, high, active, number of cells]
     for i in range(len(n)):
-        if spans and spans[-1][2] == bool(active[i]) and (active[i] or not edge[i]):
+        if spans and spans[-1][2] == bool(active[i]) and not (chosen[i] if active[i] else edge[i]):
             spans[-1][1], spans[-1][3] = hi[i], spans[-1][3] + 1
         else:
             spans.append([lo[i], hi[i], bool(active[i]), 1])
@@ -108,7 +109,8 @@ def _refine(cells: pd.DataFrame, k: int, budget: int) -> tuple[list[float], list
         a, b = spans[i], spans.pop(i + 1)
         spans[i] = [a[0], b[1], True, a[3] + b[3]]
     n_active = sum(p[3] for p in spans if p[2])
-    pieces = [max(4, budget * p[3] // n_active) if p[2] else 1 for p in spans]
+    # At least four times as fine as before, so every round makes progress.
+    pieces = [max(4 * p[3], budget * p[3] // n_active) if p[2] else 1 for p in spans]
     return breaks, [(float(p[0]), float(p[1]), int(c)) for p, c in zip(spans, pieces)], False
 
 

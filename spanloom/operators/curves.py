@@ -50,14 +50,14 @@ def _fit_array(points: Column, a: Column, k0: float, iterations: int) -> Column:
         def move(s):
             delta = F.coalesce(F.try_divide(s.gr, s.gg), F.lit(0.0))
             tries = F.transform(halves, lambda h: _let(state.k + delta * h, lambda k: F.struct(k.alias("k"), rss(k).alias("rss"))))
-            better = F.element_at(F.filter(tries, lambda c: c.rss <= state.rss), 1)
+            better = F.get(F.filter(tries, lambda c: c.rss <= state.rss), F.lit(0))
 
             def accept(best):
                 k, r = F.coalesce(best.k, state.k), F.coalesce(best.rss, state.rss)
                 small = F.abs(k - state.k) <= 1e-12 * F.abs(k)
                 return F.struct(k.alias("k"), r.alias("rss"), small.alias("converged"))
 
-            return _let(F.when(F.size(F.filter(tries, lambda c: c.rss <= state.rss)) > 0, better), accept)
+            return _let(better, accept)
 
         return F.when(state.converged, state).otherwise(_let(sums(state.k), move))
 
@@ -67,46 +67,39 @@ def _fit_array(points: Column, a: Column, k0: float, iterations: int) -> Column:
 
 
 def _fit_long(points: DataFrame, by: list[str], k0: float, iterations: int) -> DataFrame:
-    """Fit groups too long for one row: one aggregate pass per iteration."""
-    tops = points.groupBy(*by).agg(F.max("y").alias("a"), F.count(F.lit(1)).alias("n"))
-    state = tops.withColumns(
+    """Fit groups too long for one row: one aggregate pass per iteration.
+
+    Each pass evaluates the full step and a few halvings of it at once, and
+    keeps the first that does not raise the residual sum. When none does, the
+    step shrinks and the next pass goes on from there.
+    """
+    scales = [2.0**-h for h in range(4)]
+    state = points.groupBy(*by).agg(F.max("y").alias("a"), F.count(F.lit(1)).alias("n")).withColumns(
         {"k": F.lit(k0), "delta": F.lit(0.0), "rss": F.lit(float("inf")), "gg": F.lit(0.0), "converged": F.lit(False)}
     )
     names = [*by, "a", "n", "k", "delta", "rss", "gg", "converged"]
     done = None
     for _ in range(iterations + 1):
         joined = join_null_safe(points, state, by, "inner")
-        sums = []
-        for h in range(HALVINGS + 1):
-            k = F.col("k") + F.col("delta") * 2.0**-h
+        sums, tries = [], []
+        for i, scale in enumerate(scales):
+            k = F.col("k") + F.col("delta") * scale
             g = F.col("a") * F.col("x") * F.exp(-k * F.col("x"))
             r = F.col("y") - curve(F.col("a"), k, F.col("x"))
-            sums += [F.sum(r * r).alias(f"rss{h}"), F.sum(g * r).alias(f"gr{h}"), F.sum(g * g).alias(f"gg{h}")]
+            sums += [F.sum(r * r).alias(f"rss{i}"), F.sum(g * r).alias(f"gr{i}"), F.sum(g * g).alias(f"gg{i}")]
+            step = F.coalesce(F.try_divide(F.col(f"gr{i}"), F.col(f"gg{i}")), F.lit(0.0))
+            tries.append(F.struct(k.alias("k"), F.col(f"rss{i}").alias("rss"), step.alias("delta"), F.col(f"gg{i}").alias("gg")))
         kept = [F.max(c).alias(c) for c in ("a", "n", "k", "delta", "rss", "gg")]
-        agg = joined.groupBy(*by).agg(*kept, *sums)
-        tries = F.array(
-            *[
-                F.struct(
-                    (F.col("k") + F.col("delta") * 2.0**-h).alias("k"),
-                    F.col(f"rss{h}").alias("rss"),
-                    F.coalesce(F.try_divide(F.col(f"gr{h}"), F.col(f"gg{h}")), F.lit(0.0)).alias("delta"),
-                    F.col(f"gg{h}").alias("gg"),
-                )
-                for h in range(HALVINGS + 1)
-            ]
-        )
-        better = F.filter(tries, lambda c: c.rss <= F.col("rss"))
-        agg = agg.withColumn("__b", F.try_element_at(better, F.lit(1)))
-        settled = F.col("__b").isNull() | (
-            F.abs(F.col("__b.delta")) <= 1e-12 * F.abs(F.col("__b.k"))
-        )
+        better = F.get(F.filter(F.array(*tries), lambda c: c.rss <= F.col("rss")), F.lit(0))
+        same = F.struct("k", "rss", (F.col("delta") * scales[-1] / 2).alias("delta"), "gg")
+        agg = joined.groupBy(*by).agg(*kept, *sums).withColumn("__b", F.coalesce(better, same))
         moved = agg.withColumns(
             {
-                "converged": settled,
-                **{c: F.coalesce(F.col(f"__b.{c}"), F.col(c)) for c in ("k", "delta", "rss", "gg")},
+                **{c: F.col(f"__b.{c}") for c in ("k", "delta", "rss", "gg")},
+                "converged": F.abs(F.col("__b.delta")) <= 1e-10 * F.abs(F.col("__b.k")),
             }
-        ).select(*names)
-        moved = cut_lineage(moved)  # one row per long curve
+        )
+        moved = cut_lineage(moved.select(*names))  # one row per long curve
         finished = moved.where("converged")
         done = finished if done is None else done.unionByName(finished)
         state = moved.where("not converged")

@@ -102,7 +102,7 @@ def test_kmeans_refinement_is_optimal(spark, shape):
     frame = pd.concat([frame, pd.DataFrame({"g": "b", "v": np.arange(8.0)})])
     df = spark.createDataFrame(frame)
     exact = kmeans_1d(df, ["g"], "v", 4).toPandas()
-    refined = kmeans_1d(df, ["g"], "v", 4, max_cells=64).toPandas()
+    refined = kmeans_1d(df, ["g"], "v", 4, max_cells=256).toPandas()
     for g in ("a", "b"):
         one, two = exact[exact.g == g], refined[refined.g == g]
         assert set(one.cluster) == {1, 2, 3, 4} == set(two.cluster)
