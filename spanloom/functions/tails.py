@@ -93,6 +93,11 @@ def _erfc(x: pd.Series) -> pd.Series:
     return _series(np.array([erfc(v) for v in x.to_numpy(float)]))
 
 
+# Not declared deterministic, so that filters on a p-value stay above the
+# projection that computes it and no batch is evaluated twice.
+_t_p, _f_p, _t_q, _erfc = (udf.asNondeterministic() for udf in (_t_p, _f_p, _t_q, _erfc))
+
+
 def t_p_value(t: Column, df: Column) -> Column:
     """Two-sided p of a t statistic."""
     return _t_p(t.cast("double"), df.cast("double"))

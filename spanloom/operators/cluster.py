@@ -81,7 +81,8 @@ def _refine(cells: pd.DataFrame, k: int, budget: int) -> tuple[list[float], list
     if k < 2:
         return breaks, [], True
     n, total = np.diff(w), np.diff(s)
-    wide = hi > lo
+    # A cell proven to hold no cut stays whole; only its edges remain candidates.
+    wide = (hi > lo) & ~cells["frozen"].to_numpy(bool)
     first = np.where(wide, (n * hi - total) / np.where(wide, hi - lo, 1.0), 0.0)
     corner_w, corner_s = w[:-1] + first, s[:-1] + first * lo
     pw, ps = np.empty(2 * len(n) + 1), np.empty(2 * len(n) + 1)
@@ -189,6 +190,7 @@ def _breaks(values: DataFrame, keys: list[str], k: int, max_cells: int) -> DataF
             F.sum("__n").alias("n"),
             F.sum(offset).alias("s"),
             F.max("__centre").alias("centre"),
+            (F.max("__p.pieces") == 1).alias("frozen"),
         )
         found = cells.groupBy(*keys).applyInPandas(search, f"{fields}, __breaks array<double>, __spans {span}, __done boolean")
         state = cut_lineage(found)
