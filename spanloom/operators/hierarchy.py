@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.joins import anti, join_null_safe, semi
@@ -181,12 +181,15 @@ def covariance(edges: DataFrame) -> DataFrame:
     return a.join(b, ["tree_id", "ancestor"]).groupBy("tree_id", "tip_i", "tip_j").agg(F.sum("__l").alias("shared"))
 
 
-def scale_by_lambda(edges: DataFrame, lam: Column) -> DataFrame:
-    """Inner branches times lambda, tips stretched so that their height stays."""
+def scale_by_lambda(edges: DataFrame, grid: DataFrame) -> DataFrame:
+    """Edges once per ``grid(tree_id, lam)`` value: inner branches times lambda.
+
+    Tips are stretched so that their distance from the root stays.
+    """
     top = heights(edges).withColumnRenamed("node", "child")
-    joined = edges.join(top, ["tree_id", "child"])
-    tip = F.col("height") - lam * (F.col("height") - F.col("length"))
-    scaled = F.when(F.col("is_tip"), tip).otherwise(F.col("length") * lam)
+    joined = edges.join(top, ["tree_id", "child"]).join(grid, "tree_id")
+    tip = F.col("height") - F.col("lam") * (F.col("height") - F.col("length"))
+    scaled = F.when(F.col("is_tip"), tip).otherwise(F.col("length") * F.col("lam"))
     return joined.withColumn("length", F.when(F.col("parent").isNotNull(), scaled)).drop("height")
 
 
@@ -209,15 +212,15 @@ def node_sums(edges: DataFrame, values: DataFrame, xs: Sequence[str], keys: Sequ
     tips = edges.where("is_tip").join(values, [*by, "label"])
     bad = (F.col("length") <= 0) | F.col("length").isNull()
     v = F.when(bad, F.raise_error(F.lit("tip branches must be positive"))).otherwise(F.col("length"))
-    carry = tips.select(*by, F.col("parent").alias("node"), F.col("child").alias("from"), v.alias("v"), *xs)
+    carry = tips.select(*by, F.col("parent").alias("node"), F.col("child").alias("from"), v.alias("__v"), *xs)
     pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
     done = None
     while True:
-        w = 1 / F.col("v")
+        w = 1 / F.col("__v")
         sums = carry.groupBy(*by, "node").agg(
             F.count(F.lit(1)).alias("__n"),
             F.sum(w).alias("weight"),
-            F.sum(F.log("v")).alias("__lv"),
+            F.sum(F.log("__v")).alias("__lv"),
             *[F.sum(w * F.col(x)).alias(f"__m_{x}") for x in xs],
             *[F.sum(w * F.col(a) * F.col(b)).alias(f"__q_{a}_{b}") for a, b in pairs],
         )
@@ -225,7 +228,7 @@ def node_sums(edges: DataFrame, values: DataFrame, xs: Sequence[str], keys: Sequ
         level = ready.select(
             *by, "node", F.col("__up").alias("up"), F.col("__c").alias("children"), "weight",
             (F.col("__lv") + F.log("weight")).alias("logdet"),
-            (F.col("__own") + 1 / F.col("weight")).alias("v"),
+            (F.col("__own") + 1 / F.col("weight")).alias("__v"),
             *[(F.col(f"__m_{x}") / F.col("weight")).alias(x) for x in xs],
             *[(F.col(f"__q_{a}_{b}") - F.col(f"__m_{a}") * F.col(f"__m_{b}") / F.col("weight")).alias(f"q_{a}_{b}") for a, b in pairs],
         )
@@ -234,7 +237,7 @@ def node_sums(edges: DataFrame, values: DataFrame, xs: Sequence[str], keys: Sequ
             return done
         done = level if done is None else done.unionByName(level)
         waiting = carry.join(level, [*by, "node"], "left_anti")
-        risen = level.where(F.col("up").isNotNull()).select(*by, F.col("up").alias("node"), F.col("node").alias("from"), "v", *xs)
+        risen = level.where(F.col("up").isNotNull()).select(*by, F.col("up").alias("node"), F.col("node").alias("from"), "__v", *xs)
         carry = cut_lineage(waiting.unionByName(risen))
 
 
@@ -264,8 +267,8 @@ def contrast_weights(edges: DataFrame) -> DataFrame:
     factor in ``x' C^-1 x`` centred at the root.
     """
     tips = edges.where("is_tip").select("tree_id", "label").withColumn("__one", F.lit(0.0))
-    sums = node_sums(edges, tips, ["__one"]).select("tree_id", "node", "weight", "v", "up")
-    inner = sums.select("tree_id", F.col("node").alias("child"), F.col("v").alias("__v"), F.col("weight").alias("__w"))
+    sums = node_sums(edges, tips, ["__one"]).select("tree_id", "node", "weight", "__v", "up")
+    inner = sums.select("tree_id", F.col("node").alias("child"), "__v", F.col("weight").alias("__w"))
     above = sums.select("tree_id", F.col("node").alias("parent"), F.col("weight").alias("__wp"))
     full = edges.join(inner, ["tree_id", "child"], "left").join(above, ["tree_id", "parent"], "left")
     v = F.when(F.col("is_tip"), F.col("length")).otherwise(F.col("__v"))

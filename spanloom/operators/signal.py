@@ -73,7 +73,7 @@ def log_likelihood(sums: DataFrame, x: str) -> DataFrame:
 
 def lambda_profile(edges: DataFrame, values: DataFrame, x: str, grid: DataFrame) -> DataFrame:
     """``tree_id, lam, log_lik`` for every value of ``grid(tree_id, lam)``."""
-    many = scale_by_lambda(edges.join(grid, "tree_id"), F.col("lam")) if "lam" not in edges.columns else edges
+    many = scale_by_lambda(edges, grid)
     tips = values.join(grid, "tree_id")
     return log_likelihood(tree_sums(many, tips, [x], ["lam"]), x).select("tree_id", "lam", "log_lik")
 
