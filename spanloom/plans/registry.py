@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("columns", "joins", "aggregates", "windows", "reshape", "scalars", "measures", "stats", "trees", "gates", "text", "sources")
+MODULES = ("columns", "joins", "aggregates", "windows", "reshape", "scalars", "measures", "stats", "trees", "gates", "text", "sources", "products")
 
 
 class Tables:

@@ -7,9 +7,8 @@ lines, parses them back, and must return the table's own values.
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalar as S
-from spanloom.operators import joins as J
-from spanloom.operators import ranks as W
 from spanloom.operators import reshape as R
+from spanloom.operators.columns import tag_rules
 from spanloom.plans.aggregates import rounded
 from spanloom.plans.registry import query
 from spanloom.sinks.files import csv_with_header
@@ -31,8 +30,6 @@ SELECT l_orderkey, l_linenumber, NULLIF(l_discount, 0) AS yield_pre, l_tax AS yi
 def _(t):
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", F.nullif(F.col("l_discount"), F.lit(0.0)).alias("yield_pre"), F.col("l_tax").alias("yield_24hr"))
     back = csv_back(li, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, yield_pre double, yield_24hr double")
-    from spanloom.operators.columns import tag_rules
-
     flag = F.col("l_returnflag")
     tagged = tag_rules(back, "section", [((flag == "A") & (F.col("l_linestatus") == "F"), "si"), (flag == "R", "si")], "main")
     return tagged.select("l_orderkey", "l_linenumber", "yield_pre", "yield_24hr", "section")
@@ -68,7 +65,7 @@ def logger_lines(t):
     """One logger file per user: title on odd users, ISO dates on even ones."""
     e = t.events.select("user_id", "event_id", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), "value", "event_type")
     odd = F.col("user_id") % 2 == 1
-    rh = F.when(F.col("event_type") != "error", F.format_string("%.2f", F.col("value") / 2)).otherwise("")
+    rh = F.when(F.col("event_type") != "error", F.format_string("%.3f", F.col("value") / 2)).otherwise("")
     temp = F.format_string("%.2f", F.col("value"))
     iso = F.concat_ws(",", F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"), temp, rh)
     us = F.concat_ws(",", F.col("event_id").cast("string"), F.date_format("ts", "MM/dd/yyyy HH:mm:ss"), temp, rh)
@@ -85,7 +82,7 @@ def logger_lines(t):
 
 
 @query("s08_logger_export", """
-SELECT 'u' || user_id AS file, date_trunc('second', ts) AS date_time, round(value, 2) AS temp, CAST(printf('%.2f', value / 2) AS DOUBLE) AS rh, '10' || user_id AS serial_no FROM events WHERE event_type <> 'error'""")
+SELECT 'u' || user_id AS file, date_trunc('second', ts) AS date_time, round(value, 2) AS temp, round(value / 2, 3) AS rh, '10' || user_id AS serial_no FROM events WHERE event_type <> 'error'""")
 def _(t):
     out = G.parse_logger_lines(logger_lines(t))
     return out.withColumn("date_time", F.col("date_time").cast("timestamp_ntz"))
