@@ -18,6 +18,9 @@ from spanloom.operators.ranks import attach, row_numbers
 from spanloom.session import cut_lineage
 
 
+MAX_DENSE_TIPS = 2000
+
+
 def _empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
@@ -167,18 +170,30 @@ def common_ancestor(edges: DataFrame, tips: DataFrame, label: str = "label") ->
     return full.groupBy("tree_id").agg(F.min_by("ancestor", "__far").alias("node"))
 
 
-def covariance(edges: DataFrame) -> DataFrame:
-    """``tree_id, tip_i, tip_j, shared``: branch length two tips share.
-
-    The output has one row per pair, as asked for; statistics use
-    ``tree_sums`` instead and never form it.
-    """
+def shared_length(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``tree_id, tip_i, tip_j, shared``: branch length shared by each listed pair of tips."""
     length = edges.select("tree_id", F.col("child").alias("ancestor"), F.coalesce("length", F.lit(0.0)).alias("__l"))
     tips = edges.where("is_tip").select("tree_id", F.col("child").alias("node"), "label")
-    up = paths(edges).join(tips, ["tree_id", "node"]).join(length, ["tree_id", "ancestor"])
-    a = up.select("tree_id", "ancestor", F.col("label").alias("tip_i"), "__l")
-    b = up.select("tree_id", "ancestor", F.col("label").alias("tip_j"))
-    return a.join(b, ["tree_id", "ancestor"]).groupBy("tree_id", "tip_i", "tip_j").agg(F.sum("__l").alias("shared"))
+    up = cut_lineage(paths(edges).join(tips, ["tree_id", "node"]).join(length, ["tree_id", "ancestor"]))
+    a = up.select("tree_id", F.col("label").alias("tip_i"), "ancestor", "__l")
+    b = up.select("tree_id", F.col("label").alias("tip_j"), F.col("ancestor").alias("__other"))
+    lines = pairs.join(a, ["tree_id", "tip_i"]).join(b, ["tree_id", "tip_j"])
+    same = F.when(F.col("ancestor") == F.col("__other"), F.col("__l")).otherwise(0.0)
+    return lines.groupBy("tree_id", "tip_i", "tip_j").agg(F.sum(same).alias("shared"))
+
+
+def covariance(edges: DataFrame, max_tips: int = MAX_DENSE_TIPS) -> DataFrame:
+    """Shared length of every pair of tips, for trees small enough for dense use.
+
+    Larger trees are refused: their statistics come from ``tree_sums``, which
+    never forms the pairs.
+    """
+    tips = edges.where("is_tip").select("tree_id", "label")
+    most = tips.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+    if most > max_tips:
+        raise ValueError(f"a tree has {most} tips; at most {max_tips} for a dense covariance")
+    pairs = tips.withColumnRenamed("label", "tip_i").join(tips.withColumnRenamed("label", "tip_j"), "tree_id")
+    return shared_length(edges, pairs)
 
 
 def scale_by_lambda(edges: DataFrame, grid: DataFrame) -> DataFrame:

@@ -16,10 +16,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from spanloom.operators.joins import join_null_safe
 from spanloom.operators.ranks import attach, row_numbers
 from spanloom.operators.reshape import to_long
+from spanloom.session import cut_lineage
 
 DRAWS = "response string, spec string, chain int, iter long, param string, value double"
 MAX_LEVELS = 200
@@ -300,8 +302,6 @@ def effective_size(draws: DataFrame, by: Sequence[str], chain: str = "chain", or
 
 
 def _ess():
-    from pyspark.sql.types import DoubleType
-
     @F.pandas_udf(DoubleType())
     def ess(acov: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([ar_effective_size(np.asarray(a, float), int(k)) for a, k in zip(acov, n)])
@@ -332,6 +332,7 @@ def ar_effective_size(acov: np.ndarray, n: int) -> float:
 def posterior_table(draws: DataFrame, prob: float = 0.95, by: Sequence[str] = ("response", "spec", "param")) -> DataFrame:
     """Mean, HPD interval, effective size and two-sided MCMC p of every parameter."""
     by = list(by)
+    draws = cut_lineage(draws)  # read several times below
     n = F.count(F.lit(1))
     above = F.count(F.when(F.col("value") > 0, F.lit(1))) / n
     base = draws.groupBy(*by).agg(
@@ -343,6 +344,7 @@ def posterior_table(draws: DataFrame, prob: float = 0.95, by: Sequence[str] = ("
 
 def best_parameters(draws: DataFrame, prob: float = 0.95) -> DataFrame:
     """Fixed effects, intercepts left out, of the best model per response."""
+    draws = cut_lineage(draws)
     best = score_dic(draws).where("delta_dic = 0").select("response", "spec")
     other = F.col("param").isin("group_var", "units_var", "deviance", "deviance_at_mean") | F.contains("param", F.lit("Intercept"))
     used = join_null_safe(draws.where(~other), best, ["response", "spec"], "left_semi")

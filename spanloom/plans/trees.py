@@ -38,24 +38,20 @@ def traits(t):
     return joined.select(F.concat(F.lit("s"), "s_suppkey").alias("tip"), F.col("s_acctbal").alias("x"), "y")
 
 
-@query("s19_read_trees", _FOREST + "SELECT tree_id, child, parent IS NULL AS is_root, round(length, 6) AS length, is_tip FROM edges")
-def _(t):
-    # Write every region's tree as text, then read the texts back as edges.
-    e = forest(t)
-
-    def clause(df, name):
-        return df.groupBy("tree_id", "parent").agg(
-            F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(name)), ","), F.lit(")")).alias("text")
-        )
-
-    tips = e.where("is_tip").withColumn("mark", F.concat_ws(":", "child", "length"))
-    nations = clause(tips, "mark").withColumnRenamed("parent", "child")
-    middle = e.where("parent = 'r'").join(nations, ["tree_id", "child"])
-    middle = middle.withColumn("mark", F.concat("text", "child", F.lit(":"), F.col("length").cast("string"))).drop("text")
-    trees = clause(middle, "mark").select("tree_id", F.concat("text", F.lit("r;")).alias("text"))
-    edges = edges_of(trees, "tree_id", "text")
-    name = F.when(F.col("is_tip"), F.col("child")).otherwise(F.col("label"))
-    return rounded(edges.select("tree_id", name.alias("child"), F.col("parent").isNull().alias("is_root"), "length", "is_tip"), "length")
+@query("s19_read_trees", """
+WITH tip AS (SELECT l_orderkey AS tree_id, l_returnflag AS flag, l_returnflag || l_linenumber AS tip, sum(l_quantity) AS len FROM lineitem GROUP BY 1, 2, l_linenumber),
+ mid AS (SELECT tree_id, flag, CAST(count(*) AS DOUBLE) AS len FROM tip GROUP BY ALL)
+SELECT tree_id, tip AS label, len AS length, true AS is_tip, false AS is_root FROM tip
+UNION ALL SELECT tree_id, flag, len, false, false FROM mid UNION ALL SELECT DISTINCT tree_id, 'root', NULL, false, true FROM mid""")
+def _(t):
+    # One small tree per order, order -> flag -> line, written as text and read back.
+    # A tree has at most one tip per flag and line number.
+    tips = t.lineitem.groupBy(F.col("l_orderkey").alias("tree_id"), "l_returnflag", "l_linenumber").agg(F.sum("l_quantity").alias("len"))
+    mark = F.concat("l_returnflag", F.col("l_linenumber").cast("string"), F.lit(":"), F.col("len").cast("string"))
+    inner = tips.groupBy("tree_id", "l_returnflag").agg(F.array_join(F.collect_list(mark), ",").alias("body"), F.count(F.lit(1)).alias("n"))
+    clause = F.concat(F.lit("("), "body", F.lit(")"), "l_returnflag", F.lit(":"), F.col("n").cast("string"))
+    trees = inner.groupBy("tree_id").agg(F.concat(F.lit("("), F.array_join(F.collect_list(clause), ","), F.lit(")root;")).alias("text"))
+    return edges_of(trees, "tree_id", "text").select("tree_id", "label", "length", "is_tip", F.col("parent").isNull().alias("is_root"))
 
 
 _KEPT = _FOREST + """,
@@ -95,11 +91,17 @@ def _(t):
     return H.common_ancestor(forest(t), rich)
 
 
-@query("e05_covariance", _FOREST + """
-SELECT a.tree_id, a.tip AS tip_i, b.tip AS tip_j, round(CASE WHEN a.tip = b.tip THEN a.nl + a.sl WHEN a.nation = b.nation THEN a.nl ELSE 0::DOUBLE END, 6) AS shared
-FROM tips a JOIN tips b ON a.tree_id = b.tree_id""")
+@query("e05_covariance", _FOREST + """,
+ o AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY nation, tip) AS pos FROM tips)
+SELECT a.tree_id, a.tip AS tip_i, b.tip AS tip_j, round(CASE WHEN a.nation = b.nation THEN a.nl ELSE 0::DOUBLE END, 6) AS shared FROM o a JOIN o b ON a.tree_id = b.tree_id AND b.pos = a.pos + 1
+UNION ALL SELECT tree_id, tip, tip, round(nl + sl, 6) FROM tips""")
 def _(t):
-    return rounded(H.covariance(forest(t)), "shared")
+    # Variances and the covariances of neighbouring tips; the pairs grow with the tips.
+    e = forest(t)
+    order = H.tip_order(e)
+    here = order.select("tree_id", F.col("label").alias("tip_i"), F.explode(F.array(F.col("position"), F.col("position") + 1)).alias("position"))
+    pairs = here.join(order.withColumnRenamed("label", "tip_j"), ["tree_id", "position"]).drop("position")
+    return rounded(H.shared_length(e, pairs), "shared")
 
 
 _PEEL = _FOREST + """,

@@ -23,7 +23,18 @@ def get_spark(master: str | None = None, **conf: str) -> SparkSession:
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the operators count on, for a session built elsewhere.
+
+    Skewed joins are split even where a following aggregate on the same key
+    then needs a shuffle of its own.
+    """
+    for key in ("enabled", "skewJoin.enabled", "forceOptimizeSkewedJoin"):
+        spark.conf.set(f"spark.sql.adaptive.{key}", "true")
+    return spark
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
