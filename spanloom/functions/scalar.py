@@ -88,9 +88,16 @@ def ratio(x: Column | str, y: Column | str) -> Column:
 
 
 def fixed(x: Column | str, digits: int) -> Column:
-    """Fixed-decimal text, null for null."""
-    x = _c(x).cast("double")
-    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.round(x, digits)))
+    """Fixed-decimal text, null for null.
+
+    Decimal casts stay in generated code and are several times faster than
+    ``format_string``, which is kept for sizes a decimal cannot hold.
+    """
+    x = F.round(_c(x).cast("double"), digits)
+    small = F.abs(x) < 1e18
+    return F.when(small, x.cast(f"decimal({19 + digits},{digits})").cast("string")).when(
+        x.isNotNull(), F.format_string(f"%.{digits}f", x)
+    )
 
 
 def percent_text(x: Column | str, digits: int = 0) -> Column:

@@ -44,20 +44,25 @@ def _fit_array(points: Column, a: Column, k0: float, iterations: int) -> Column:
 
         return F.aggregate(points, zero, add)
 
-    halves = F.array(*[F.lit(2.0**-h) for h in range(HALVINGS + 1)])
+    halves = F.array(*[F.lit(2.0**-h) for h in range(1, HALVINGS + 1)])
 
     def step(state, _):
         def move(s):
             delta = F.coalesce(F.try_divide(s.gr, s.gg), F.lit(0.0))
-            tries = F.transform(halves, lambda h: _let(state.k + delta * h, lambda k: F.struct(k.alias("k"), rss(k).alias("rss"))))
-            better = F.get(F.filter(tries, lambda c: c.rss <= state.rss), F.lit(0))
+
+            def attempt(h):
+                return _let(state.k + delta * h, lambda k: F.struct(k.alias("k"), rss(k).alias("rss")))
 
             def accept(best):
                 k, r = F.coalesce(best.k, state.k), F.coalesce(best.rss, state.rss)
                 small = F.abs(k - state.k) <= 1e-12 * F.abs(k)
                 return F.struct(k.alias("k"), r.alias("rss"), small.alias("converged"))
 
-            return _let(better, accept)
+            def shorter():
+                return _let(F.get(F.filter(F.transform(halves, attempt), lambda c: c.rss <= state.rss), F.lit(0)), accept)
+
+            # The full step nearly always does; its halves are tried only if not.
+            return _let(attempt(F.lit(1.0)), lambda c: F.when(c.rss <= state.rss, accept(c)).otherwise(shorter()))
 
         return F.when(state.converged, state).otherwise(_let(sums(state.k), move))
 
@@ -129,8 +134,14 @@ def fit_saturation(
     long = sizes.where(F.col("__n") > small)
     any_long = long.limit(1).count() > 0
     short = join_null_safe(points, long, by, "left_anti") if any_long else points
-    gathered = short.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.max("y").alias("a"), F.array_sort(F.collect_list(F.struct("x", "y"))).alias("__pts")
+    # Fitting is heavy per row and light in bytes: an explicit partition count
+    # keeps AQE from merging it into few tasks. It replaces the group's own
+    # shuffle and does not add one.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = short.repartition(n, *by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("y").alias("a"),
+        F.array_sort(F.collect_list(F.struct("x", "y"))).alias("__pts")
     )
     fitted = gathered.withColumn("__f", _fit_array(F.col("__pts"), F.col("a"), k0, iterations))
     out = fitted.select(*by, "n", "a", *[F.col(f"__f.{c}").alias(c) for c in ("k", "rss", "gg", "converged")])

@@ -30,6 +30,12 @@ def attach(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     return join_null_safe(df, df.groupBy(*by).agg(*named), list(by))
 
 
+def has_hot_group(df: DataFrame, by: Sequence[str], hot_rows: int) -> bool:
+    """Whether any group exceeds ``hot_rows``; one map-side combined count."""
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.where(F.col("__n") > hot_rows).limit(1).count() > 0
+
+
 def row_numbers(
     df: DataFrame,
     by: Sequence[str],
@@ -47,12 +53,12 @@ def row_numbers(
     """
     by = list(by)
     marked = df.withColumn("__o", F.struct(*order))
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    if counts.limit(1).count() == 0:
+    if not has_hot_group(df, by, hot_rows):
         window = Window.partitionBy(*by, *([] if by else [F.lit(1)])).orderBy("__o")
         return marked.withColumn(out, F.row_number().over(window).cast("long")).drop("__o")
 
     hash_of = F.xxhash64("__o")
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
     hot = join_null_safe(marked.select(*by, "__o"), counts, by, "left_semi") if by else marked.select("__o")
     picks = hot.groupBy(*by, F.pmod(hash_of, F.lit(segments)).alias("__s")).agg(
         F.min_by("__o", hash_of).alias("__cut")
@@ -76,8 +82,17 @@ def row_numbers(
     return numbered.withColumn(out, number.cast("long")).select(*df.columns, out)
 
 
-def ordinal(df: DataFrame, by: Sequence[str], value: str, out: str, **kw) -> DataFrame:
-    """Position of each value among the distinct values of its group."""
+def ordinal(
+    df: DataFrame, by: Sequence[str], value: str, out: str, hot_rows: int = HOT_ROWS, **kw
+) -> DataFrame:
+    """Position of each value among the distinct values of its group.
+
+    A window does it where groups are small; otherwise distinct values are
+    numbered and joined back.
+    """
+    if by and not has_hot_group(df, by, hot_rows):
+        return df.withColumn(out, F.dense_rank().over(Window.partitionBy(*by).orderBy(value)).cast("long"))
+    kw["hot_rows"] = hot_rows
     numbered = row_numbers(df.select(*by, value).distinct(), by, [value], out, **kw)
     return join_null_safe(df, numbered, [*by, value])
 
@@ -168,14 +183,19 @@ def pair_events(
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], **kw
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], hot_rows: int = HOT_ROWS, **kw
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, exact for any group size.
 
-    Reads the two neighbouring order statistics by row number, so no group's
-    values are gathered in one buffer.
+    Small groups use the built-in exact percentile. Where a group is too large
+    for one aggregation buffer, the two neighbouring order statistics are read
+    by row number instead.
     """
     present = df.select(*by, value).where(F.col(value).isNotNull())
+    if not has_hot_group(present, by, hot_rows):
+        both = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("__q")
+        return present.groupBy(*by).agg(both).select(*by, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
+    kw["hot_rows"] = hot_rows
     numbered = row_numbers(present, by, [value], "__rn", **kw)
     numbered = attach(numbered, by, __n=F.count(F.lit(1)))
     exprs = []

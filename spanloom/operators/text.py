@@ -18,7 +18,9 @@ def extract_tokens(df: DataFrame, text: str, split: str, contains: str, strip: s
     Text is split on a regex; tokens that match ``contains`` lose the ``strip``
     pattern, those that then match ``keep`` lose it as their prefix.
     """
-    tokens = df.select(F.explode(F.split(F.col(text), split)).alias(out)).where(F.col(out).rlike(contains))
+    # Filtered inside the array, so that only tokens of interest become rows.
+    found = F.filter(F.split(F.col(text), split), lambda token: token.rlike(contains))
+    tokens = df.where(F.col(text).rlike(contains)).select(F.explode(found).alias(out))
     bare = tokens.select(F.regexp_replace(out, strip, "").alias(out)).where(F.col(out).rlike(keep))
     return bare.select(F.regexp_replace(out, keep, "").alias(out)).distinct()
 
