@@ -7,8 +7,11 @@ lines, parses them back, and must return the table's own values.
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalar as S
+from spanloom.operators import joins as J
 from spanloom.operators import reshape as R
 from spanloom.operators.columns import tag_rules
+from spanloom.operators.mixed import design, factor_levels
+from spanloom.operators.text import rewrite_lines
 from spanloom.plans.aggregates import rounded
 from spanloom.plans.registry import query
 from spanloom.sinks.files import csv_with_header
@@ -198,3 +201,47 @@ def _(t):
 def _(t):
     s = t.supplier.select("s_suppkey", "s_name", F.when(F.col("s_acctbal") > 0, "credit").alias("state"))
     return s.select(F.to_csv(F.struct("s_suppkey", "s_name", "state"), {"nullValue": "NA"}).alias("value"))
+
+
+@query("s03_curve_csv", "SELECT l_orderkey, l_linenumber, l_quantity AS par, NULLIF(l_discount, 0) AS etr, CAST(l_shipdate AS DATE) AS date, l_returnflag = 'A' AS outlier FROM lineitem")
+def _(t):
+    li = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("par"), F.nullif(F.col("l_discount"), F.lit(0.0)).alias("etr"), F.to_date("l_shipdate").alias("date"), (F.col("l_returnflag") == "A").alias("outlier"))
+    return csv_back(li, "l_orderkey long, l_linenumber int, par double, etr double, date date, outlier boolean")
+
+
+@query("s04_dimension_csv", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def _(t):
+    return csv_back(t.supplier, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+
+
+@query("s05_declared_schema_csv", "SELECT c_custkey, c_name, c_nationkey, NULLIF(c_mktsegment, 'BUILDING') AS segment FROM customer")
+def _(t):
+    c = t.customer.select("c_custkey", "c_name", "c_nationkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
+    return csv_back(c, "c_custkey long, c_name string, c_nationkey int, segment string")
+
+
+@query("s16_header_map", "SELECT p_partkey AS plot, p_brand AS individual, p_retailprice AS yield_pre FROM part")
+def _(t):
+    names = t.spark.createDataFrame([(1, "plot"), (2, "individual"), (3, "yield_pre")], "pos int, new_header string")
+    return T.apply_header_map(t.part.select("p_partkey", "p_brand", "p_retailprice"), names, "pos", "new_header")
+
+
+@query("s17_inline_table", """
+SELECT o_orderkey, bonus FROM orders LEFT JOIN (VALUES ('1-URGENT', 10), ('2-HIGH', 5)) v(p, bonus) ON o_orderpriority = p""")
+def _(t):
+    table = t.spark.createDataFrame([("1-URGENT", 10), ("2-HIGH", 5)], "p string, bonus int")
+    return J.join_null_safe(t.orders, table, [("o_orderpriority", "p")]).select("o_orderkey", "bonus")
+
+
+@query("k03_rewritten_lines", r"""SELECT page_id, replace(regexp_replace(url, '^http://', 'https://'), 'www.', '') AS line FROM pages""")
+def _(t):
+    done = rewrite_lines(t.pages.withColumnRenamed("url", "line"), "line", [("^http://", "https://"), (r"www\.", "")])
+    return done.select("page_id", "line")
+
+
+@query("y07_design_matrix", """
+SELECT c_custkey, 1.0::DOUBLE AS "(Intercept)", CAST(c_mktsegment = 'BUILDING' AS DOUBLE) AS "c_mktsegmentBUILDING", CAST(c_mktsegment = 'FURNITURE' AS DOUBLE) AS "c_mktsegmentFURNITURE",
+  CAST(c_mktsegment = 'HOUSEHOLD' AS DOUBLE) AS "c_mktsegmentHOUSEHOLD", CAST(c_mktsegment = 'MACHINERY' AS DOUBLE) AS "c_mktsegmentMACHINERY" FROM customer""")
+def _(t):
+    columns = design(factor_levels(t.customer, ["c_mktsegment"]), [("c_mktsegment",)])
+    return t.customer.select("c_custkey", *[value.alias(name) for name, value in columns.items()])
