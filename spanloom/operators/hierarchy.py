@@ -1,7 +1,7 @@
 """Tree-structured keys as edge tables.
 
-An edge table has ``tree_id, parent, child, length, label, support, is_tip``;
-the root row has no parent. Trees are never gathered: paths grow by pointer
+An edge table has ``tree_id, parent, child, length, label, support, is_tip``
+and may have ``pos``, the drawing order; the root row has no parent. Trees are never gathered: paths grow by pointer
 doubling (rounds ~ log2 of the depth), sums from the tips upwards go level by
 level for all trees at once, each level one aggregate.
 """
@@ -103,10 +103,11 @@ def keep_tips(edges: DataFrame, tips: DataFrame, label: str = "label") -> DataFr
         state = state.drop("__moved")
         if _empty(moved):
             break
-    rest = kept.select("tree_id", "child", "label", "support", "is_tip")
+    rest = kept.drop("parent", "length")
     length = F.when(F.col("up").isNotNull(), F.col("length")).alias("length")
     shaped = state.where(~F.col("single")).join(rest, ["tree_id", "child"])
-    return shaped.select("tree_id", F.col("up").alias("parent"), "child", length, "label", "support", "is_tip")
+    own = [length if c == "length" else F.col("up").alias("parent") if c == "parent" else F.col(c) for c in edges.columns]
+    return shaped.select(*own)
 
 
 def match_traits(edges: DataFrame, traits: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
@@ -117,8 +118,13 @@ def match_traits(edges: DataFrame, traits: DataFrame, on: str) -> tuple[DataFram
 
 
 def tip_order(edges: DataFrame) -> DataFrame:
-    """``tree_id, label, position``: tips as drawn, siblings in name order."""
-    ranked = row_numbers(edges.where(F.col("parent").isNotNull()), ["tree_id", "parent"], ["child"], "__rank")
+    """``tree_id, label, position``: tips as drawn.
+
+    Siblings follow ``pos``, their place in the tree text, where the edges have
+    it, and their names otherwise.
+    """
+    order = ["pos", "child"] if "pos" in edges.columns else ["child"]
+    ranked = row_numbers(edges.where(F.col("parent").isNotNull()), ["tree_id", "parent"], order, "__rank")
     state = edges.join(ranked.select("tree_id", "child", "__rank"), ["tree_id", "child"], "left").select(
         "tree_id", F.col("child").alias("node"), F.col("parent").alias("up"), "label", "is_tip",
         F.lpad(F.coalesce("__rank", F.lit(0)).cast("string"), 12, "0").alias("key"),

@@ -115,12 +115,12 @@ def mixed_grid(
         "chain", F.explode(F.sequence(F.lit(1), F.lit(chains)))
     )
     width = len(z)
+    sampler = _class_chain if cov is None else _tree_chain
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         response, spec, chain = key
         idx = picks[spec]
         rng = np.random.default_rng([seed, int(chain), *f"{response}/{spec}".encode()])
-        sampler = _tree_chain if cov is not None else _class_chain
         labels, draws, at_mean = sampler(rows, idx, width, rng, *schedule)
         draws[:, 0] += float(rows["shift"].iloc[0])
         kept = np.arange(burn + thin, iters + 1, thin)[: len(draws)]

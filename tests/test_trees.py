@@ -96,7 +96,7 @@ def test_keep_tips_support_and_ancestor(spark):
     moved = H.transfer_support(edges, rotated)
     got = {r.child: r for r in moved.collect()}
     assert all(r.matched for r in got.values()) and got[got["A"].parent].support == 90 and got[got["D"].parent].support == 30
-    assert [r.label for r in H.tip_order(edges).orderBy("position").collect()] == ["D", "E", "C", "A", "B"]
+    assert [r.label for r in H.tip_order(edges).orderBy("position").collect()] == ["A", "B", "C", "D", "E"]
     data, small = H.match_traits(edges, spark.createDataFrame([("A", 1.0), ("C", 2.0), ("Z", 3.0)], "species string, v double"), "species")
     assert [(r.species, r.v) for r in data.orderBy("position").collect()] == [("A", 1.0), ("C", 2.0)]
     blank = H.with_node_attributes(edges, spark.createDataFrame([("A", "red")], "tip string, colour string"), "tip")
