@@ -7,7 +7,8 @@ from spanloom.operators import joins as J
 from spanloom.operators import ranks as W
 from spanloom.plans.registry import query
 
-STATUS = F.nullif("o_orderstatus", F.lit("P")).alias("status")
+def status():
+    return F.nullif("o_orderstatus", F.lit("P")).alias("status")
 
 
 @query("j01_left_join_one_key", """
@@ -35,14 +36,14 @@ ON o.status IS NOT DISTINCT FROM s.status AND o.o_orderpriority = s.o_orderprior
 
 @query("j03_null_matching_join", _NULLABLE)
 def _(t):
-    o = t.orders.select("o_orderkey", "o_orderpriority", STATUS)
+    o = t.orders.select("o_orderkey", "o_orderpriority", status())
     sizes = o.groupBy("status", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     return J.join_null_safe(o, sizes, ["status", "o_orderpriority"]).select("o_orderkey", "status", "n")
 
 
 @query("j04_natural_join", _NULLABLE)
 def _(t):
-    o = t.orders.select("o_orderkey", "o_orderpriority", STATUS)
+    o = t.orders.select("o_orderkey", "o_orderpriority", status())
     sizes = o.groupBy("status", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     return J.natural_join(o, sizes).select("o_orderkey", "status", "n")
 
