@@ -31,7 +31,7 @@ WIDTH = 5
 PERCENT = 75
 SLOTS = 1 << 20
 CHUNK = 1 << 12
-PARTS = 32
+LEAST_PARTS, MOST_PARTS = 32, 4096
 HOT = 48
 BLOCK = 512
 
@@ -46,27 +46,51 @@ def slots(found: np.ndarray) -> np.ndarray:
     return (found >> U64(44)).astype(np.int64)
 
 
+def partition_sizes(found: np.ndarray) -> bytes:
+    """Sizes of a set's parts, about four hashes each; the number of parts is a power of two."""
+    parts = min(MOST_PARTS, max(LEAST_PARTS, 1 << max(0, (len(found) // 4 - 1).bit_length())))
+    sizes = np.bincount((mix(found) & U64(parts - 1)).astype(np.int64), minlength=parts)
+    return bytes([parts.bit_length(), 2 if sizes.max() < 1 << 16 else 4]) + sizes.astype("<u2" if sizes.max() < 1 << 16 else "<u4").tobytes()
+
+
+def read_sizes(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, f"<u{stored[1]}", offset=2).astype(np.int64)
+
+
+def most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Bound of the overlap of two sets; the finer parts are folded to the coarser ones."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.minimum(x, y).sum())
+
+
 def summarise(width: int):
     """Per document its set's size, signature and partition sizes; per task the slot counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, dtype=np.int64)
         seen: set[int] = set()
+        held: list[np.ndarray] = []
         for batch in batches:
             rows = batch.num_rows
             n, sig, parts = np.zeros(rows, np.int64), np.zeros(rows, np.int64), [None] * rows
             for row, found in shingle_sets(batch.column(1), width):
                 n[row], sig[row] = len(found), signature(found)
-                parts[row] = np.bincount((mix(found) & U64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype("<u4").tobytes()
+                parts[row] = partition_sizes(found)
                 if sig[row] not in seen:
                     seen.add(int(sig[row]))
-                    counts += np.bincount(slots(found), minlength=SLOTS) if len(found) > 50_000 else 0
-                    if len(found) <= 50_000:
-                        np.add.at(counts, slots(found), 1)
+                    held.append(slots(found))
+                    if len(held) >= 1000 or len(found) > SLOTS:
+                        counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+                        held = []
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n), pa.array(sig), pa.array(parts, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                 names=["doc_id", "n", "sig", "parts", "chunk", "counts"],
             )
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=SLOTS)
         for k in range(0, SLOTS, CHUNK):
             if (some := counts[k : k + CHUNK]).any():
                 yield pa.RecordBatch.from_arrays(
@@ -194,11 +218,9 @@ def suffix_filter(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("xp").to_pylist()), "<u4").reshape(-1, PARTS).astype(np.int64)
-            y = np.frombuffer(b"".join(batch.column("yp").to_pylist()), "<u4").reshape(-1, PARTS).astype(np.int64)
-            both = np.minimum(x, y).sum(axis=1)
-            fit = (100 + percent) * both >= percent * (x.sum(axis=1) + y.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(fit)) for c in ("a", "b")], names=["a", "b"])
+            sizes = zip(batch.column("xn").to_pylist(), batch.column("yn").to_pylist(), batch.column("xp"), batch.column("yp"))
+            fit = [(100 + percent) * most_common(read_sizes(x.as_py()), read_sizes(y.as_py())) >= percent * (m + n) for m, n, x, y in sizes]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(fit, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
@@ -282,12 +304,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     ordered = filed.repartition("token").sortWithinPartitions("token", "n", "sig")
     found = cut_lineage(ordered.mapInArrow(meet(percent, hot), "a long, b long, hot int").where("a != b").distinct())
 
-    classes = table.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"))
-    info = classes.select("sig", "parts")
+    classes = table.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"), F.first("n").alias("n"))
+    info = classes.select("sig", "parts", "n")
     cold = (
         found.select("a", "b").distinct()
-        .join(info.select(F.col("sig").alias("a"), F.col("parts").alias("xp")), "a")
-        .join(info.select(F.col("sig").alias("b"), F.col("parts").alias("yp")), "b")
+        .join(info.select(F.col("sig").alias("a"), F.col("parts").alias("xp"), F.col("n").alias("xn")), "a")
+        .join(info.select(F.col("sig").alias("b"), F.col("parts").alias("yp"), F.col("n").alias("yn")), "b")
         .mapInArrow(suffix_filter(percent), "a long, b long")
     )
     cold = cut_lineage(cold)
@@ -356,4 +378,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     found = jaccard_components(docs, doc_id, text)
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
