@@ -1,9 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Features are hashes of whole words and of their beginnings. Over all texts of
-the learning fold Spark counts in how many confirmed toxic and how many
-unlabelled texts each feature slot occurs; the slots that tell the two apart
-best become the inputs. A logistic model over log rates is fitted in numpy on
+Features are hashes of whole words and of their beginnings. Spark counts in how
+many texts of the whole learning fold, and in how many of at most
+``MOST_POSITIVE`` confirmed toxic ones, each feature slot occurs; the slots that
+tell the two apart best become the inputs. A logistic model over log rates is fitted in numpy on
 at most ``MOST_POSITIVE`` toxic and ``MOST_UNLABELLED`` unlabelled texts, with
 the risk estimator that corrects by the class prior and keeps the negative
 part from going below zero. The prior is the share of toxic texts among the
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.texts import LOWER, U64, runs, span_hashes
+from spanloom.session import cut_lineage
 
 BITS = 18
 SLOTS = 1 << BITS
@@ -155,20 +156,28 @@ def learn(
 ) -> Model:
     """A model from texts labelled toxic and texts without a label (where ``train`` holds)."""
     given = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("__of")).agg(F.max(F.col(toxic).cast("int")).alias("__toxic"))
-    base = docs.where(F.lit(True) if train is None else train).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    fold = base.where(F.col("text").isNotNull()).join(given, F.col("id") == F.col("__of"), "left").select("id", "text", "__toxic")
-    sizes = fold.groupBy("__toxic").count().collect()  # toxic, not toxic, unlabelled
-    size = {row["__toxic"]: row["count"] for row in sizes}
+    base = docs.where(F.lit(True) if train is None else train).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    # only ids meet the labels; texts are never shuffled
+    known = cut_lineage(base.select("id").join(given, F.col("id") == F.col("__of"), "left").select("id", "__toxic"))
+    size = {row["__toxic"]: row["count"] for row in known.groupBy("__toxic").count().collect()}  # toxic, not toxic, unlabelled
     if not size.get(1):
         return Model(np.full(SLOTS, -1, dtype="<i4"), np.zeros(0), -40.0)
     prior = min(0.5, max(1e-4, size[1] / (size[1] + size.get(0, 0)))) if size.get(0) else 0.5
-    used = fold.where(F.col("__toxic").isNull() | (F.col("__toxic") == 1)).select("id", "text", F.col("__toxic").isNotNull().alias("positive"))
-    sums = used.select("text", "positive").mapInArrow(count_slots, "kind int, chunk int, counts binary").groupBy("kind", "chunk").applyInArrow(add_chunks, "kind int, chunk int, counts binary")
+    lot = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    positive = F.col("__toxic") == 1
+    few = F.when(positive, lot < (1 << 20) * min(1.0, most_positive / size[1])).otherwise(
+        F.col("__toxic").isNull() & (lot < (1 << 20) * min(1.0, most_unlabelled / max(1, size.get(None, 0))))
+    )
+    # the parameters bound this table, so it may be sent to every task
+    sample = F.broadcast(known.where(few).groupBy(F.col("id").alias("__of")).agg(F.max(F.coalesce(positive, F.lit(False))).alias("positive")))
+    picked = base.join(sample, F.col("id") == F.col("__of")).select("text", "positive")
+    every = base.select("text", F.lit(False).alias("positive"))
+    sums = every.union(picked.where("positive")).mapInArrow(count_slots, "kind int, chunk int, counts binary").groupBy("kind", "chunk").applyInArrow(add_chunks, "kind int, chunk int, counts binary")
     counts = np.zeros((2, SLOTS))
     for row in sums.toLocalIterator():  # two tables of SLOTS numbers
         counts[row.kind, row.chunk : row.chunk + CHUNK] = np.frombuffer(row.counts, "<i8")
-    n = np.array([max(1, size.get(None, 0)), size[1]], dtype=float)
-    share = (counts + 0.5) / (n + 1)[:, None]
+    n = np.array([sum(size.values()), min(size[1], most_positive)], dtype=float)
+    share = np.minimum((counts + 0.5) / (n + 1)[:, None], 1.0)
     spread = np.sqrt(share[0] * (1 - share[0]) / n[0] + share[1] * (1 - share[1]) / n[1])
     telling = np.abs(share[1] - share[0]) / spread * (counts[1] + counts[0] >= 3)
     best = np.argsort(-telling, kind="stable")[:width]
@@ -176,9 +185,7 @@ def learn(
     inputs = np.full(SLOTS, -1, dtype="<i4")
     inputs[best] = np.arange(len(best))
     shared = docs.sparkSession.sparkContext.broadcast(inputs.tobytes())
-    lot = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    few = F.when(F.col("positive"), lot < (1 << 20) * min(1.0, most_positive / size[1])).otherwise(lot < (1 << 20) * min(1.0, most_unlabelled / n[0]))
-    sample = used.where(few).select("text", "positive").mapInArrow(collect_inputs(shared), "positive boolean, at binary, value binary").toArrow()
+    sample = picked.mapInArrow(collect_inputs(shared), "positive boolean, at binary, value binary").toArrow()
     positive = np.array(sample.column("positive").to_pylist(), dtype=bool)
     if positive.all() or not positive.any() or not len(best):
         return Model(inputs, np.zeros(len(best)), float(np.log(prior / (1 - prior))))
