@@ -146,7 +146,7 @@ def dms_to_degrees(x: Column | str, degree_digits: int, hemisphere: str) -> Colu
     """
     text = _c(x)
     degrees = F.substring(text, 1, degree_digits)
-    rest = F.substring(text, degree_digits + 1, 32)
+    rest = F.substr(text, F.lit(degree_digits + 1))
     has_point = F.contains(text, F.lit("."))
     minutes = F.when(has_point, rest).otherwise(F.substring(rest, 1, 2))
     seconds = F.when(has_point, F.lit("")).otherwise(F.substring(rest, 3, 2))

@@ -1,14 +1,14 @@
 """Saturating response curves: per-group fit, fitted values, inverse lookup.
 
 Model ``y = A * (1 - exp(-k * x))`` with A the observed maximum of y, so k is
-the only free parameter. Gauss-Newton with step halving.
+the only free parameter. Gauss-Newton with step halving, one pass a step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanloom.functions.tails import t_p_value
@@ -16,69 +16,22 @@ from spanloom.operators.joins import join_null_safe
 from spanloom.operators.ranks import attach
 from spanloom.session import cut_lineage
 
-HALVINGS = 10
-SMALL_CURVE = 10_000
+HALVINGS = 3
+TOLERANCE = 1e-9
 
 
 def curve(a: Column, k: Column, x: Column) -> Column:
     return a * (1 - F.exp(-k * x))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _fit_array(points: Column, a: Column, k0: float, iterations: int) -> Column:
-    """Fit inside one row: ``points`` is an array of (x, y)."""
-
-    def rss(k: Column) -> Column:
-        return F.aggregate(points, F.lit(0.0), lambda t, p: t + F.pow(p.y - curve(a, k, p.x), 2))
-
-    def sums(k: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("gr"), F.lit(0.0).alias("gg"))
-
-        def add(t, p):
-            g = a * p.x * F.exp(-k * p.x)
-            return F.struct((t.gr + g * (p.y - curve(a, k, p.x))).alias("gr"), (t.gg + g * g).alias("gg"))
-
-        return F.aggregate(points, zero, add)
-
-    halves = F.array(*[F.lit(2.0**-h) for h in range(1, HALVINGS + 1)])
-
-    def step(state, _):
-        def move(s):
-            delta = F.coalesce(F.try_divide(s.gr, s.gg), F.lit(0.0))
-
-            def attempt(h):
-                return _let(state.k + delta * h, lambda k: F.struct(k.alias("k"), rss(k).alias("rss")))
-
-            def accept(best):
-                k, r = F.coalesce(best.k, state.k), F.coalesce(best.rss, state.rss)
-                small = F.abs(k - state.k) <= 1e-12 * F.abs(k)
-                return F.struct(k.alias("k"), r.alias("rss"), small.alias("converged"))
-
-            def shorter():
-                return _let(F.get(F.filter(F.transform(halves, attempt), lambda c: c.rss <= state.rss), F.lit(0)), accept)
-
-            # The full step nearly always does; its halves are tried only if not.
-            return _let(attempt(F.lit(1.0)), lambda c: F.when(c.rss <= state.rss, accept(c)).otherwise(shorter()))
-
-        return F.when(state.converged, state).otherwise(_let(sums(state.k), move))
-
-    first = F.struct(F.lit(k0).alias("k"), rss(F.lit(k0)).alias("rss"), F.lit(False).alias("converged"))
-    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), first, step)
-    return _let(fitted, lambda f: F.struct(f.k.alias("k"), f.rss.alias("rss"), sums(f.k).gg.alias("gg"), f.converged.alias("converged")))
-
-
-def _fit_long(points: DataFrame, by: list[str], k0: float, iterations: int) -> DataFrame:
-    """Fit groups too long for one row: one aggregate pass per iteration.
+def _fit(points: DataFrame, by: list[str], k0: float, iterations: int) -> DataFrame:
+    """Fit all groups together: one aggregate pass per iteration over those not yet converged.
 
     Each pass evaluates the full step and a few halvings of it at once, and
     keeps the first that does not raise the residual sum. When none does, the
     step shrinks and the next pass goes on from there.
     """
-    scales = [2.0**-h for h in range(4)]
+    scales = [2.0**-h for h in range(HALVINGS + 1)]
     state = points.groupBy(*by).agg(F.max("y").alias("a"), F.count(F.lit(1)).alias("n")).withColumns(
         {"k": F.lit(k0), "delta": F.lit(0.0), "rss": F.lit(float("inf")), "gg": F.lit(0.0), "converged": F.lit(False)}
     )
@@ -101,15 +54,17 @@ def _fit_long(points: DataFrame, by: list[str], k0: float, iterations: int) -> D
         moved = agg.withColumns(
             {
                 **{c: F.col(f"__b.{c}") for c in ("k", "delta", "rss", "gg")},
-                "converged": F.abs(F.col("__b.delta")) <= 1e-10 * F.abs(F.col("__b.k")),
+                "converged": F.abs(F.col("__b.delta")) <= TOLERANCE * F.abs(F.col("__b.k")),
             }
         )
-        moved = cut_lineage(moved.select(*names))  # one row per long curve
+        left = Observation()
+        counted = moved.select(*names).observe(left, F.count(F.when(~F.col("converged"), 1)).alias("n"))
+        moved = cut_lineage(counted)  # one row per curve
         finished = moved.where("converged")
         done = finished if done is None else done.unionByName(finished)
-        state = moved.where("not converged")
-        if state.limit(1).count() == 0:
+        if left.get["n"] == 0:
             return done
+        state = moved.where("not converged")
     return done.unionByName(state)
 
 
@@ -119,35 +74,18 @@ def fit_saturation(
     x: str,
     y: str,
     k0: float = 0.04,
-    iterations: int = 100,
-    small: int = SMALL_CURVE,
+    iterations: int = 10_000,
 ) -> DataFrame:
     """Fit every curve: ``by, n, a, k, se, t, p_value, rss, converged``.
 
-    Curves of up to ``small`` points are fitted whole within a row, without
-    leaving the JVM. Longer ones go through ``_fit_long``, which never gathers
-    a curve, so one huge curve cannot overload a task.
+    No curve is gathered: each Gauss-Newton step is one map-side combined
+    aggregate of moments, whatever the length of a curve. A step that does not
+    lower the residual sum is halved; a curve has converged when its step is
+    below ``TOLERANCE`` of k.
     """
     by = list(by)
     points = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(subset=["x", "y"])
-    sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    long = sizes.where(F.col("__n") > small)
-    any_long = long.limit(1).count() > 0
-    short = join_null_safe(points, long, by, "left_anti") if any_long else points
-    # Fitting is heavy per row and light in bytes: an explicit partition count
-    # keeps AQE from merging it into few tasks. It replaces the group's own
-    # shuffle and does not add one.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = short.repartition(n, *by).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("y").alias("a"),
-        F.array_sort(F.collect_list(F.struct("x", "y"))).alias("__pts")
-    )
-    fitted = gathered.withColumn("__f", _fit_array(F.col("__pts"), F.col("a"), k0, iterations))
-    out = fitted.select(*by, "n", "a", *[F.col(f"__f.{c}").alias(c) for c in ("k", "rss", "gg", "converged")])
-    if any_long:
-        big = _fit_long(join_null_safe(points, long, by, "left_semi"), by, k0, iterations)
-        out = out.unionByName(big.select(*out.columns))
+    out = _fit(points, by, k0, iterations).select(*by, "n", "a", "k", "rss", "gg", "converged")
     se = F.sqrt(F.try_divide(F.try_divide(F.col("rss"), F.col("n") - 1), F.col("gg")))
     out = out.withColumn("se", se).withColumn("t", F.try_divide("k", "se"))
     out = out.withColumn("p_value", t_p_value(F.col("t"), F.col("n") - 1))

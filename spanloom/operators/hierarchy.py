@@ -255,6 +255,8 @@ def node_sums(edges: DataFrame, values: DataFrame, xs: Sequence[str], keys: Sequ
         )
         level = cut_lineage(level)
         if _empty(level):
+            if not _empty(carry):
+                raise ValueError("a tip has no value: cut the tree to the tips with values first")
             return done
         done = level if done is None else done.unionByName(level)
         waiting = carry.join(level, [*by, "node"], "left_anti")

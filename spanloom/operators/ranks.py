@@ -24,18 +24,11 @@ def attach(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     """
     named = [expr.alias(name) for name, expr in aggs.items()]
     if not by:
-        values = df.agg(*named)
-        row = values.first()
-        return df.withColumns({n: F.lit(row[n]).cast(values.schema[n].dataType) for n in aggs})
+        values = df.agg(F.struct(*named).alias("__all")).scalar()
+        return df.withColumn("__all", values).select(*df.columns, *[F.col(f"__all.{n}").alias(n) for n in aggs])
     return join_null_safe(df, df.groupBy(*by).agg(*named), list(by))
 
 
-def has_hot_group(df: DataFrame, by: Sequence[str], hot_rows: int) -> bool:
-    """Whether any group exceeds ``hot_rows``; one map-side combined count."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    return counts.where(F.col("__n") > hot_rows).limit(1).count() > 0
-
-
 def row_numbers(
     df: DataFrame,
     by: Sequence[str],
@@ -46,20 +39,20 @@ def row_numbers(
 ) -> DataFrame:
     """1-based position of each row in its group, ascending, nulls first.
 
-    ``order`` should be a total order within a group. Groups over ``hot_rows``
-    rows are cut at up to ``segments`` of their own order values, picked by
-    hash. Any cut gives the same numbers: a row's number is its number within
-    its segment plus the sizes of the segments before it.
+    ``order`` should be a total order within a group. One plan serves any
+    size: groups are cut at up to ``segments`` of their own order values,
+    picked by hash, and a row's number is its number within its segment plus
+    the sizes of the segments before it. Any cut gives the same numbers; groups
+    of up to ``hot_rows`` rows have no cut and are one segment.
     """
     by = list(by)
     marked = df.withColumn("__o", F.struct(*order))
-    if not has_hot_group(df, by, hot_rows):
-        window = Window.partitionBy(*by, *([] if by else [F.lit(1)])).orderBy("__o")
-        return marked.withColumn(out, F.row_number().over(window).cast("long")).drop("__o")
-
     hash_of = F.xxhash64("__o")
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    hot = join_null_safe(marked.select(*by, "__o"), counts, by, "left_semi") if by else marked.select("__o")
+    if by:
+        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+        hot = join_null_safe(marked.select(*by, "__o"), counts, by, "left_semi")
+    else:
+        hot = marked.select("__o")
     picks = hot.groupBy(*by, F.pmod(hash_of, F.lit(segments)).alias("__s")).agg(
         F.min_by("__o", hash_of).alias("__cut")
     )
@@ -82,17 +75,8 @@ def row_numbers(
     return numbered.withColumn(out, number.cast("long")).select(*df.columns, out)
 
 
-def ordinal(
-    df: DataFrame, by: Sequence[str], value: str, out: str, hot_rows: int = HOT_ROWS, **kw
-) -> DataFrame:
-    """Position of each value among the distinct values of its group.
-
-    A window does it where groups are small; otherwise distinct values are
-    numbered and joined back.
-    """
-    if by and not has_hot_group(df, by, hot_rows):
-        return df.withColumn(out, F.dense_rank().over(Window.partitionBy(*by).orderBy(value)).cast("long"))
-    kw["hot_rows"] = hot_rows
+def ordinal(df: DataFrame, by: Sequence[str], value: str, out: str, **kw) -> DataFrame:
+    """Position of each value among the distinct values of its group: these are numbered and joined back."""
     numbered = row_numbers(df.select(*by, value).distinct(), by, [value], out, **kw)
     return join_null_safe(df, numbered, [*by, value])
 
@@ -163,12 +147,14 @@ def number_duplicates(df: DataFrame, name: str, order: Sequence[str], out: str,
 
 
 def pair_events(
-    df: DataFrame, on: Sequence[str], ts: str, status: str, start: str, end: str, tie: Sequence[str] = (), **kw
+    df: DataFrame, on: Sequence[str], ts: str, status: str, start: str, end: str, tie: Sequence[str] = (),
+    carry: Sequence[str] = (), **kw,
 ) -> DataFrame:
     """One row per consecutive start/end pair of each source.
 
     Returns ``pair_id, start, end, alternates``; ``alternates`` is false where
     the strict start/end sequence is broken, or the last pair is incomplete.
+    Columns in ``carry`` follow as ``start_…`` and ``end_…``, from the pair's own records.
     """
     events = df.where(F.col(status).isin(start, end))
     numbered = row_numbers(events, on, [ts, *tie], "__rn", **kw)
@@ -179,23 +165,18 @@ def pair_events(
         F.max(F.when(opens, F.col(ts))).alias("start"),
         F.max(F.when(~opens, F.col(ts))).alias("end"),
         ((F.count(F.lit(1)) == 2) & F.bool_and(right_kind)).alias("alternates"),
+        *[F.max(F.when(opens, F.col(c))).alias(f"start_{c}") for c in carry],
+        *[F.max(F.when(~opens, F.col(c))).alias(f"end_{c}") for c in carry],
     )
 
 
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], hot_rows: int = HOT_ROWS, **kw
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], **kw) -> DataFrame:
     """Linearly interpolated quantiles per group, exact for any group size.
 
-    Small groups use the built-in exact percentile. Where a group is too large
-    for one aggregation buffer, the two neighbouring order statistics are read
-    by row number instead.
+    The two neighbouring order statistics are read by row number, so no
+    group's values are held together.
     """
     present = df.select(*by, value).where(F.col(value).isNotNull())
-    if not has_hot_group(present, by, hot_rows):
-        both = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("__q")
-        return present.groupBy(*by).agg(both).select(*by, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
-    kw["hot_rows"] = hot_rows
     numbered = row_numbers(present, by, [value], "__rn", **kw)
     numbered = attach(numbered, by, __n=F.count(F.lit(1)))
     exprs = []

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.columns import names_matching
-from spanloom.operators.joins import join_null_safe
 
 
 def to_long(df: DataFrame, keys: Sequence[str], cols: Sequence[str] | str, var: str, value: str) -> DataFrame:
@@ -73,22 +72,16 @@ def replicate(df: DataFrame, n: str) -> DataFrame:
     return df.withColumn("__copy", F.explode(copies)).drop("__copy", n)
 
 
-def nest(df: DataFrame, by: Sequence[str], cols: Sequence[str], out: str = "data", max_rows: int = 10_000) -> DataFrame:
-    """Rows of a group gathered in an ordered list column.
+def nest(df: DataFrame, by: Sequence[str], cols: Sequence[str], out: str = "data", parts: int = 1, part: str = "part") -> DataFrame:
+    """Rows of a group gathered in ordered lists: ``by``, ``part``, ``out``.
 
-    A group of more than ``max_rows`` rows is spread by hash over several lists
-    of about that size, one row each; only exact copies of a row stay together.
-    ``unnest`` restores all rows either way.
+    The caller chooses in how many lists a group is kept (``parts``, numbered
+    from 0 in the column ``part``, rows dealt by hash): one, unless groups may
+    be too long for one value. ``unnest`` restores all rows.
     """
     item = F.struct(*cols)
-    gathered = F.array_sort(F.collect_list(item)).alias(out)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_rows)
-    if sizes.limit(1).count() == 0:
-        return df.groupBy(*by).agg(gathered)
-    marked = join_null_safe(df, sizes, list(by))
-    parts = F.ceil(F.coalesce("__n", F.lit(1)) / max_rows)
-    part = F.pmod(F.xxhash64(item), parts)
-    return marked.groupBy(*by, part.alias("__part")).agg(gathered).drop("__part")
+    number = F.pmod(F.xxhash64(item), F.lit(parts)).cast("int")
+    return df.groupBy(*by, number.alias(part)).agg(F.array_sort(F.collect_list(item)).alias(out))
 
 
 def unnest(df: DataFrame, col: str) -> DataFrame:

@@ -3,24 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.tails import chi2_1_p_value, f_p_value
-from spanloom.operators.hierarchy import centred, contrast_weights, heights, scale_by_lambda, tree_sums
+from spanloom.operators.hierarchy import centred, contrast_weights, heights, keep_tips, scale_by_lambda, tree_sums
 from spanloom.operators.ranks import row_numbers
 from spanloom.operators.reshape import to_long
 from spanloom.session import cut_lineage
 
 
+def cut_to(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
+    """Trees cut to the tips that have all of ``cols``."""
+    known = traits.dropna(subset=list(cols)).select(F.col(label).alias("label")).distinct()
+    return cut_lineage(keep_tips(edges, known))
+
+
 def signal_k(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str], nsim: int = 10_000, seed: int = 1) -> DataFrame:
     """Blomberg's K per tree and trait with a permutation p-value.
 
-    ``edges`` hold the tips of ``traits`` and no others. The observed order
-    counts as one of the ``nsim`` orders, and p is the share of orders whose K
-    reaches the observed one. Orders follow seeded hashes, so reruns agree.
+    For each trait the trees are cut to the tips that have a value. The
+    observed order counts as one of the ``nsim`` orders, and p is the share of
+    orders whose K reaches the observed one. Orders follow seeded hashes, so
+    reruns agree.
     """
+    parts = [_signal_k(cut_to(edges, traits, label, [c]), traits, label, [c], nsim, seed) for c in cols]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def signal_by_stage(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str], stage: str, nsim: int = 10_000, seed: int = 1) -> DataFrame:
+    """K for each value of ``stage``, each with trees of its own."""
+    stages = [r[0] for r in traits.select(stage).distinct().orderBy(stage).collect()]  # a few named stages
+    parts = [signal_k(edges, traits.where(F.col(stage) == s), label, cols, nsim, seed).withColumn(stage, F.lit(s)) for s in stages]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _signal_k(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str], nsim: int, seed: int) -> DataFrame:
     tips = edges.where("is_tip").select("tree_id", F.col("label").alias("tip"))
     values = to_long(tips.join(traits.withColumnRenamed(label, "tip"), "tip"), ["tree_id", "tip"], cols, "trait", "x")
     values = centred(values.dropna(subset=["x"]), ["x"], ["trait"]).drop("__mean_x")
@@ -83,8 +103,10 @@ def signal_lambda(edges: DataFrame, traits: DataFrame, label: str, col: str, poi
 
     The upper bound is the largest lambda that keeps every branch length
     positive: tree height over the deepest inner node. Each round evaluates a
-    grid for all trees and narrows it around the best point.
+    grid for all trees and narrows it around the best point. Trees are cut to
+    the tips that have a value.
     """
+    edges = cut_to(edges, traits, label, [col])
     tips = edges.where("is_tip").select("tree_id", "label")
     values = tips.join(traits.select(F.col(label).alias("label"), F.col(col).alias("x")), "label").dropna(subset=["x"])
     values = cut_lineage(centred(values, ["x"]).select("tree_id", "label", "x"))
@@ -118,8 +140,9 @@ def signal_lambda(edges: DataFrame, traits: DataFrame, label: str, col: str, poi
 def tree_gls(edges: DataFrame, traits: DataFrame, label: str, y: str, x: str) -> DataFrame:
     """Regression of ``y`` on ``x`` with tree covariance, branch lengths as given.
 
-    ``edges`` must hold exactly the tips with both values (see ``keep_tips``).
+    Trees are cut to the tips that have both values.
     """
+    edges, traits = cut_to(edges, traits, label, [x, y]), traits.dropna(subset=[x, y])
     tips = edges.where("is_tip").select("tree_id", "label")
     values = tips.join(traits.select(F.col(label).alias("label"), F.col(y).alias("y"), F.col(x).alias("x")), "label")
     values = centred(values, ["x", "y"])

@@ -41,7 +41,7 @@ def _(t):
     labels = P.size_labels(rec, ["c_mktsegment", "time"], ["o_orderpriority"])
     out = J.join_null_safe(means, labels, "o_orderpriority").withColumns(
         {
-            "label": F.concat(F.upper(F.substring("c_mktsegment", 1, 1)), F.lit(". "), F.lower(F.substring("c_mktsegment", 2, 99))),
+            "label": F.concat(F.upper(F.substring("c_mktsegment", 1, 1)), F.lit(". "), F.lower(F.substr("c_mktsegment", F.lit(2)))),
             "n_label": F.concat(F.lit("n = "), "n_label"),
         }
     )

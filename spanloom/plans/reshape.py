@@ -71,7 +71,7 @@ def _(t):
 SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem""")
 def _(t):
     nested = R.nest(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_quantity"])
-    return R.unnest(nested, "data")
+    return R.unnest(nested, "data").drop("part")
 
 
 @query("r08_split_column", """

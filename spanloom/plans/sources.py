@@ -75,8 +75,7 @@ def logger_lines(t):
     body = e.select("user_id", (F.col("event_id") + 3).alias("line_no"), F.when(odd, us).otherwise(iso).alias("line"))
     users = e.select("user_id").distinct()
     mark = F.concat(F.lit(" (S/N: 10"), F.col("user_id").cast("string"), F.lit(")"))
-    head_us = F.concat(F.lit('"#","Date Time, GMT","Temp'), mark, F.lit('","RH"'))
-    head_us = F.replace(head_us, F.lit("Time, GMT"), F.lit("Time GMT"))
+    head_us = F.concat(F.lit('"#","Date Time, GMT-10:00","Temp, °C'), mark, F.lit('","RH, %"'))
     head_iso = F.concat(F.lit('"#","Date","Time","Temp'), mark, F.lit('","RH"'))
     head = users.select("user_id", F.lit(2).cast("long").alias("line_no"), F.when(odd, head_us).otherwise(head_iso).alias("line"))
     title = users.where(odd).select("user_id", F.lit(1).cast("long").alias("line_no"), F.lit('"Plot Title: run"').alias("line"))
@@ -125,9 +124,9 @@ def _(t):
 
 @query("s10b_record_log_sessions", """
 WITH e AS (SELECT user_id, date_trunc('second', ts) AS ts, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts), event_id) AS rn FROM events WHERE event_type IN ('signup', 'purchase')),
- p AS (SELECT user_id, (rn + 1) // 2 AS pair, max(ts) FILTER (rn % 2 = 1) AS s, max(ts) FILTER (rn % 2 = 0) AS e, count(*) = 2 AND bool_and(event_type = CASE WHEN rn % 2 = 1 THEN 'signup' ELSE 'purchase' END) AS ok FROM e GROUP BY ALL),
- c AS (SELECT user_id, ts, max('spec_' || event_id) AS c FROM e WHERE event_type = 'signup' GROUP BY ALL)
-SELECT 'u' || p.user_id AS file, coalesce(a.c, b.c, CAST(pair AS VARCHAR)) AS id, p.s AS "start", p.e AS "end", ok AS alternates FROM p LEFT JOIN c a ON p.user_id = a.user_id AND p.s = a.ts LEFT JOIN c b ON p.user_id = b.user_id AND p.e = b.ts""")
+ p AS (SELECT user_id, (rn + 1) // 2 AS pair, max(ts) FILTER (rn % 2 = 1) AS s, max(ts) FILTER (rn % 2 = 0) AS e, count(*) = 2 AND bool_and(event_type = CASE WHEN rn % 2 = 1 THEN 'signup' ELSE 'purchase' END) AS ok,
+  max('spec_' || event_id) FILTER (event_type = 'signup' AND rn % 2 = 1) AS c1, max('spec_' || event_id) FILTER (event_type = 'signup' AND rn % 2 = 0) AS c2 FROM e GROUP BY ALL)
+SELECT 'u' || user_id AS file, coalesce(c1, c2, CAST(pair AS VARCHAR)) AS id, s AS "start", e AS "end", ok AS alternates FROM p""")
 def _(t):
     out = G.sessions(record_lines(t))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})

@@ -21,6 +21,8 @@ from spanloom.sources.lines import read_lines
 # Field order of fluorescence and curve records in a record log.
 FLUORESCENCE = ("date", "time", "type", "no", "x1", "x2", "f", "fm", "par", "yield", "etr")
 CURVE = ("date", "time", "type", "status", "comment")
+# A comma with whole pairs of quotes behind it.
+BETWEEN_CELLS = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 # Date layouts of logger exports.
 ISO_TIME, US_TIME = "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss"
 
@@ -28,17 +30,17 @@ ISO_TIME, US_TIME = "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss"
 def parse_logger_lines(lines: DataFrame, title: str = "Plot Title", serial: str = r"(?i)s/?_?n[^0-9]*([0-9]+)") -> DataFrame:
     """Readings of logger exports: ``file, date_time, temp, rh, serial_no``.
 
-    A file may start with a title line. Its header names the serial number and
+    The first line of a file may be a title. Its header names the serial number and
     says whether date and time are one column (month first) or two (ISO).
     Rows without all of time, temperature and humidity are dropped.
     """
-    body = lines.where(~F.contains("line", F.lit(title)))
+    body = lines.where((F.col("line_no") != 1) | ~F.contains("line", F.lit(title)))
     # The header is the first remaining line, by a map-side minimum per file.
     heads = body.groupBy("file").agg(F.min(F.struct("line_no", "line")).alias("__h")).select(
         "file",
         F.col("__h.line_no").alias("__head"),
         F.nullif(F.regexp_extract("__h.line", serial, 1), F.lit("")).alias("serial_no"),
-        F.transform(F.split(F.lower("__h.line"), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))).alias("__names"),
+        F.transform(F.split(F.lower("__h.line"), BETWEEN_CELLS, -1), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))).alias("__names"),
     )
 
     def column(word: str):
@@ -50,7 +52,7 @@ def parse_logger_lines(lines: DataFrame, title: str = "Plot Title", serial: str
         F.array_position("__names", F.lit("time")).cast("int").alias("__c"),
     )
     rows = join_null_safe(body, heads, "file", null_safe=False).where(F.col("line_no") > F.col("__head"))
-    cells = F.transform(F.split("line", ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+    cells = F.transform(F.split("line", BETWEEN_CELLS, -1), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
     at = {n: F.when(F.col(n) > 0, F.try_element_at(cells, F.col(n))) for n in ("__d", "__t", "__r", "__c")}
     two = F.col("__c") > 0
     when = F.when(two, parse_time(F.concat_ws(" ", at["__d"], at["__c"]), ISO_TIME)).otherwise(
@@ -95,18 +97,13 @@ def sessions(lines: DataFrame, delimiter: str = ";") -> DataFrame:
     """Curve sessions: ``file, id, start, end, alternates``.
 
     Start and end records pair up in time order; the id is the comment of
-    either record, or the pair number where there is none.
+    either record of the pair, or the pair number where there is none.
     """
     marks = _records(lines, ("SLCS", "SLCE"), CURVE, delimiter)
     marks = marks.withColumn("status", F.replace(F.col("status"), F.lit("Light Curve "), F.lit("")))
-    pairs = pair_events(marks, ["file"], "date_time", "status", "start", "end", tie=["line_no"])
-    named = marks.where(F.col("comment").isNotNull()).groupBy("file", "date_time").agg(F.max("comment").alias("__c"))
-    starts = named.withColumnsRenamed({"date_time": "__ts", "__c": "__cs"})
-    ends = named.withColumnsRenamed({"date_time": "__te", "__c": "__ce"})
-    joined = join_null_safe(pairs, starts, ["file", ("start", "__ts")])
-    joined = join_null_safe(joined, ends, ["file", ("end", "__te")])
-    name = F.coalesce("__cs", "__ce", F.col("pair_id").cast("string"))
-    return joined.select("file", name.alias("id"), "start", "end", "alternates")
+    pairs = pair_events(marks, ["file"], "date_time", "status", "start", "end", tie=["line_no"], carry=["comment"])
+    name = F.coalesce("start_comment", "end_comment", F.col("pair_id").cast("string"))
+    return pairs.select("file", name.alias("id"), "start", "end", "alternates")
 
 
 def response_curves(lines: DataFrame, delimiter: str = ";") -> DataFrame:

@@ -157,7 +157,7 @@ def test_reshape(spark):
     with pytest.raises(Exception, match="several rows"):
         R.to_wide(df.union(df), ["k"], "v", ["x"], ["a"]).collect()
     many = spark.range(50).selectExpr("id % 2 as g", "id as v")
-    assert rows(R.unnest(R.nest(many, ["g"], ["v"], max_rows=5), "data")) == rows(many)
+    assert rows(R.unnest(R.nest(many, ["g"], ["v"], parts=5), "data").drop("part")) == rows(many)
     split = R.split_column(spark.createDataFrame([("a_b",), ("a",), ("a_b_c_d",)], "s string"), "s", ["x", "y"], "_")
     assert sorted(split.collect(), key=str) == sorted([("a", "b"), ("a", None), ("a", "b")], key=str)
 

@@ -60,12 +60,24 @@ def test_record_log(spark, tmp_path):
 
 
 def test_logger_layouts(spark, tmp_path):
-    (tmp_path / "old.csv").write_text('"Plot Title: a"\n"#","Date","Time","Temp, (S/N: 123)","RH"\n'.replace("Temp, (", "Temp (") + "1,2013-07-01,08:00:00,21.5,80.1\n2,2013-07-01,08:10:00,,81\n")
-    (tmp_path / "new.csv").write_text('"#","Date Time","Temp (LGR S/N: 456)","RH"\n1,07/02/2013 08:00:00,20.5,70\n')
+    (tmp_path / "old.csv").write_text('"Plot Title: a"\n"#","Date","Time","Temp, (S/N: 123)","RH"\n' + "1,2013-07-01,08:00:00,21.5,80.1\n2,2013-07-01,08:10:00,,81\n")
+    (tmp_path / "new.csv").write_text('"#","Date Time, GMT-10:00","Temp, °C (LGR S/N: 456)","RH, %"\n1,07/02/2013 08:00:00,20.5,70\n')
     got = sorted((r.serial_no, str(r.date_time), r.temp, r.rh) for r in G.read_logger(spark, str(tmp_path)).collect())
     assert got == [("123", "2013-07-01 08:00:00", 21.5, 80.1), ("456", "2013-07-02 08:00:00", 20.5, 70.0)]
 
 
+def test_sessions_that_touch(spark):
+    marks = ["08:00:00;SLCS;Light Curve start;", "08:01:00;SLCE;Light Curve end;", "08:01:00;SLCS;Light Curve start;plant B", "08:02:00;SLCE;Light Curve end;"]
+    lines = spark.createDataFrame([("f", i + 1, f"2013-07-01;{m}") for i, m in enumerate(marks)], "file string, line_no long, line string")
+    assert sorted(r.id for r in G.sessions(lines).collect()) == ["1", "plant B"]
+
+
+def test_title_only_in_the_first_line(spark):
+    text = ['"Plot Title: x"', '"Date Time, GMT","Temp, C","RH, %"', '07/02/2013 08:00:00,20.5,70,"Plot Title noted"']
+    lines = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(text)], "file string, line_no long, line string")
+    assert [(r.temp, r.rh) for r in G.parse_logger_lines(lines).collect()] == [(20.5, 70.0)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, None), (1, "x")], "k int, v string")
     out = str(tmp_path / "doc")

@@ -101,3 +101,31 @@ def test_keep_tips_support_and_ancestor(spark):
     assert [(r.species, r.v) for r in data.orderBy("position").collect()] == [("A", 1.0), ("C", 2.0)]
     blank = H.with_node_attributes(edges, spark.createDataFrame([("A", "red")], "tip string, colour string"), "tip")
     assert blank.where("support = 30").count() == 0 and blank.where("colour = 'red'").count() == 1
+
+
+def k_of(text, x):
+    tips, c = dense(text)
+    v, one = np.array([x[t] for t in tips]), np.ones(len(tips))
+    inv, n = np.linalg.inv(c), len(tips)
+    a = one @ inv @ v / (one @ inv @ one)
+    return (v - a) @ (v - a) / ((v - a) @ inv @ (v - a)) / ((np.trace(c) - n / (one @ inv @ one)) / (n - 1))
+
+
+def test_missing_values_cut_the_tree_per_trait(spark):
+    edges = tree(spark, "((A:1,B:1.5):1,((C:1,D:2):0.5,E:2):0.7);")
+    rows = [("A", 1.0, 2.0), ("B", 2.5, 1.0), ("C", 4.0, None), ("D", None, 5.0), ("E", 3.0, 4.0)]
+    traits = spark.createDataFrame(rows, "s string, x double, y double")
+    got = {r.trait: r.k for r in G.signal_k(edges, traits, "s", ["x", "y"], nsim=20).collect()}
+    assert got["x"] == pytest.approx(k_of("((A:1,B:1.5):1,(C:1.5,E:2):0.7);", {t: x for t, x, _ in rows}))
+    assert got["y"] == pytest.approx(k_of("((A:1,B:1.5):1,(D:2.5,E:2):0.7);", {t: y for t, _, y in rows}))
+    m = G.tree_gls(edges, traits, "s", "y", "x").first()
+    assert m.n == 3
+    staged = traits.select("s", F.col("x"), F.when(F.col("s") != "D", "one").alias("stage")).dropna()
+    assert G.signal_by_stage(edges, staged, "s", ["x"], "stage", nsim=20).first().k == pytest.approx(got["x"])
+
+
+def test_unreached_nodes_raise(spark):
+    edges = tree(spark, SMALL)
+    values = spark.createDataFrame([("t0", "A", 1.0), ("t0", "C", 2.0)], "tree_id string, label string, v double")
+    with pytest.raises(ValueError, match="no value"):
+        H.tree_sums(edges, values, ["v"])
