@@ -31,6 +31,8 @@ INPUTS = 2048
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 12_000
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 THRESHOLD = 0.7
+#: Value of an input for occurring at all; its rate in percent adds its logarithm.
+PRESENT = 0.5
 
 LETTER = np.zeros(256, dtype=bool)
 LETTER[97:123] = LETTER[128:] = True
@@ -101,7 +103,7 @@ def inputs_of(column: pa.Array, inputs: np.ndarray) -> Iterator[tuple[int, int,
         known = at >= 0
         pair, n = np.unique(rows[known] * max(1, width) + at[known], return_counts=True)
         row, at = pair // max(1, width), pair % max(1, width)
-        yield first, last, row, at, np.log1p(100.0 * n / np.maximum(words[row], 10))
+        yield first, last, row, at, PRESENT + np.log1p(100.0 * n / np.maximum(words[row], 10))
 
 
 def collect_inputs(shared):
