@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.ranks import row_numbers
@@ -123,3 +123,15 @@ def copy_per_treatment(df: DataFrame, out: str, values: Sequence, picks: dict[st
     for col, sources in picks.items():
         chosen[col] = rule_value([(F.col(out) == v, F.col(src)) for v, src in sources.items()])
     return copied.withColumns(chosen)
+
+
+def index_to_column(df: DataFrame, order: Sequence[str], out: str = "index") -> DataFrame:
+    """The position of each row under a total order, 1 to n, as a key column in front."""
+    return row_numbers(df, [], list(order), out).select(out, *df.columns)
+
+
+def column_to_index(df: DataFrame, key: str) -> DataFrame:
+    """Rows in the order of a key column, which is dropped; a key that repeats raises."""
+    checked = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    only = F.when(F.col("__n") > 1, F.raise_error(F.lit("the key repeats"))).otherwise(F.col(key))
+    return checked.withColumn("__k", only).orderBy("__k").drop("__n", "__k", key)

@@ -176,37 +176,27 @@ def interval_join(
     start: str,
     end: str,
     on: Sequence[str] = (),
-    max_pieces: int = 64,
 ) -> DataFrame:
     """Left join of readings to the spans that contain them, both ends included.
 
-    Time is cut into buckets as wide as the mean span, so the spans expand to
-    at most three buckets each on average, and the join is an equi-join on
-    ``on`` plus the bucket with the exact bounds as residual. A reading lies
-    in one bucket, hence no duplicates. When some span would cover more than
-    ``max_pieces`` buckets, spans are filed at the coarsest needed level of a
-    bucket hierarchy instead: each then covers two buckets at most, whatever
-    its length, and readings are looked up once per level in use.
+    Time is cut into a hierarchy of buckets, the finest as wide as the mean
+    span, each next four times wider. A span is filed at the level that fits
+    its length, so it covers at most three buckets however long it is, and
+    readings are looked up once per level in use. The join is an equi-join on
+    ``on``, level and bucket with the exact bounds as residual; a span has one
+    level, hence no duplicates. Mean and levels are subqueries of the one plan.
     """
     size = (_micros(spans, end) - _micros(spans, start)).cast("double")
     usable = spans.where(F.col(end) >= F.col(start))
-    mean, longest = usable.agg(F.avg(size), F.max(size)).first()
-    width = int(max(mean or 0.0, 1.0))
-    at = _micros(points, ts)
-    if longest is None or longest <= width * max_pieces:
-        lo, hi = (F.floor(_micros(spans, c) / width) for c in (start, end))
-        pieces = usable.withColumn("__b", F.explode(F.sequence(lo, hi)))
-        return _bucket_join(points.withColumn("__b", F.floor(at / width)), pieces, ts, start, end, on, "left")
-
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size / width, F.lit(1.0))) / 2)).cast("int")
-    filed = usable.withColumn("__level", level)
-    levels = sorted(r[0] for r in filed.select("__level").distinct().collect())  # at most ~30 values
-    step = F.lit(float(width)) * F.pow(F.lit(4.0), F.col("__level"))
+    mean = usable.agg(F.greatest(F.floor(F.avg(size)), F.lit(1)).cast("double").alias("__w")).scalar()
+    width = F.coalesce(mean, F.lit(1.0))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size / F.col("__w"), F.lit(1.0))) / 2)).cast("int")
+    filed = usable.withColumn("__w", width).withColumn("__level", level)
+    levels = filed.agg(F.array_sort(F.collect_set("__level")).alias("__l")).scalar()  # at most ~30 values
+    step = F.col("__w") * F.pow(F.lit(4.0), F.col("__level"))
     lo, hi = (F.floor(_micros(spans, c) / step) for c in (start, end))
-    pieces = filed.withColumn("__b", F.explode(F.sequence(lo, hi)))
-    probes = points.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn(
-        "__b", F.floor(at / step)
-    )
+    pieces = filed.withColumn("__b", F.explode(F.sequence(lo, hi))).drop("__w")
+    probes = points.withColumn("__w", width).withColumn("__level", F.explode(levels)).withColumn("__b", F.floor(_micros(points, ts) / step)).drop("__w")
     hits = _bucket_join(probes, pieces, ts, start, end, [*on, "__level"], "inner").drop("__level")
     # Whether a reading has a match depends on its key and time alone.
     misses = anti(points, hits.select(*on, ts).distinct(), [*on, ts])

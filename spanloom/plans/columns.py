@@ -221,3 +221,14 @@ def _(t):
 SELECT c_mktsegment, c_name, c_custkey, c_acctbal FROM customer""")
 def _(t):
     return t.customer.select("c_mktsegment", "c_name", "c_custkey", "c_acctbal")
+
+
+@query("p24_index_to_column", """
+SELECT row_number() OVER (ORDER BY c_name, c_custkey) AS "index", c_custkey, c_name FROM customer""")
+def _(t):
+    return C.index_to_column(t.customer.select("c_custkey", "c_name"), ["c_name", "c_custkey"])
+
+
+@query("p24b_column_to_index", "SELECT c_name, c_acctbal FROM customer")
+def _(t):
+    return C.column_to_index(t.customer.select("c_custkey", "c_name", "c_acctbal"), "c_custkey")

@@ -107,7 +107,7 @@ def _(t):
         F.expr("ts + make_dt_interval(0, 0, int(floor(pow(value, 2))))").alias("t1"),
     )
     points = t.events.select("event_id", "user_id", "ts")
-    joined = J.interval_join(points, sessions, "ts", "t0", "t1", ["user_id"], max_pieces=8)
+    joined = J.interval_join(points, sessions, "ts", "t0", "t1", ["user_id"])
     return joined.select("event_id", "session_id")
 
 

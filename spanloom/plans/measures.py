@@ -10,7 +10,7 @@ from spanloom.operators import ranks as W
 from spanloom.operators import reshape as R
 from spanloom.operators import summaries as A
 from spanloom.operators.curves import fit_saturation, good_fits
-from spanloom.operators.expect import expect, in_set, not_null
+from spanloom.operators.expect import expect, not_null, within
 from spanloom.plans.aggregates import rounded
 from spanloom.plans.registry import query
 
@@ -174,7 +174,7 @@ def _(t):
 SELECT part.p_partkey, replace(p_name, ' ', '_') AS taxon, p_brand, p_size FROM part
 WHERE p_type IN ('ECONOMY', 'SMALL') AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)""")
 def _(t):
-    gated, _ = expect(t.part, [*not_null("p_type"), in_set("p_name", [], True)][:1])
+    gated, _ = expect(t.part, [*not_null("p_type"), within("p_size", 1, 50)])
     named = gated.select("p_partkey", F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("taxon"), "p_brand", "p_size", "p_type")
     wanted = J.semi(named, t.lineitem.where("l_quantity >= 49"), [("p_partkey", "l_partkey")])
     return wanted.where(S.is_in("p_type", ["ECONOMY", "SMALL"])).drop("p_type")

@@ -14,7 +14,8 @@ from spanloom.operators.mixed import design, factor_levels
 from spanloom.operators.text import rewrite_lines
 from spanloom.plans.aggregates import rounded
 from spanloom.plans.registry import query
-from spanloom.sinks.files import csv_with_header
+from spanloom.session import new_path
+from spanloom.sinks.files import csv_with_header, write_csv, write_lines
 from spanloom.sources import lines as L
 from spanloom.sources import logs as G
 from spanloom.sources import tables as T
@@ -22,10 +23,11 @@ from spanloom.sources import tables as T
 DDL = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
-def csv_back(df, ddl, na="NA"):
-    """Rows written as CSV text with missing-value tokens, parsed with a schema."""
-    text = df.select(F.to_csv(F.struct(*df.columns), {"nullValue": na}).alias("line"))
-    return text.select(F.from_csv("line", F.lit(ddl), {"nullValue": na, "mode": "FAILFAST"}).alias("r")).select("r.*")
+def csv_back(df, ddl):
+    """Written as CSV files with missing-value tokens, read with a declared schema."""
+    path = new_path(df.sparkSession, "csv")
+    write_csv(df, path)
+    return T.read_csv_typed(df.sparkSession, path, ddl)
 
 
 @query("s01_typed_wide_csv", """
@@ -154,9 +156,10 @@ def _(t):
 
 @query("s14_positional_sheet", "SELECT p_partkey AS plot, p_brand AS individual, p_retailprice AS yield_1 FROM part")
 def _(t):
-    line = F.to_csv(F.struct("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"))
-    cells = t.part.select(F.from_csv(line, F.lit("x1 string, x2 string, x3 string, x4 string, x5 string")).alias("c"))
-    return cells.select(F.col("c.x1").cast("long").alias("plot"), F.col("c.x3").alias("individual"), F.col("c.x5").cast("double").alias("yield_1"))
+    path = new_path(t.spark, "sheet")
+    write_csv(t.part.select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"), path)
+    sheet = T.read_sheet(t.spark, path, {1: "plot", 3: "individual", 5: "yield_1"}, skip=1)
+    return sheet.select(F.col("plot").cast("long").alias("plot"), "individual", F.col("yield_1").cast("double").alias("yield_1"))
 
 
 @query("s15_missing_tokens", """
@@ -170,19 +173,30 @@ def _(t):
 
 @query("s18_line_scan", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents")
 def _(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    path = new_path(t.spark, "lines")
+    each = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    write_lines(each.select(F.concat_ws(" ", F.col("doc_id").cast("string"), "text").alias("line")), path)
+    lines = L.read_lines(t.spark, path).where("line_no > 0")
+    doc = F.regexp_extract("line", "^([0-9]+)", 1).cast("long").alias("doc_id")
+    return lines.groupBy(doc).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-_NAMES = ("customer", "events", "lineitem", "orders", "part", "supplier")
+_NAMES = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
+          "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
 
 
 @query("s20_table_shapes", " UNION ALL ".join(
-    f"SELECT '{n}' AS name, count(*) AS n_rows, {k} AS n_cols FROM {n}" for n, k in zip(_NAMES, (5, 6, 11, 6, 6, 4))))
+    f"SELECT '{n}' AS name, count(*) AS n_rows, {k} AS n_cols FROM {n}" for n, k in _NAMES.items()))
 def _(t):
     return R.bind_rows(*[L.table_shape(getattr(t, n), n) for n in _NAMES])
 
 
+@query("s21_upstream_table", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def _(t):
+    t.orders.select("o_orderkey", "o_orderstatus").createOrReplaceTempView("stage_orders")
+    return T.upstream(t.spark, "stage_orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s20b_file_manifest")
 def _(t):
     files = L.manifest(t.spark, t.folder, "*.parquet")
@@ -199,7 +213,9 @@ def _(t):
 @query("k01_csv_lines", "SELECT s_suppkey || ',' || s_name || ',' || CASE WHEN s_acctbal > 0 THEN 'credit' ELSE 'NA' END AS value FROM supplier")
 def _(t):
     s = t.supplier.select("s_suppkey", "s_name", F.when(F.col("s_acctbal") > 0, "credit").alias("state"))
-    return s.select(F.to_csv(F.struct("s_suppkey", "s_name", "state"), {"nullValue": "NA"}).alias("value"))
+    path = new_path(t.spark, "csv")
+    write_csv(s, path)
+    return t.spark.read.text(path).where("value != 's_suppkey,s_name,state'")
 
 
 @query("s03_curve_csv", "SELECT l_orderkey, l_linenumber, l_quantity AS par, NULLIF(l_discount, 0) AS etr, CAST(l_shipdate AS DATE) AS date, l_returnflag = 'A' AS outlier FROM lineitem")
@@ -235,7 +251,10 @@ def _(t):
 @query("k03_rewritten_lines", r"""SELECT page_id, replace(regexp_replace(url, '^http://', 'https://'), 'www.', '') AS line FROM pages""")
 def _(t):
     done = rewrite_lines(t.pages.withColumnRenamed("url", "line"), "line", [("^http://", "https://"), (r"www\.", "")])
-    return done.select("page_id", "line")
+    path = new_path(t.spark, "text")
+    write_lines(done.select(F.concat_ws(" ", F.col("page_id").cast("string"), "line").alias("line")), path)
+    pair = F.split("value", " ", 2)
+    return t.spark.read.text(path).select(F.get(pair, F.lit(0)).cast("long").alias("page_id"), F.get(pair, F.lit(1)).alias("line"))
 
 
 @query("y07_design_matrix", """
