@@ -31,8 +31,8 @@ INPUTS = 2048
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 12_000
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 THRESHOLD = 0.7
-#: Value of an input for occurring at all; its rate in percent adds its logarithm.
-PRESENT = 0.5
+#: Values of an input for occurring at all, to choose from; its rate in percent adds its logarithm.
+PRESENT = (0.0, 0.3, 0.6)
 
 LETTER = np.zeros(256, dtype=bool)
 LETTER[97:123] = LETTER[128:] = True
@@ -88,11 +88,12 @@ def add_chunks(key, table):
 
 @dataclass
 class Model:
-    """Input number by slot (-1: none), weights, bias."""
+    """Input number by slot (-1: none), weights, bias, value for occurring at all."""
 
     inputs: np.ndarray
     weights: np.ndarray
     bias: float
+    present: float = 0.0
 
 
 def inputs_of(column: pa.Array, inputs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -103,7 +104,7 @@ def inputs_of(column: pa.Array, inputs: np.ndarray) -> Iterator[tuple[int, int,
         known = at >= 0
         pair, n = np.unique(rows[known] * max(1, width) + at[known], return_counts=True)
         row, at = pair // max(1, width), pair % max(1, width)
-        yield first, last, row, at, PRESENT + np.log1p(100.0 * n / np.maximum(words[row], 10))
+        yield first, last, row, at, np.log1p(100.0 * n / np.maximum(words[row], 10))
 
 
 def collect_inputs(shared):
@@ -194,17 +195,36 @@ def learn(
     at = [np.frombuffer(x.as_buffer(), "<u2") for x in sample.column("at")]
     value = np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in sample.column("value")]).astype(float)
     rows = np.repeat(np.arange(len(at)), [len(x) for x in at])
-    weights, bias = fit_risk(rows, np.concatenate(at).astype(np.int64), value, positive, prior, len(best))
-    return Model(inputs, weights, bias)
+    at = np.concatenate(at).astype(np.int64)
+    present = choose_present(rows, at, value, positive, prior, len(best))
+    weights, bias = fit_risk(rows, at, value + present, positive, prior, len(best))
+    return Model(inputs, weights, bias, present)
+
+
+def choose_present(rows: np.ndarray, at: np.ndarray, value: np.ndarray, positive: np.ndarray, prior: float, width: int) -> float:
+    """The value of occurrence with the least positive-unlabelled risk on every fourth text of the sample."""
+    tested = np.arange(len(positive)) % 4 == 0
+    kept = ~tested[rows]
+    if min(positive[tested].sum(), (~positive)[tested].sum(), positive[~tested].sum(), (~positive)[~tested].sum()) == 0:
+        return PRESENT[0]
+    place = np.cumsum(~tested) - 1
+    risks = []
+    for present in PRESENT:
+        weights, bias = fit_risk(place[rows[kept]], at[kept], value[kept] + present, positive[~tested], prior, width)
+        score = np.bincount(rows, weights=(value + present) * weights[at], minlength=len(positive)) + bias
+        called = sigmoid(score) >= THRESHOLD
+        caught = called[tested & positive].mean()
+        risks.append(prior * (1 - caught) + max(0.0, called[tested & ~positive].mean() - prior * caught))
+    return PRESENT[int(np.argmin(risks))]
 
 
 def score_all(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inputs, weights, bias = shared.value
+        inputs, weights, bias, present = shared.value
         for batch in batches:
             score = np.full(batch.num_rows, sigmoid(np.array([bias]))[0])
             for first, last, row, at, value in inputs_of(batch.column(0), inputs):
-                score[first:last] = sigmoid(np.bincount(row, weights=value * weights[at], minlength=last - first) + bias)
+                score[first:last] = sigmoid(np.bincount(row, weights=(value + present) * weights[at], minlength=last - first) + bias)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], "score"])
 
     return run
@@ -212,7 +232,7 @@ def score_all(shared):
 
 def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text") -> DataFrame:
     """``keep`` beside the score (0 to 1) of every whole text; null and empty texts get the model's base rate."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.inputs, model.weights, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.inputs, model.weights, model.bias, model.present))
     rows = docs.select(F.col(text).cast("string").alias("__text"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     return rows.mapInArrow(score_all(shared), f"{kinds}{', ' if kinds else ''}score double")
