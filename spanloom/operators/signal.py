@@ -16,9 +16,11 @@ from spanloom.session import cut_lineage
 
 
 def cut_to(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
-    """Trees cut to the tips that have all of ``cols``."""
+    """Trees cut to the tips that have all of ``cols``; trees with fewer than two of them drop out."""
     known = traits.dropna(subset=list(cols)).select(F.col(label).alias("label")).distinct()
-    return cut_lineage(keep_tips(edges, known))
+    kept = cut_lineage(keep_tips(edges, known))
+    lone = kept.where(F.col("is_tip") & F.col("parent").isNull()).select("tree_id")
+    return cut_lineage(kept.join(lone, "tree_id", "left_anti"))
 
 
 def signal_k(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str], nsim: int = 10_000, seed: int = 1) -> DataFrame:

@@ -124,6 +124,12 @@ def test_missing_values_cut_the_tree_per_trait(spark):
     assert G.signal_by_stage(edges, staged, "s", ["x"], "stage", nsim=20).first().k == pytest.approx(got["x"])
 
 
+def test_trees_left_with_one_tip_drop_out(spark):
+    edges = tree(spark, SMALL, "((D:1,E:1):1,F:2);")
+    traits = spark.createDataFrame([("A", 1.0), ("B", 2.0), ("C", 4.0), ("D", 1.0)], "s string, x double")
+    assert [r.tree_id for r in G.signal_k(edges, traits, "s", ["x"], nsim=10).collect()] == ["t0"]
+
+
 def test_unreached_nodes_raise(spark):
     edges = tree(spark, SMALL)
     values = spark.createDataFrame([("t0", "A", 1.0), ("t0", "C", 2.0)], "tree_id string, label string, v double")
