@@ -3,8 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import mixed as M
+from spanloom.operators import variance_grid as G
 
 SPECS = {"null": [], "stage": [("stage",)]}
 
@@ -56,6 +58,40 @@ def test_class_chain_matches_plain_gibbs(spark, data):
     assert 500 < best.effective_size[0] <= 3900
 
 
+def test_grid_matches_plain_gibbs(spark, data):
+    df, rows = data
+    models = G.model_moments(df, ["y"], ["stage"], SPECS, "grp")
+    grid = G.posterior_grid(models).cache()
+    got = G.posterior_means(grid, models).where("spec = 'stage'").toPandas().set_index("param")
+    want = plain_gibbs(rows, iters=12_000)
+    names = ["(Intercept)", "stageb", "group_var", "units_var"]
+    assert got["mean"][names].to_numpy() == pytest.approx(want[:4], rel=0.05, abs=0.05)
+    finer = G.posterior_means(G.posterior_grid(models, points=301, rounds=3), models).where("spec = 'stage'").toPandas().set_index("param")
+    assert got["mean"][names].to_numpy() == pytest.approx(finer["mean"][names].to_numpy(), rel=1e-6)
+    scored = {r.spec: r for r in G.grid_dic(grid, models).collect()}
+    assert scored["stage"].delta_dic == 0 and scored["null"].delta_dic > 5
+    chains = M.mixed_grid(df, ["y"], ["stage"], SPECS, "grp", chains=4, iters=8000, burn=500, thin=2, seed=3)
+    for r in M.score_dic(chains).collect():
+        assert scored[r.spec].dic == pytest.approx(r.dic, abs=0.6)
+    best = G.best_effects(grid, models).toPandas()
+    draws = chains.where("spec = 'stage' and param = 'stageb' and iter > 0").toPandas()["value"]
+    assert list(best.param) == ["stageb"] and best.p_mcmc[0] < 0.001
+    assert [best.lower[0], best.upper[0]] == pytest.approx(np.quantile(draws, [0.025, 0.975]), abs=0.04)
+    assert best.sd[0] == pytest.approx(draws.std(), rel=0.05)
+
+
+def test_grid_edges(spark):
+    """An aliased effect, a missing group, missing values and no rows at all."""
+    rows = [("a", "p", 1.0), ("a", "p", 2.0), (None, "q", 4.0), (None, "q", 5.5), ("b", "q", None), ("b", None, 3.0), ("c", "p", 2.5)]
+    df = spark.createDataFrame(rows, "grp string, stage string, y double").withColumn("copy", F.col("stage"))
+    models = G.model_moments(df, ["y"], ["stage", "copy"], {"one": [("stage",)], "twice": [("stage",), ("copy",)]}, "grp")
+    found = {(r.spec, r.param): r for r in G.posterior_means(G.posterior_grid(models), models).collect()}
+    assert {p for s, p in found if s == "twice"} == {"(Intercept)", "stageq", "group_var", "units_var"}
+    assert found["twice", "stageq"]["mean"] == pytest.approx(found["one", "stageq"]["mean"])
+    none = G.model_moments(df.where("false"), ["y"], ["stage"], SPECS, "grp")
+    assert G.posterior_means(G.posterior_grid(none), none).count() == 0
+
+
 def test_tree_chain_with_identity_covariance(spark, data):
     df, rows = data
     ids = sorted({r[0] for r in rows})
