@@ -9,6 +9,7 @@ from spanloom.operators import ranks as W
 from spanloom.operators import report as P
 from spanloom.operators import reshape as R
 from spanloom.operators import summaries as A
+from spanloom.operators import variance_grid as G
 from spanloom.operators import welch
 from spanloom.operators.curves import critical_x, fitted_max, inverse_at, with_fitted
 from spanloom.plans.aggregates import rounded
@@ -146,28 +147,106 @@ SPECS = {
 }
 
 
-def sampled(t):
-    """Five specs for two responses; group = nation, whole customer table in the moments."""
+def modelled(t):
+    """Moments and posterior grid of five specs for two responses; group = nation, whole customer table."""
     stage = F.when(F.col("c_acctbal") > 5000, "rich").otherwise("plain")
     spend = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spend"))
     people = J.join_null_safe(t.customer.withColumn("stage", stage), spend, [("c_custkey", "o_custkey")])
     people = people.withColumns({"spend": F.log1p("spend"), "balance": F.col("c_acctbal") / 1000})
-    return X.mixed_grid(people, ["spend", "balance"], ["c_mktsegment", "stage"], SPECS, "c_nationkey", chains=2, iters=600, burn=100, thin=5, seed=11)
-
-
-@query("t11_mixed_grid")
+    models = G.model_moments(people, ["spend", "balance"], ["c_mktsegment", "stage"], SPECS, "c_nationkey")
+    return G.posterior_grid(models), models
+
+
+def _grid_sql():
+    """The posterior of every spec on a fixed grid, by symmetric sweeps written out; numbers name the columns of the full design."""
+    segments = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    x = {"(Intercept)": "1"} | {f"c_mktsegment{v}": f"(seg = '{v}')::INT" for v in segments} | {"stagerich": "rich"}
+    x |= {f"c_mktsegment{v}:stagerich": f"(seg = '{v}')::INT * rich" for v in segments}
+    names, y = list(x), len(x)
+    uses = {"habit": range(5), "generation": (0, 5), "both": range(6), "interaction": range(10), "null": (0,)}
+    pairs = [(i, j) for i in range(y + 1) for j in range(i, y + 1)]
+
+    def each(text, of=pairs):
+        return ", ".join(text.format(i=i, j=j, e="exp(lr)") for i, j in of)
+
+    def at(i, j, name="a"):
+        return f"{name}{min(i, j)}_{max(i, j)}"
+
+    ctes = [
+        "c AS (SELECT c_nationkey AS g, c_mktsegment AS seg, (c_acctbal > 5000)::INT AS rich, ln(1 + spend) AS spend, c_acctbal / 1000 AS balance"
+        " FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS spend FROM orders GROUP BY 1) ON c_custkey = o_custkey)",
+        "l AS (SELECT 'spend' AS response, *, spend AS v FROM c WHERE spend IS NOT NULL UNION ALL SELECT 'balance', *, balance FROM c WHERE balance IS NOT NULL)",
+        "d AS (SELECT response, g, avg(v) OVER (PARTITION BY response) AS shift, "
+        + ", ".join(f"({text})::DOUBLE AS x{i}" for i, text in enumerate(x.values())) + f", v - avg(v) OVER (PARTITION BY response) AS x{y} FROM l)",
+        "gs AS (SELECT response, g, count(*) AS n, " + ", ".join(f"sum(x{i}) AS s{i}" for i in range(y + 1)) + " FROM d GROUP BY ALL)",
+        "tt AS (SELECT response, count(*) AS nr, max(shift) AS shift, " + each("sum(x{i} * x{j}) AS t{i}_{j}") + " FROM d GROUP BY 1)",
+        "bt AS (SELECT response, " + each("sum(s{i} * s{j} / n) AS b{i}_{j}") + " FROM gs GROUP BY 1)",
+        "gr AS (SELECT -14 + i * 0.025::DOUBLE AS lr FROM range(1121) r(i))",
+        "ss AS (SELECT response, lr, sum(ln(1 + n * exp(lr))) AS ldv, sum(n * exp(lr) / (1 + n * exp(lr))) AS sv, "
+        + each("sum(s{i} * s{j} / (n * (1 + n * {e}))) AS p{i}_{j}, sum(-{e} * s{i} * s{j} / ((1 + n * {e}) * (1 + n * {e}))) AS d{i}_{j}") + " FROM gs, gr GROUP BY ALL)",
+        "a AS (SELECT ss.response, lr, ldv, sv, nr, shift, 0.0::DOUBLE AS ld, " + each("t{i}_{j} - b{i}_{j} + p{i}_{j} AS a{i}_{j}, d{i}_{j}") + " FROM ss JOIN tt USING (response) JOIN bt USING (response))",
+    ]
+    for spec, use in uses.items():
+        source, inside = "a", [*use, y]
+        of = [(i, j) for i, j in pairs if i in inside and j in inside]
+        for k in use:
+            d = at(k, k)
+            new = [
+                f"-1 / {d}" if i == j == k else f"{at(i, j)} / {d}" if k in (i, j) else f"{at(i, j)} - {at(i, k)} * {at(k, j)} / {d}" for i, j in of
+            ]
+            ctes.append(
+                f"{spec}{k} AS (SELECT response, lr, ldv, sv, nr, shift, ld + ln({d}) AS ld, " + each("d{i}_{j}", of) + ", "
+                + ", ".join(f"{v} AS {at(i, j)}" for v, (i, j) in zip(new, of)) + f" FROM {source})"
+            )
+            source = f"{spec}{k}"
+        square = " + ".join(f"{at(i, j, 'd')} * {f'-{at(i, y)}' if i != y else '1'} * {f'-{at(j, y)}' if j != y else '1'}" for i in inside for j in inside)
+        trace = " + ".join(f"-{at(i, j)} * {at(i, j, 'd')}" for i in use for j in use)
+        beta, unit = (", ".join(t.format(i=i, y=y) for i in use) for t in ("a{i}_{y}", "-a{i}_{i}"))
+        param = ", ".join(f"'{names[i]}'" for i in use)
+        zero = ", ".join(f"a{i}_{y}" if i in use else "0" for i in range(y))
+        ctes.append(
+            f"f_{spec} AS (SELECT '{spec}' AS spec, response, lr, nr, shift, ldv + ld AS ld, {len(use)} AS rank, a{y}_{y} AS rss, a{y}_{y} + {square} AS fit,"
+            f" {len(use)} + sv + {trace} AS hat, [{beta}] AS beta, [{unit}] AS unit, [{param}] AS params, [{zero}] AS full_ FROM {source})"
+        )
+    ctes += [
+        "u AS (" + " UNION ALL ".join(f"SELECT * FROM f_{s}" for s in uses) + ")",
+        "v AS (SELECT *, (nr - rank) / 2 + 0.02::DOUBLE AS sh, (rss + 0.02::DOUBLE * (1 + exp(-lr))) / 2 AS ra FROM u)",
+        "lw AS (SELECT *, -0.01::DOUBLE * lr - ld / 2 - sh * ln(ra) AS lw FROM v)",
+        "mx AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY response, spec)) AS e FROM lw)",
+        "w AS (SELECT *, e / sum(e) OVER (PARTITION BY response, spec) AS w FROM mx)",
+    ]
+    return "WITH " + ", ".join(ctes), y
+
+
+_GRID, _Y = _grid_sql()
+
+
+@query("t11_mixed_grid", _GRID + """,
+ e AS (SELECT response, spec, w, sh, ra, shift, unnest(params) AS param, unnest(beta) AS b, unnest(unit) AS uv FROM w),
+ m AS (SELECT response, spec, param, w, b + CASE WHEN param = '(Intercept)' THEN shift ELSE 0 END AS one, uv * ra / (sh - 1) AS var FROM e
+  UNION ALL SELECT response, spec, 'units_var', w, ra / (sh - 1), ra * ra / ((sh - 1) * (sh - 1) * (sh - 2)) FROM w
+  UNION ALL SELECT response, spec, 'group_var', w, exp(lr) * ra / (sh - 1), exp(2 * lr) * ra * ra / ((sh - 1) * (sh - 1) * (sh - 2)) FROM w)
+SELECT response, spec, param, round(sum(w * one), 6) AS mean, round(sqrt(sum(w * (var + one * one)) - sum(w * one) * sum(w * one)), 6) AS sd FROM m GROUP BY ALL""")
 def _(t):
-    return sampled(t)
-
-
-@query("t11b_mixed_scores")
+    return rounded(G.posterior_means(*modelled(t)), "mean", "sd")
+
+
+@query("t11b_mixed_scores", _GRID + f""",
+ bm AS (SELECT response, spec, sum(w * ra / (sh - 1)) AS units, max(nr) AS nr,
+   sum(w * (nr * (ln(2 * pi()) + ln(ra) - (ln(sh) - 1 / (2 * sh) - 1 / (12 * sh * sh) + 1 / (120 * sh * sh * sh * sh))) + sh / ra * fit + hat)) AS dm,
+   {", ".join(f"sum(w * full_[{i + 1}]) AS m{i}" for i in range(_Y))} FROM w GROUP BY ALL),
+ um AS (SELECT w.response, spec, g, sum(w * exp(lr) / (1 + n * exp(lr)) * (s{_Y}{"".join(f" - s{i} * full_[{i + 1}]" for i in range(_Y))})) AS um FROM w JOIN gs ON w.response = gs.response GROUP BY ALL),
+ r AS (SELECT d.response, um.spec, sum((x{_Y}{"".join(f" - x{i} * m{i}" for i in range(_Y))} - um) ** 2) AS rss
+  FROM d JOIN um ON d.response = um.response AND d.g = um.g JOIN bm ON bm.response = um.response AND bm.spec = um.spec GROUP BY ALL),
+ dic AS (SELECT response, spec, 2 * dm - (nr * (ln(2 * pi()) + ln(units)) + rss / units) AS dic FROM bm JOIN r USING (response, spec))
+SELECT response, spec, round(dic, 4) AS dic, round(dic - min(dic) OVER (PARTITION BY response), 4) AS delta_dic FROM dic""")
 def _(t):
-    return X.score_dic(sampled(t))
+    return rounded(G.grid_dic(*modelled(t)), "dic", "delta_dic", digits=4)
 
 
 @query("t11c_mixed_parameters")
 def _(t):
-    return X.best_parameters(sampled(t))
+    return G.best_effects(*modelled(t))
 
 
 def stored_draws(t):
