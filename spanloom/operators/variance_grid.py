@@ -43,11 +43,6 @@ class Models:
     names: list[str]
     picks: dict[str, list[int]]
 
-    @property
-    def entries(self) -> int:
-        width = len(self.names) + 1
-        return width * (width + 1) // 2
-
 
 def _each(n: int, value) -> Column:
     return F.array(*[value(i) for i in range(n)])
@@ -143,20 +138,24 @@ def posterior_grid(models: Models, points: int = 97, rounds: int = 4) -> DataFra
     moments, solve = models.moments, _solver(len(models.names) + 1, models.picks)
     specs = F.explode(F.array(*[F.lit(s) for s in models.picks]))
     limits = moments.select("response").distinct().select("response", specs.alias("spec"), F.lit(FIRST[0]).alias("lo"), F.lit(FIRST[1]).alias("hi"))
-    n, m, ratio = F.col("size"), F.col("m"), F.exp("log_ratio")
+    classes = moments.select("response", "size", "m", F.posexplode("squares").alias("pos", "square"))
+    whole = moments.groupBy("response").agg(F.max("n_rows").alias("n_rows"), F.max("shift").alias("shift"), F.first("within").alias("within"))
+    n, m, square, ratio = F.col("size"), F.col("m"), F.col("square"), F.exp("log_ratio")
     for left in reversed(range(rounds)):
         step = (F.col("hi") - F.col("lo")) / (points - 1)
         grid = limits.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(
             *KEYS, step.alias("step"), (F.col("lo") + F.col("__i") * step).alias("log_ratio")
         )
-        met = grid.join(moments, "response")
-        sums = met.groupBy(*KEYS, "step", "log_ratio").agg(
-            _each(models.entries, lambda i: F.sum(F.col("squares")[i] / (n * (1 + n * ratio)))).alias("__part"),
-            _each(models.entries, lambda i: F.sum(-ratio * F.col("squares")[i] / ((1 + n * ratio) * (1 + n * ratio)))).alias("__slope"),
+        met = grid.join(classes, "response")
+        entries = met.groupBy(*KEYS, "step", "log_ratio", "pos").agg(
+            F.sum(square / (n * (1 + n * ratio))).alias("part"), F.sum(-ratio * square / ((1 + n * ratio) * (1 + n * ratio))).alias("slope"),
             F.sum(m * F.log1p(n * ratio)).alias("log_det_v"), F.sum(m * n * ratio / (1 + n * ratio)).alias("slope_v"),
-            F.max("n_rows").alias("n_rows"), F.max("shift").alias("shift"), F.first("within").alias("within"),
         )
-        sums = sums.withColumn("__a", F.zip_with("within", "__part", lambda w, b: w + b))
+        # one element per entry of the matrix
+        sums = entries.groupBy(*KEYS, "step", "log_ratio").agg(
+            F.array_sort(F.collect_list(F.struct("pos", "part", "slope"))).alias("__m"), F.max("log_det_v").alias("log_det_v"), F.max("slope_v").alias("slope_v")
+        ).join(whole, "response")
+        sums = sums.withColumns({"__a": F.zip_with("within", "__m.part", lambda w, b: w + b), "__slope": F.col("__m.slope")})
         solved = sums.withColumn("__s", solve("spec", "__a", "__slope")).select(
             *KEYS, "step", "log_ratio", "n_rows", "shift", "log_det_v", "slope_v", "__s.*"
         )
