@@ -169,12 +169,12 @@ def _(t):
 
 @query("t07b_signal_k_permutation")
 def _(t):
-    return G.signal_k(forest(t), traits(t), "tip", ["x", "y"], nsim=400, seed=7)
+    return G.signal_k(forest(t), traits(t), "tip", ["x", "y"], seed=7)
 
 
 @query("t08_signal_lambda")
 def _(t):
-    return G.signal_lambda(forest(t), traits(t), "tip", "x", points=11, rounds=2)
+    return G.signal_lambda(forest(t), traits(t), "tip", "x")
 
 
 @query("t08b_lambda_profile", _FOREST + """,
