@@ -164,7 +164,8 @@ _K = _PEEL + """,
 
 @query("t07_signal_k", _K + "SELECT s.tree_id, 'x' AS trait, round(ss / q / ((diag - n / w) / (n - 1)), 6) AS k FROM s JOIN n2 ON s.tree_id = n2.tree_id")
 def _(t):
-    return rounded(G.signal_k(forest(t), traits(t), "tip", ["x"], nsim=200, seed=7).select("tree_id", "trait", "k"), "k")
+    # K itself needs no other orders; t07b has them
+    return rounded(G.signal_k(forest(t), traits(t), "tip", ["x"], nsim=1).select("tree_id", "trait", "k"), "k")
 
 
 @query("t07b_signal_k_permutation")
@@ -172,9 +173,27 @@ def _(t):
     return G.signal_k(forest(t), traits(t), "tip", ["x", "y"], seed=7)
 
 
-@query("t08_signal_lambda")
+def _lambda_sql(points=21, rounds=4):
+    """Four grids of lambda, each around the best point of the one before, and the normal tail by Simpson's rule."""
+    text = _FOREST + ", lim0 AS (SELECT tree_id, 0.0::DOUBLE AS lo, coalesce(min((nl + sl) / nullif(nl, 0)), 1) * (1 - 1e-9) AS hi FROM tips GROUP BY 1)"
+    for i in range(rounds):
+        text += f""",
+ g{i} AS (SELECT tree_id, lo + (hi - lo) * i / {points - 1} AS lam FROM lim{i}, range({points}) r(i)),
+ tl{i} AS (SELECT tips.tree_id, lam, nation, nl * lam AS nl, nl + sl - lam * nl AS sl, x FROM tips JOIN g{i} ON tips.tree_id = g{i}.tree_id),
+ na{i} AS (SELECT tree_id, lam, nation, nl, sum(1 / sl) AS w, sum(x / sl) / sum(1 / sl) AS m, sum(x * x / sl) - pow(sum(x / sl), 2) / sum(1 / sl) AS q, count(*) AS n, sum(ln(sl)) + ln(sum(1 / sl)) AS ld FROM tl{i} GROUP BY ALL),
+ nb{i} AS (SELECT tree_id, lam, sum(q) + sum(m * m / (nl + 1 / w)) - pow(sum(m / (nl + 1 / w)), 2) / sum(1 / (nl + 1 / w)) AS q, sum(n) AS n, sum(ld) + sum(ln(nl + 1 / w)) AS logdet FROM na{i} GROUP BY ALL),
+ ll{i} AS (SELECT tree_id, lam, -0.5 * (n * ln(2 * pi()) + n * ln(q / n) + logdet + n) AS ll FROM nb{i}),
+ lim{i + 1} AS (SELECT tree_id, greatest(lo, b - (hi - lo) / {points - 1}) AS lo, least(hi, b + (hi - lo) / {points - 1}) AS hi
+   FROM lim{i} JOIN (SELECT tree_id, arg_max(lam, ll) AS b FROM ll{i} GROUP BY 1) USING (tree_id))"""
+    every = " UNION ALL ".join(f"SELECT * FROM ll{i}" for i in range(rounds))
+    return text + f""",
+ o AS (SELECT tree_id, arg_max(lam, ll) AS lam, max(ll) AS log_lik, sqrt(greatest(2 * (max(ll) - max(ll) FILTER (lam = 0)), 0)) AS z FROM ({every}) GROUP BY 1)
+SELECT tree_id, round(lam, 3) AS lam, round(log_lik, 4) AS log_lik, round(1 - 2 * (SELECT sum(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z * i / 400, 2) / 2)) FROM range(401) r(i)) * z / 1200 / sqrt(2 * pi()), 4) AS p_value FROM o"""
+
+
+@query("t08_signal_lambda", _lambda_sql())
 def _(t):
-    return G.signal_lambda(forest(t), traits(t), "tip", "x")
+    return rounded(rounded(G.signal_lambda(forest(t), traits(t), "tip", "x"), "lam", digits=3), "log_lik", "p_value", digits=4)
 
 
 @query("t08b_lambda_profile", _FOREST + """,
