@@ -13,6 +13,7 @@ from spanloom.operators.curves import fit_saturation, good_fits
 from spanloom.operators.expect import expect, not_null, within
 from spanloom.plans.aggregates import rounded
 from spanloom.plans.registry import query
+from spanloom.plans.stats import DAY, cuts_sql
 
 _WIDE = """
 WITH w AS (SELECT l_orderkey, sum(l_extendedprice) FILTER (l_linenumber = 1) AS price_1, sum(l_extendedprice) FILTER (l_linenumber = 2) AS price_2,
@@ -146,9 +147,13 @@ def _(t):
     return M.extend_ranges(part_ranges(t), "A", "R").select("part", "A_low", "A_high")
 
 
-@query("d09_batch_membership")
+@query("d09_batch_membership", cuts_sql(f"""u AS (SELECT c_custkey, c_nationkey, c_mktsegment, min(o_orderdate) AS pre, max(o_orderdate) AS post
+  FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL),
+ o AS (SELECT c_custkey, c_mktsegment, pre, post, 0 AS g, {DAY.format('pre')} AS x FROM u WHERE NOT (c_nationkey >= 0 AND c_nationkey < 10) AND pre IS NOT NULL)""", 9) + """,
+ b AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS cluster, min(o_orderdate) AS pre, max(o_orderdate) AS post FROM orders GROUP BY 1)
+SELECT c_custkey, pre, post, cluster + 2 AS cluster, c_mktsegment FROM j
+UNION ALL SELECT c_custkey, b.pre, b.post, b.cluster, c_mktsegment FROM u JOIN b ON b.cluster = CASE WHEN c_nationkey < 5 THEN 1 ELSE 2 END WHERE c_nationkey >= 0 AND c_nationkey < 10""")
 def _(t):
-    # Rows only: the SQL twin would need the optimal clustering.
     span = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("t0"), F.max("o_orderdate").alias("t1"))
     units = J.join_null_safe(t.customer.select("c_custkey", "c_nationkey"), span, [("c_custkey", "o_custkey")])
     batches = t.orders.groupBy(F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("cluster")).agg(
@@ -158,7 +163,10 @@ def _(t):
     return M.batch_membership(units, "c_custkey", "c_nationkey", [(0, 5, 1), (5, 10, 2)], batches, "t0", "t1", 9, labels)
 
 
-@query("d10_session_times")
+@query("d10_session_times", cuts_sql(f"""o AS (SELECT o_orderstatus AS g, min(o_orderdate) AS t0, max(o_orderdate) AS t1, {DAY.format('min(o_orderdate)')} AS x
+  FROM orders GROUP BY o_orderstatus, o_custkey)""", 4) + """
+SELECT g AS o_orderstatus, cluster, make_timestamp(CAST(sum(CAST(epoch_us(t0) AS HUGEINT)) // count(*) AS BIGINT)) AS t0,
+  make_timestamp(CAST(sum(CAST(epoch_us(t1) AS HUGEINT)) // count(*) AS BIGINT)) AS t1 FROM j GROUP BY ALL""")
 def _(t):
     span = t.orders.groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderdate").alias("t0"), F.max("o_orderdate").alias("t1"))
     return M.session_times(span, ["o_orderstatus"], "t0", "t1", 4)

@@ -101,11 +101,11 @@ def _(t):
     return fits(t)[1].select("l_suppkey", F.round(curves.critical_x(F.col("k")), 3).alias("x_critical"))
 
 
-def _cuts_sql(clusters=5):
-    """Optimal cuts by dynamic programming over the distinct days, one table of least sums of squares per cluster."""
+def cuts_sql(rows, clusters):
+    """Optimal cuts of the days x by group g of ``rows`` (the tables ending in o): dynamic programming over the distinct days, one table of least sums of squares per cluster; ends in j(…, cluster)."""
     square = "(b.cxx - a.cxx) - (b.cx - a.cx) * (b.cx - a.cx) / (b.cn - a.cn)::DOUBLE"
-    text = """
-WITH o AS (SELECT o_orderkey, o_orderstatus AS g, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS x FROM orders),
+    text = f"""
+WITH {rows},
  v AS (SELECT g, x, count(*) AS n FROM o GROUP BY ALL),
  c AS (SELECT g, x, row_number() OVER w AS j, sum(n) OVER w AS cn, sum(n * x) OVER w AS cx, sum(n * x * x) OVER w AS cxx FROM v WINDOW w AS (PARTITION BY g ORDER BY x)),
  k1 AS (SELECT g, j, cn, cx, cxx, cxx - cx * cx / cn::DOUBLE AS s, 0 AS cut FROM c)"""
@@ -118,10 +118,14 @@ WITH o AS (SELECT o_orderkey, o_orderstatus AS g, date_diff('day', DATE '1995-01
         text += f", z{k} AS (SELECT g, k{k}.cut FROM k{k} JOIN z{k + 1} z USING (g) WHERE k{k}.j = z.cut)"
     places = " + ".join(f"(c.j > z{k}.cut)::INT" for k in range(2, clusters + 1))
     joins = " ".join(f"JOIN z{k} ON z{k}.g = c.g" for k in range(2, clusters + 1))
-    return text + f" SELECT o_orderkey, o.g AS o_orderstatus, 1 + {places} AS cluster FROM o JOIN c ON o.g = c.g AND o.x = c.x {joins}"
+    return text + f", j AS (SELECT o.*, 1 + {places} AS cluster FROM o JOIN c ON o.g = c.g AND o.x = c.x {joins})"
 
 
-@query("t06_kmeans_1d", _cuts_sql())
+DAY = "date_diff('day', DATE '1995-01-01', CAST({} AS DATE))"
+
+
+@query("t06_kmeans_1d", cuts_sql(f"o AS (SELECT o_orderkey, o_orderstatus AS g, {DAY.format('o_orderdate')} AS x FROM orders)", 5)
+       + " SELECT o_orderkey, g AS o_orderstatus, cluster FROM j")
 def _(t):
     return cluster.kmeans_1d(t.orders, ["o_orderstatus"], "o_orderdate", 5).select("o_orderkey", "o_orderstatus", "cluster")
 
