@@ -3,10 +3,10 @@
 Every language gets a model of order four over lower-cased letters (anything
 else is one space). Four-gram counts over all training texts are summed in
 Spark; continuation counts, discounts and back-off weights follow by grouping.
-A model is kept as sorted hash arrays: for orders 2 to 4 the discounted
-probability by n-gram and the back-off weight by context, keyed by the packed
-n-gram modulo a prime, so no array can pass ``SPACE_SIZE`` entries whatever the
-corpus. A text takes the language with the lowest cross-entropy a character.
+A model is a table of discounted probabilities by n-gram and back-off weights by
+context, keyed by the whole packed n-gram. Up to ``MOST_KEYS`` entries it is sent
+to the tasks as sorted arrays; a larger one stays in Spark, and the n-grams of
+the texts are joined with it, with the same result. A text takes the language with the lowest cross-entropy a character.
 Whether it is rejected is decided against the cross-entropies of training
 texts of the same language and order of length.
 """
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.texts import U64, mix
 from spanloom.session import cut_lineage
 
-SPACE_SIZE = 4_194_301
+#: Entries of a model that is held as arrays, 12 bytes each.
+MOST_KEYS = 8_000_000
 ORDERS = (4, 3, 2, 1)
 PAD, BLANK = 1, 32
 UNKNOWN = "und"
@@ -100,18 +101,23 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Models:
-    """By language the hash arrays of each order, single characters, and the limits of rejection."""
+    """By language the sorted arrays of each order, single characters, and the limits of rejection.
+
+    A model too large for arrays has those of order 1 only, and ``table``: lang
+    (its place in ``langs``), n, kind (0 n-grams, 1 contexts), key, value.
+    """
 
     langs: list[str]
     grams: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
     backs: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
     floor: dict[str, float]
     limits: dict[tuple[str, int], float]
+    table: DataFrame | None = None
 
     @staticmethod
     def look(table: tuple[np.ndarray, np.ndarray], packed: np.ndarray, missing: float) -> np.ndarray:
         keys, values = table
-        key = (packed.view(np.int64) % SPACE_SIZE).astype(np.int32)
+        key = packed.view(np.int64)
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         return np.where(keys[at] == key, values[at], missing)
 
@@ -141,27 +147,31 @@ def fit(docs: DataFrame, train: Column | None = None, text: str = "text", lang:
         gaps = gaps.withColumn("off", F.greatest(F.lit(0.1), F.least(F.lit(0.9), "off")))
         contexts = level.groupBy(F.col("lang").alias("l"), shorter.alias("context")).agg(F.sum("c").alias("total"), F.count("*").alias("types"))
         priced = level.join(contexts, (level.lang == F.col("l")) & (shorter == F.col("context"))).join(gaps, level.lang == F.col("of"))
-        tables.append(priced.groupBy("lang", F.pmod("gram", F.lit(SPACE_SIZE)).cast("int").alias("key")).agg(
-            F.max(F.greatest(F.col("c") - F.col("off"), F.lit(0.0)) / F.col("total")).alias("value")).select("lang", F.lit(order).alias("n"), F.lit(0).alias("kind"), "key", "value"))
+        value = F.greatest(F.col("c") - F.col("off"), F.lit(0.0)) / F.col("total")
+        tables.append(priced.select("lang", F.lit(order).cast("byte").alias("n"), F.lit(0).cast("byte").alias("kind"), F.col("gram").alias("key"), value.cast("float").alias("value")))
         backs = contexts.join(gaps, F.col("l") == F.col("of"))
-        tables.append(backs.groupBy(F.col("l").alias("lang"), F.pmod("context", F.lit(SPACE_SIZE)).cast("int").alias("key")).agg(
-            F.max(F.col("off") * F.col("types") / F.col("total")).alias("value")).select("lang", F.lit(order).alias("n"), F.lit(1).alias("kind"), "key", "value"))
+        value = F.col("off") * F.col("types") / F.col("total")
+        tables.append(backs.select(F.col("l").alias("lang"), F.lit(order).cast("byte").alias("n"), F.lit(1).cast("byte").alias("kind"), F.col("context").alias("key"), value.cast("float").alias("value")))
         if order > 1:
             level = cut_lineage(level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1)).alias("gram")).agg(F.count("*").alias("c")))
     whole = tables[0]
     for table in tables[1:]:
         whole = whole.union(table)
-    found = whole.toArrow()  # at most SPACE_SIZE keys an order and language
-    frame = {c: found.column(c).to_numpy() for c in ("n", "kind", "key", "value")}
-    names = np.array(found.column("lang").to_pylist(), dtype=object)
-    models = Models(sorted(set(names)), {}, {}, {}, {})
-    characters = len({int(k) for k in frame["key"][(frame["n"] == 1) & (frame["kind"] == 0)]}) + 1
-    for name in models.langs:
-        for n in ORDERS:
+    whole = cut_lineage(whole)
+    langs = sorted(r["lang"] for r in whole.where("n = 1 and kind = 1").select("lang").collect())  # one row a language
+    place = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1 if langs else F.lit(0)
+    whole = whole.withColumn("lang", place.cast("int"))
+    large = whole.count() > MOST_KEYS
+    found = (whole.where("n = 1") if large else whole).toArrow()
+    frame = {c: found.column(c).to_numpy() for c in ("lang", "n", "kind", "key", "value")}
+    models = Models(langs, {}, {}, {}, {}, whole if large else None)
+    characters = len(np.unique(frame["key"][(frame["n"] == 1) & (frame["kind"] == 0)])) + 1
+    for j, name in enumerate(langs):
+        for n in (1,) if large else ORDERS:
             for kind, into in ((0, models.grams), (1, models.backs)):
-                rows = np.flatnonzero((names == name) & (frame["n"] == n) & (frame["kind"] == kind))
+                rows = np.flatnonzero((frame["lang"] == j) & (frame["n"] == n) & (frame["kind"] == kind))
                 rows = rows[np.argsort(frame["key"][rows])]
-                into[name, n] = frame["key"][rows].astype(np.int32), frame["value"][rows].astype(np.float32)
+                into[name, n] = frame["key"][rows], frame["value"][rows]
         models.floor[name] = float(models.backs[name, 1][1][0]) / characters
     return models
 
@@ -211,13 +221,73 @@ def score_texts(shared):
     return run
 
 
+def text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, gram, n, has): the distinct n-grams of each text, and whether it has letters."""
+    letters = letter_table()
+    for batch in batches:
+        numbers = batch.column("__row").to_numpy()
+        for first, _, gram, rows, has in char_runs(batch.column("__text").to_pylist(), letters):
+            order = np.lexsort((gram, rows))
+            gram, rows = gram[order], rows[order]
+            new = np.ones(len(gram), dtype=bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (rows[1:] != rows[:-1])
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(gram)))
+            for k in range(0, len(at), 100_000):
+                some = at[k : k + 100_000]
+                parts = [numbers[first + rows[some]], gram[some].view(np.int64), n[k : k + 100_000], has[rows[some]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["row", "gram", "n", "has"])
+
+
+def priced_grams(models: Models, grams: DataFrame) -> DataFrame:
+    """(gram, p): natural logarithms by language of the distinct ``grams``, by joins with the model's table."""
+    langs = range(len(models.langs))
+
+    def entries(n: int, kind: int, missing: float, name: str) -> DataFrame:
+        some = models.table.where((F.col("n") == n) & (F.col("kind") == kind)).groupBy(F.col("key").alias(f"{name}_key"))
+        return some.agg(F.array(*[F.coalesce(F.max(F.when(F.col("lang") == j, F.col("value").cast("double"))), F.lit(missing)) for j in langs]).alias(name))
+
+    out = grams.withColumn("p", F.array(*[F.lit(models.floor[x]) for x in models.langs]))
+    for n in sorted(ORDERS):
+        part = F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1)) if n < 4 else F.col("gram")
+        out = out.join(entries(n, 0, 0.0, "own"), part == F.col("own_key"), "left")
+        own = F.coalesce("own", F.array(*[F.lit(0.0) for _ in langs]))
+        if n > 1:
+            out = out.join(entries(n, 1, 1.0, "back"), F.shiftrightunsigned(part, 16) == F.col("back_key"), "left")
+            out = out.withColumn("p", F.zip_with(F.coalesce("back", F.array(*[F.lit(1.0) for _ in langs])), "p", lambda a, b: a * b))
+        out = out.select("gram", F.zip_with(own, "p", lambda a, b: a + b).alias("p"))
+    return out.withColumn("p", F.transform("p", lambda x: F.ln(x)))
+
+
+def identify_by_joins(rows: DataFrame, models: Models) -> DataFrame:
+    """The result of ``score_texts`` for a model that stays in Spark."""
+    names = rows.columns[1:]
+    rows = cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()))
+    each = cut_lineage(rows.select("__row", "__text").mapInArrow(text_grams, "row long, gram long, n long, has boolean"))
+    prices = priced_grams(models, each.select("gram").distinct())
+    sums = each.join(prices, "gram").groupBy("row").agg(
+        F.max("has").alias("__has"), F.sum("n").alias("__length"), F.array(*[F.sum(F.col("n") * F.get("p", F.lit(j))) for j in range(len(models.langs))]).alias("__sums"),
+    )
+    sums = sums.withColumn("__mean", F.transform("__sums", lambda x: -x / F.col("__length"))).withColumn("__low", F.array_min("__mean"))
+    weight = F.aggregate("__mean", F.lit(0.0), lambda s, x: s + F.exp(-(x - F.col("__low")) * F.least(F.col("__length"), F.lit(10_000))))
+    best = F.element_at(F.array(*[F.lit(x) for x in models.langs]), F.array_position("__mean", F.col("__low")).cast("int"))
+    sums = sums.select(F.col("row").alias("__of"), "__has", "__length", "__low", weight.alias("__weight"), best.alias("__best"))
+    has = F.coalesce("__has", F.lit(False))
+    return rows.join(sums, F.col("__row") == F.col("__of"), "left").select(
+        *[F.col(f"`{c}`") for c in names], F.when(has, F.col("__best")).otherwise(UNKNOWN).alias("lang_pred"), F.when(has, F.col("__low")).alias("entropy"),
+        F.coalesce("__length", F.lit(0)).cast("long").alias("length"), F.when(has, 1 / F.col("__weight")).otherwise(0.0).alias("score"),
+    )
+
+
 def identify(docs: DataFrame, models: Models, keep: list[Column], text: str = "text") -> DataFrame:
     """``keep`` beside lang_pred, entropy (nats a character), length and score of every row.
 
     A text that is null or has no letter is ``und`` with score 0 and no entropy.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((models.langs, models.grams, models.backs, models.floor, {}))
     rows = docs.select(F.col(text).cast("string").alias("__text"), *keep)
+    if models.table is not None:
+        return identify_by_joins(rows, models)
+    shared = docs.sparkSession.sparkContext.broadcast((models.langs, models.grams, models.backs, models.floor, {}))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     return rows.mapInArrow(score_texts(shared), f"{kinds}{', ' if kinds else ''}lang_pred string, entropy double, length long, score double")
 

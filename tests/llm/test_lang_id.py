@@ -51,3 +51,29 @@ def test_foreign_script_is_rejected_and_clean_texts_stay(spark):
     odd = spark.createDataFrame([(-1, "Съешь ещё этих мягких французских булок да выпей чаю " * 5, None), (-2, "xq zvk jjw qqp wvx kzj " * 30, None), (-3, None, "en")], docs.schema)
     kept = [r.doc_id for r in L.drop_foreign(docs.union(odd)).select("doc_id").collect()]
     assert not {-1, -2, -3} & set(kept) and len(kept) >= 0.998 * docs.count()
+
+
+def test_unseen_grams_take_no_strangers_entry(spark):
+    seen, far = "\u4e00\u4e10", "\u4e40\u4e0d"
+    models = L.fit(spark.createDataFrame([(seen * 3, "x"), ("abc", "y")], "text string, lang string"))
+    packed = [np.array([(ord(t[0]) << 16) | ord(t[1])], dtype=np.uint64) for t in (seen, far)]
+    # the two differ by a multiple of 4,194,301
+    assert int(packed[1][0] - packed[0][0]) % 4_194_301 == 0
+    assert models.look(models.grams["x", 2], packed[0], 0.0)[0] > 0 and models.look(models.grams["x", 2], packed[1], 0.0)[0] == 0
+    assert len(models.grams["x", 4][0]) == len(np.unique(next(L.char_runs([seen * 3], L.letter_table()))[2]))
+
+
+def test_model_in_spark_scores_like_arrays(spark, monkeypatch):
+    rows = [(-1, None, "en"), (-2, "12 !?", "en"), (-3, "\u4e40\u8e0d\uac00 " * 50, None), (-3, "\u4e40\u8e0d\uac00 " * 50, None)]
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select(F.col("doc_id").cast("long"), "text", "lang")
+    docs = docs.union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = []
+    for most in (L.MOST_KEYS, 0):
+        monkeypatch.setattr(L, "MOST_KEYS", most)
+        models = L.fit(docs)
+        assert (models.table is None) == (most > 0)
+        found.append(sorted(map(tuple, L.identify(docs, models, [F.col("doc_id")]).collect()), key=lambda r: r[0]))
+    assert len(found[0]) == len(found[1]) == docs.count()
+    for a, b in zip(*found):
+        assert a[:2] == b[:2] and a[3] == b[3] and abs(a[4] - b[4]) < 1e-3
+        assert a[2] is b[2] is None or abs(a[2] - b[2]) < 1e-4
