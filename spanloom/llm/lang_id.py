@@ -30,8 +30,8 @@ ORDERS = (4, 3, 2, 1)
 PAD, BLANK = 1, 32
 UNKNOWN = "und"
 CACHE_BITS = 20
-TAIL = 8.0
-LEAST_SPREAD = 0.08
+#: Robust deviations above the median that are rejected, the least deviation as a share of the median, the least rows of a median, and cells of entropy a nat.
+TAIL, LEAST_SPREAD, LEAST_ROWS, CELLS = 6.0, 0.08, 64, 1024
 
 
 def letter_table() -> np.ndarray:
@@ -293,15 +293,40 @@ def identify(docs: DataFrame, models: Models, keep: list[Column], text: str = "t
 
 
 def calibrate(docs: DataFrame, models: Models, train: Column | None = None, text: str = "text", lang: str = "lang") -> Models:
-    """Limits of rejection: mean plus ``TAIL`` deviations (each ``LEAST_SPREAD`` of the mean at least) of the entropies of training texts, by language and power of two of length."""
+    """Limits of rejection by language and power of two of length, from the entropies of training texts.
+
+    Median plus ``TAIL`` robust deviations (median deviation, ``LEAST_SPREAD`` of
+    the median at least), which less than half of junk rows cannot move. A group
+    of fewer than ``LEAST_ROWS`` rows is pooled with the nearest lengths of its
+    language, so that no row is held against little but itself.
+    """
     base = docs.where(F.col(lang).isNotNull() & (F.lit(True) if train is None else train))
-    seen = identify(base, models, [F.col(lang).cast("string").alias("lang")], text).where("lang = lang_pred")
-    rows = seen.groupBy("lang", F.floor(F.log2("length")).cast("int").alias("size")).agg(F.count("*").alias("n"), F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("spread"))
-    for row in rows.collect():  # languages times orders of length
-        models.limits[row["lang"], row["size"]] = row["mean"] + TAIL * max(row["spread"], LEAST_SPREAD * row["mean"])
+    seen = identify(base, models, [F.col(lang).cast("string").alias("lang")], text).where("lang = lang_pred and entropy is not null")
+    cells = seen.groupBy("lang", F.floor(F.log2("length")).cast("int").alias("size"), F.floor(F.col("entropy") * CELLS).cast("long").alias("cell")).agg(F.count("*").alias("n"))
+    found: dict[str, dict[int, list]] = {}
+    for row in cells.collect():  # languages times orders of length times cells
+        found.setdefault(row["lang"], {}).setdefault(row["size"], []).append((row["cell"], row["n"]))
+    for name, sizes in found.items():
+        for size in sizes:
+            pooled: list = []
+            for away in range(max(sizes) - min(sizes) + 1):
+                pooled += [x for s in {size - away, size + away} for x in sizes.get(s, ())]
+                if sum(n for _, n in pooled) >= LEAST_ROWS:
+                    break
+            entropy, n = (np.array(x) for x in zip(*pooled))
+            entropy = (entropy + 0.5) / CELLS
+            middle = weighted_median(entropy, n)
+            spread = 1.4826 * weighted_median(np.abs(entropy - middle), n)
+            models.limits[name, size] = middle + TAIL * max(spread, LEAST_SPREAD * middle)
     return models
 
 
+def weighted_median(values: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(n[order])
+    return float(values[order][np.searchsorted(upto, upto[-1] / 2)])
+
+
 def rejected(models: Models, lang: Column, entropy: Column, length: Column) -> Column:
     """Whether a text fits no model; one of a length that no training text had is judged by the nearest known length."""
     out = lang == UNKNOWN

@@ -77,3 +77,16 @@ def test_model_in_spark_scores_like_arrays(spark, monkeypatch):
     for a, b in zip(*found):
         assert a[:2] == b[:2] and a[3] == b[3] and abs(a[4] - b[4]) < 1e-3
         assert a[2] is b[2] is None or abs(a[2] - b[2]) < 1e-4
+
+
+def test_labelled_junk_is_rejected_in_small_groups_and_in_mass(spark):
+    draw = np.random.default_rng(7)
+
+    def junk(n):
+        return "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz     "), n))
+
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select(F.col("doc_id").cast("long"), "text", "lang")
+    # one very long row, a few of a rare length, and some per cent of the common lengths
+    rows = [(-1, junk(140_000), "en")] + [(-2 - i, junk(33_000), "de") for i in range(3)] + [(-10 - i, junk(int(draw.integers(600, 4000))), "en") for i in range(25)]
+    kept = [r.doc_id for r in L.drop_foreign(docs.union(spark.createDataFrame(rows, docs.schema))).select("doc_id").collect()]
+    assert not [i for i in kept if i < 0] and len(kept) >= 0.998 * docs.count()
