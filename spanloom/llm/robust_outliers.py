@@ -22,12 +22,12 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SHARE = 0.75
 STEPS = 6
-#: Squared distance that one in ten thousand normal vectors of five statistics passes, and their median.
-LIMIT, MEDIAN = 25.745, 4.351
+#: Squared distance that one in ten thousand normal vectors of five statistics passes, and the median for none to five statistics.
+LIMIT, MEDIANS = 25.745, (0.0, 0.455, 1.386, 2.366, 3.357, 4.351)
 LEAST_ROWS = 20
 CELL = 32.0
-#: Spread that each statistic has at least: smaller differences never make an outlier.
-FLOOR = {"x1": 0.3, "x2": 0.15, "x3": 0.45, "x4": 0.8, "x5": 0.9}
+#: Spread that each statistic has at least, the noise of counting: a few words more, one symbol, one repeated passage or line in a text of usual length.
+FLOOR = {"x1": 0.1, "x2": 0.05, "x3": 0.2, "x4": 0.5, "x5": 0.6}
 
 
 def without(text: Column, symbols: str) -> Column:
@@ -100,19 +100,19 @@ def distance(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def factor(moments: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
-    """Triangular factor of the covariance columns ``c_…``; the floor is added to the diagonal."""
-    out = moments
+    """Triangular factor of the covariance columns ``c_…``, with the floor as least diagonal, and ``free``, how many statistics are above it."""
+    out = moments.withColumn("free", F.lit(0))
     for i, a in enumerate(names):
         for j, b in enumerate(names[: i + 1]):
             value = F.col(f"c_{a}_{b}")
             for c in names[:j]:
                 value = value - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
             if a == b:
-                # what rounding takes below the floor is put back
-                out = out.withColumn(f"l_{a}_{a}", F.sqrt(F.greatest(value + F.lit(FLOOR[a] ** 2), F.lit(FLOOR[a] ** 2))))
+                least = F.lit(FLOOR[a] ** 2)
+                out = out.withColumns({f"l_{a}_{a}": F.sqrt(F.greatest(value, least)), "free": F.col("free") + (value > least).cast("int")})
             else:
                 out = out.withColumn(f"l_{a}_{b}", value / F.col(f"l_{b}_{b}"))
-    return out.select(*keys, *[f"m_{a}" for a in names], *[f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]])
+    return out.select(*keys, "free", *[f"m_{a}" for a in names], *[f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]])
 
 
 def shared(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,7 +133,7 @@ def level(rows: DataFrame, value: Column, share: float, keys: list[str]) -> Data
 
 
 def estimate(rows: DataFrame, names: list[str], keys: list[str], steps: int = STEPS) -> DataFrame:
-    """By group centre ``m_…``, factor ``l_…`` and ``scale`` of the minimum covariance determinant estimate."""
+    """By group centre ``m_…`` and factor ``l_…`` of the minimum covariance determinant estimate, and ``rows``."""
     # start: medians and median deviations, to a cell
     start = None
     for a in names:
@@ -148,20 +148,25 @@ def estimate(rows: DataFrame, names: list[str], keys: list[str], steps: int = ST
             start = start.withColumn(f"c_{a}_{b}", F.lit(0.0))
     model = cut_lineage(factor(start, names, keys))
     close = CELL * F.log1p("d2")
-    for _ in range(steps):
+    for _ in range(max(1, steps)):
         near = distance(shared(rows, model, keys), names).select(*keys, *names, "d2")
         chosen = shared(near, level(near, close, SHARE, keys), keys).where(F.floor(close) <= F.col("cell"))
         # sums around zero would lose digits; the group's rows are close to each other, so pairs of deviations are fine
-        moments = chosen.groupBy(*keys).agg(
+        moments = cut_lineage(chosen.groupBy(*keys).agg(
             *[F.avg(a).alias(f"m_{a}") for a in names],
             *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]],
-        )
+        ))
         model = cut_lineage(factor(moments, names, keys))
     near = distance(shared(rows, model, keys), names)
-    middle = level(near, close, 0.5, keys).select(*keys, (F.expm1((F.col("cell") + 1) / CELL) / MEDIAN).alias("ratio"))
+    middle = level(near, close, 0.5, keys).select(*keys, F.expm1((F.col("cell") + 1) / CELL).alias("middle"))
     size = rows.groupBy(*keys).agg(F.count("*").alias("rows"))
-    # the estimate of the closest rows is too narrow; it is never made narrower
-    return shared(shared(model, middle, keys), size, keys).withColumn("scale", F.greatest(F.lit(1.0), "ratio"))
+    # the spread of the closest rows becomes that of all by the median distance, up or down; floors stay what they are
+    usual = F.element_at(F.array(*[F.lit(m) for m in MEDIANS]), F.col("free") + 1)
+    ratio = F.when(F.col("free") > 0, F.col("middle") / F.greatest(usual, F.lit(MEDIANS[1]))).otherwise(1.0)
+    ratio = shared(model.select(*keys, "free"), middle, keys).select(*keys, ratio.alias("ratio"))
+    wide = shared(moments, ratio, keys)
+    wide = wide.withColumns({c: F.col(c) * F.col("ratio") for c in moments.columns if c.startswith("c_")})
+    return shared(factor(wide, names, keys), size, keys)
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys: tuple[str, ...] = ("lang", "source"), steps: int = STEPS) -> DataFrame:
@@ -182,6 +187,6 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys: tup
     for g in groups:
         match = match & F.col(g).eqNullSafe(F.col(f"{g}_"))
     vectors = rows.select("*", *[F.when(~F.col("base_failed"), c).alias(n) for n, c in statistics().items()])
-    far = distance(vectors.join(named, match, "left"), names).withColumn("d2", F.col("d2") / F.col("scale"))
+    far = distance(vectors.join(named, match, "left"), names)
     kept = ~F.col("base_failed") & ((F.coalesce("rows", F.lit(0)) < LEAST_ROWS) | ~(F.coalesce("d2", F.lit(0.0)) > LIMIT))
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")

@@ -55,3 +55,22 @@ def test_empty_table_and_other_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id int, text string, lang string, source string, n_words int")
     assert R.judge(docs.limit(0)).count() == 0
     assert R.judge(docs).first().kept is False
+
+
+def test_rows_extreme_in_one_statistic_go(spark):
+    draw = random.Random(4)
+    words = [f"wo{i:03}" for i in range(900)]
+
+    def text(n):
+        return [draw.choice(words) for _ in range(n)]
+
+    rows = [(i, " ".join(text(draw.randint(80, 300)))) for i in range(300)]
+    rows += [(1000, " ".join(w + "%" if i % 4 == 0 else w for i, w in enumerate(text(200))))]  # symbols: some 5 %
+    rows += [(1001, " ".join((w := text(180)) + w[:18]))]  # 18 % repeated words
+    rows += [(1002, "\n".join((w := [" ".join(text(4)) for _ in range(30)]) + w[17::-1]))]  # 37 % repeated lines
+    rows += [(1003, " ".join(w + "abc" for w in text(200)))]  # words longer by 60 %
+    rows += [(1004, " ".join(draw.choices([f"{a:05}" for a in range(100_000)], k=30_000)))]  # length
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id int, text string, lang string, source string")
+    found = R.judge(docs).collect()
+    assert not [r.doc_id for r in found if r.doc_id >= 1000 and (r.kept or r.base_failed)]
+    assert sum(not r.kept for r in found if r.doc_id < 1000) <= 1
