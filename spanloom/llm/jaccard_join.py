@@ -320,7 +320,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     asked = asked.join(classes.select("sig", "doc_id"), "sig").select("sig", F.col("doc_id").alias("rep"))
     texts = base.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("sig", "text")
     # an id may come with several texts; only the one of the class counts
-    sets = texts.mapInArrow(own_sets(width), "sig long, tokens binary").dropDuplicates(["sig"])
+    sets = texts.mapInArrow(own_sets(width), "sig long, tokens binary")
+    # classes without any id are found by signature
+    nameless = base.where("doc_id is null").select("text").mapInArrow(signed_sets(width), "sig long, tokens binary")
+    sets = sets.union(nameless.join(asked.where("rep is null").select("sig"), "sig", "left_semi")).dropDuplicates(["sig"])
     sets = cut_lineage(sets)
     links = (
         cold.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("xs")), "a")
@@ -352,6 +355,18 @@ def own_sets(width: int):
     return run
 
 
+def signed_sets(width: int):
+    """Token sets with the signatures they have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, found in shingle_sets(batch.column("text"), width):
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(signature(found))], pa.int64()), pa.array([found.tobytes()], pa.binary())], names=["sig", "tokens"])
+
+    return run
+
+
 def left_over_links(clusters: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components of a cluster, component by component."""
     members = clusters.join(roots, "node", "left").select(F.col("node").alias("sig"), "cluster", F.coalesce("root", "node").alias("root"))

@@ -85,3 +85,15 @@ def test_long_chain_closes(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components(edges).collect()} == {0}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_text_without_id_links_its_neighbours(spark):
+    words = [f"w{i}" for i in range(60)]
+    steps = [J.PERCENT, J.WIDTH]
+    chain = [" ".join(words[i : i + 40]) for i in range(0, 12)]
+    sets = [{tuple(c.split()[k : k + steps[1]]) for k in range(41 - steps[1])} for c in chain]
+    near = lambda i, j: 100 * len(sets[i] & sets[j]) >= steps[0] * len(sets[i] | sets[j])
+    b = max(i for i in range(6) if near(0, i))
+    assert b and near(b, 2 * b) and not near(0, 2 * b)
+    docs = spark.createDataFrame([(1, chain[0]), (None, chain[b]), (3, chain[2 * b])], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.component_id) for r in J.jaccard_components(docs).collect()) == [(-1, 1), (1, 1), (3, 1)]
