@@ -92,9 +92,9 @@ def solve(demand: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple, int
     if left[capacity]:
         groups.append(((capacity,), 0, int(left[capacity])))
         left[capacity] = 0
-    # rounding leaves a bounded rest for each pattern; it is priced anew while it is worth a program
+    # rounding leaves a bounded rest for each pattern; it is priced anew while there is one
     for rounds in (ROUNDS, ROUNDS // 2, ROUNDS // 4):
-        if left.sum() < 4 * capacity:
+        if not left.any():
             break
         used = fractional(left, capacity, rounds)
         for key, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):

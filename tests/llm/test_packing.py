@@ -129,3 +129,10 @@ def test_packed_rows_round_trip(spark, tokenizer):
         for i, text in rows:
             assert [x for _, _, ids in sorted(parts[i]) for x in ids] == ids_of(tokenizer, text)
     assert R.pack_rows(docs.limit(0)).count() == 0
+
+
+def test_program_runs_for_few_pieces(monkeypatch):
+    runs, whole = [], B.fractional
+    monkeypatch.setattr(B, "fractional", lambda *a: runs.append(a) or whole(*a))
+    B.solve(histogram(1, 50), 256)
+    assert runs
