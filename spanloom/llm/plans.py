@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import best_fit_lp, jaccard_join, lang_id, max_score, mixing, packed_rows, pu_toxicity, robust_outliers, site_templates, surrogates
+from spanloom.llm import best_fit_lp, jaccard_join, lang_id, max_score, mixing, packed_rows, pu_toxicity, robust_outliers, site_templates, surrogates, turn_repair, turn_trie
 from spanloom.llm.sql import SQL
 from spanloom.session import tune
 
@@ -85,6 +85,20 @@ def op10_kneser_ney(table):
     return lang_id.identify(docs, models, [F.col("doc_id"), held_out.alias("held_out")]).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op11_turn_trie(table):
+    turns = turn_trie.numbered_turns(table("conversations"))
+    ids = table("conversations").select(F.col("conv_id").cast("long").alias("conv_id")).where("conv_id is not null").distinct()
+    return turn_trie.prefix_trie(turn_trie.borrowed_starts(turns), ids)
+
+
+@query
+def op13_turn_repair(table):
+    turns = table("conversations")
+    ids = turns.select("conv_id").distinct()
+    return turn_repair.whole_report(ids, turn_repair.damage(turns, F.col("conv_id"), F.col("turn")))
+
+
 def all_queries() -> dict:
     return dict(QUERIES)
 
