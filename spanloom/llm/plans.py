@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import best_fit_lp, jaccard_join, lang_id, max_score, mixing, packed_rows, pu_toxicity, robust_outliers, site_templates, surrogates, turn_repair, turn_trie
+from spanloom.llm import best_fit_lp, chosen_path, jaccard_join, lang_id, max_score, mixing, packed_rows, pu_toxicity, robust_outliers, site_templates, surrogates, turn_repair, turn_trie
 from spanloom.llm.sql import SQL
 from spanloom.session import tune
 
@@ -92,6 +92,11 @@ def op11_turn_trie(table):
     return turn_trie.prefix_trie(turn_trie.borrowed_starts(turns), ids)
 
 
+@query
+def op12_chosen_path(table):
+    return chosen_path.similar_components(table("documents"))
+
+
 @query
 def op13_turn_repair(table):
     turns = table("conversations")
