@@ -38,9 +38,11 @@ SKETCH = 64
 #: Classes of a node that is compared exhaustively.
 SMALL = 24
 #: Share of its parent's classes from which a node counts as near copies.
-COHERENT = 0.85
+COHERENT = 0.93
 #: Deepest branching; nodes that are still large are compared like those of near copies.
-DEEPEST = 40
+DEEPEST = SKETCH // 2
+#: Most trees.
+TREES = 64
 #: Chance to find a pair that is just similar enough, at the depth of the recall estimate.
 RECALL, RECALL_DEPTH = 0.9999, 8
 #: Standard deviations of a sketch's estimate that a pair may fall short of the limit.
@@ -59,7 +61,7 @@ def meeting_chance(depth: int, similarity: float) -> float:
 
 def trees_needed(percent: int, recall: float = RECALL, depth: int = RECALL_DEPTH) -> int:
     missed = 1 - meeting_chance(depth, percent / 100)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(missed)))
+    return min(TREES, math.ceil(math.log(1 - recall) / math.log(missed)))
 
 
 def summarise(width: int):
@@ -88,9 +90,14 @@ def summarise(width: int):
     return run
 
 
-def branch(similarity: float, trees: int | None = None):
-    """Children (node, sig, n, was): from (sig, n, sketch) those of all roots, else from (sig, n, sketch, node, m) those of large nodes."""
+def branch(similarity: float, depth: int, trees: int | None = None):
+    """Children (node, sig, n, was): from (sig, n, sketch) those of all roots, else from (sig, n, sketch, node, m) those of large nodes.
+
+    A tree has an order of the sketch's places of its own and two of them for each depth, so
+    no path meets a place again. The last bits of a node name its tree.
+    """
     two = 1 / similarity - 1
+    places = np.stack([np.random.default_rng(tree).permutation(SKETCH) for tree in range(TREES)])[:, 2 * depth - 2 : 2 * depth]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,21 +108,20 @@ def branch(similarity: float, trees: int | None = None):
             tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u4").reshape(rows, SKETCH)
             out = []
 
-            def go(node, was, which, pick):
-                place = (mix(node + U64(pick + 1)) % U64(SKETCH)).astype(np.int64)
-                if pick:  # another place than the first
-                    other = (mix(node + U64(1)) % U64(SKETCH)).astype(np.int64)
-                    place = np.where(place == other, (other + 1) % SKETCH, place)
-                token = tokens[which, place].astype(U64)
-                child = mix(mix(node * U64(SKETCH) + place.astype(U64)) + token)
+            def go(node, was, which, second):
+                tree = node % U64(TREES)
+                pick = (mix(node) & U64(1)).astype(np.int64) ^ second
+                place = places[tree.astype(np.int64), pick]
+                child = mix(mix(node * U64(2) + pick.astype(U64)) + tokens[which, place].astype(U64))
+                child = child - child % U64(TREES) + tree
                 out.append((child.view(np.int64), sig[which], n[which], was))
 
             with np.errstate(over="ignore"):
                 everything = np.arange(rows)
                 if trees is not None:
-                    for root in mix(np.arange(1, trees + 1, dtype=U64)):
-                        for pick in (0, 1):
-                            go(np.full(rows, root), np.full(rows, -1, np.int64), everything, pick)
+                    for root in range(trees):
+                        for second in (0, 1):
+                            go(np.full(rows, root, U64), np.full(rows, -1, np.int64), everything, second)
                 else:
                     node, m = batch.column(3).to_numpy().view(U64), batch.column(4).to_numpy()
                     go(node, m, everything, 0)
@@ -172,7 +178,7 @@ def like_sketches(percent: int):
 def candidates(classes: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of small nodes, and members (node, sig) of the nodes of near copies."""
     light = classes.select("sig", "n", "sketch")
-    entries = light.mapInArrow(branch(percent / 100, trees), "node long, sig long, n long, was long")
+    entries = light.mapInArrow(branch(percent / 100, 1, trees), "node long, sig long, n long, was long")
     pairs, near = [], []
     for depth in range(1, DEEPEST + 1):
         sizes = entries.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
@@ -186,7 +192,7 @@ def candidates(classes: DataFrame, percent: int, trees: int) -> tuple[DataFrame,
         if not on.limit(1).count():
             break
         below = on.select("sig", "node", "m").join(light, "sig").select("sig", "n", "sketch", "node", "m")
-        entries = below.mapInArrow(branch(percent / 100), "node long, sig long, n long, was long")
+        entries = below.mapInArrow(branch(percent / 100, depth + 1), "node long, sig long, n long, was long")
     every, members = pairs[0], near[0]
     for some, more in zip(pairs[1:], near[1:]):
         every, members = every.union(some), members.union(more)
