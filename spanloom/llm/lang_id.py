@@ -25,11 +25,13 @@ from spanloom.llm.texts import U64, mix
 from spanloom.session import cut_lineage
 
 #: Entries of a model that is held as arrays, 12 bytes each.
-MOST_KEYS = 8_000_000
+MOST_KEYS = 4_000_000
 ORDERS = (4, 3, 2, 1)
 PAD, BLANK = 1, 32
 UNKNOWN = "und"
-CACHE_BITS = 20
+CACHE_BITS = 16
+#: The private codes below 2**16, for letters above it.
+WIDE, WIDE_CODES = 0xE000, 0x1900
 #: Robust deviations above the median that are rejected, the least deviation as a share of the median, the least rows of a median, and cells of entropy a nat.
 TAIL, LEAST_SPREAD, LEAST_ROWS, CELLS = 6.0, 0.08, 64, 1024
 
@@ -40,7 +42,7 @@ def letter_table() -> np.ndarray:
     return table
 
 
-def char_runs(texts: list, letters: np.ndarray, at_most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def char_runs(texts: list, letters: np.ndarray, at_most: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of texts: first and last row, packed four-grams, their rows, and whether a row has letters."""
     first = 0
     while first < len(texts):
@@ -53,7 +55,9 @@ def char_runs(texts: list, letters: np.ndarray, at_most: int = 1 << 20) -> Itera
         rows = np.repeat(np.arange(last - first), [len(t) + 3 for t in some])
         letter = letters[codes]
         has = np.bincount(rows[letter], minlength=last - first) > 0
-        code = np.where(letter, codes & 0xFFFF, np.where(codes == PAD, PAD, BLANK)).astype(U64)
+        # letters beyond 16 bits share the codes that no letter has, so none is taken for a letter of another script
+        short = np.where(codes > 0xFFFF, WIDE + codes % WIDE_CODES, codes)
+        code = np.where(letter, short, np.where(codes == PAD, PAD, BLANK)).astype(U64)
         keep = np.ones(len(code), dtype=bool)
         keep[1:] = (code[1:] != BLANK) | (code[:-1] != BLANK)
         code, rows = code[keep], rows[keep]
@@ -93,7 +97,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 entries -= sum(len(p[0]) for p in held[lang])
                 held[lang] = [merged(held[lang])]
                 entries += len(held[lang][0][0])
-        if entries > 4_000_000:
+        if entries > 1_000_000:
             yield from out()
             entries = 0
     yield from out()
@@ -196,16 +200,18 @@ def score_texts(shared):
                     fresh, at = np.unique(gram[new], return_index=True)
                     known[slot[new[at]]] = fresh
                     prices[slot[new[at]]] = models.log_probability(fresh)
-                price = prices[slot]
                 again = np.flatnonzero(known[slot] != gram)  # slots that two of this run's n-grams share
-                if len(again) and models.langs:
-                    fresh, at = np.unique(gram[again], return_inverse=True)
-                    price[again] = models.log_probability(fresh)[at]
                 counts = np.bincount(rows, minlength=size)
                 length[first:last] = counts
                 if not models.langs:
                     continue
-                sums = np.stack([np.bincount(rows, weights=price[:, j], minlength=size) for j in range(price.shape[1])], axis=1)
+                fresh, at = np.unique(gram[again], return_inverse=True)
+                fresh = models.log_probability(fresh)
+                sums = np.empty((size, len(models.langs)))
+                for j in range(len(models.langs)):
+                    price = prices[slot, j]
+                    price[again] = fresh[at, j]
+                    sums[:, j] = np.bincount(rows, weights=price, minlength=size)
                 mean = -sums / np.maximum(counts, 1)[:, None]
                 win = np.argmin(mean, axis=1)
                 low = mean[np.arange(size), win]

@@ -45,6 +45,8 @@ KINDS = ("email", "iban", "secret", "ssn", "phone", "card", "ip", "name")
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
 HINT = rf"[0-9@]|(?:{TITLES['f']}|{TITLES['m']})\.? \p{{Lu}}"
 KEY = "corpus"
+#: Draws of a form before an address grows and a family name changes.
+ROOM = 3
 
 
 def check_digit(digits: Column) -> Column:
@@ -106,6 +108,18 @@ def pattern_of(form: Column, key: str, kind: Column, attempt: Column, letters: s
     return F.array_join(F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), one)).otherwise(F.array().cast("array<string>")), "")
 
 
+def with_check(country: Column, account: Column) -> Column:
+    """An account number behind its country and the two check digits that leave 1 modulo 97."""
+    tail = F.concat(account, country, F.lit("00"))
+
+    def step(rest: Column, i: Column) -> Column:
+        own = F.substring(tail, i, F.lit(1))
+        return F.when(own.rlike("[0-9]"), rest * 10 + F.ascii(own) - 48).otherwise(rest * 100 + F.ascii(own) - 55) % 97
+
+    rest = F.aggregate(F.sequence(F.lit(1), F.length(tail)), F.lit(0), step)
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
+
+
 def candidate(key: str, kind: Column, form: Column, sex: Column, attempt: Column) -> Column:
     """Surrogate in canonical form."""
     latin, numbers = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -121,18 +135,22 @@ def candidate(key: str, kind: Column, form: Column, sex: Column, attempt: Column
     reserved = host.rlike(r"(^|\.)example$")
     inner = F.when(reserved, F.regexp_extract(host, r"^(.*?)\.?example$", 1)).otherwise(host)
     label = pattern_of(inner, key, F.lit("host"), attempt, latin, numbers)
+    # a local part without room, of symbols alone or one letter, grows from some draw on
+    longer = drawn(key, F.concat(kind, F.lit("+")), form, attempt, F.lit(latin), F.greatest(attempt - ROOM, F.lit(0)))
     mail = F.concat(
-        pattern_of(F.regexp_extract(form, "^(.*)@", 1), key, F.concat(kind, F.lit(":"), domain), attempt, latin, numbers), F.lit("@"),
+        pattern_of(F.regexp_extract(form, "^(.*)@", 1), key, F.concat(kind, F.lit(":"), domain), attempt, latin, numbers), longer, F.lit("@"),
         label, F.when(inner == "", F.lit("")).otherwise(F.lit(".")), F.lit("example"), tail,
     )
     script = F.when(form.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     name = F.lit(None).cast("string")
+    # a collision changes the given name first, so relatives go on sharing theirs
+    again = F.when(form.contains(" "), F.greatest(attempt - ROOM, F.lit(0))).otherwise(attempt)
     for (s, alphabet), given in GIVEN.items():
         first = F.lower(F.element_at(F.array(*[F.lit(g) for g in given]), (F.pmod(F.xxhash64(F.lit(key), F.lit("given"), F.split(form, " ")[0], attempt), F.lit(len(given))) + 1).cast("int")))
         # drawn for the family name alone, which people without a given name share
         family = F.element_at(F.split(form, " "), -1)
-        c = drawn(key, kind, family, attempt, F.lit(CONSONANTS[alphabet]), F.lit(4), "c")
-        v = drawn(key, kind, family, attempt, F.lit(VOWELS[alphabet]), F.lit(4), "v")
+        c = drawn(key, kind, family, again, F.lit(CONSONANTS[alphabet]), F.lit(4), "c")
+        v = drawn(key, kind, family, again, F.lit(VOWELS[alphabet]), F.lit(4), "v")
         last = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.substring(c, i, F.lit(1)), F.substring(v, i, F.lit(1)))), "")
         name = F.when((sex == s) & (script == alphabet), F.when(form.contains(" "), F.concat_ws(" ", first, last)).otherwise(last)).otherwise(name)
     return (
@@ -141,7 +159,7 @@ def candidate(key: str, kind: Column, form: Column, sex: Column, attempt: Column
         .when(kind == "card", card)
         .when(kind == "secret", drawn(key, kind, form, attempt, F.lit("0123456789abcdef"), size))
         .when(kind == "name", name)
-        .when(kind == "iban", F.concat(F.substring(form, 1, 2), F.upper(pattern_of(F.substring(form, F.lit(3), F.greatest(size - 2, F.lit(0))), key, kind, attempt, latin, numbers))))
+        .when(kind == "iban", with_check(F.upper(F.substring(form, 1, 2)), F.upper(pattern_of(F.substring(form, F.lit(5), F.greatest(size - 4, F.lit(0))), key, kind, attempt, latin, numbers))))
         .otherwise(digits)
     )
 

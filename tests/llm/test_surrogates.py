@@ -73,3 +73,26 @@ def test_very_long_text(spark):
     text = "word " * 200_000 + "bob.1@acme.org" + "a" * 100_000
     row = replaced(spark, [(1, text), (2, "1" * 50_000), (3, "a." * 30_000 + "@x")])
     assert {r.doc_id: len(r.text) for r in row}[2] == 50_000
+
+
+def test_forms_without_room_grow(spark):
+    texts = [(i, f"write to {chr(97 + i)}@example.com") for i in range(26)] + [(26, "or to _@example.com now"), (27, "and -@example.com")]
+    rows = {r.doc_id: r.text for r in replaced(spark, texts)}
+    found = [t.split(" to ")[-1].split()[-1 if i < 26 else 0] for i, t in rows.items() if i < 27]
+    assert len(set(found)) == 27 and not set(found) & {f"{chr(97 + i)}@example.com" for i in range(26)}
+    assert "_@example.com" not in rows[26]
+
+
+def test_account_numbers_keep_valid_check_digits(spark):
+    text = replaced(spark, [(1, "IBAN DE89 3704 0044 0532 0130 00 and GB29NWBK60161331926819.")])[0].text
+    numbers = [text[5:32].replace(" ", ""), text.split()[-1].rstrip(".")]
+    for number, old in zip(numbers, ("DE89370400440532013000", "GB29NWBK60161331926819")):
+        digits = "".join(str(int(c, 36)) for c in number[4:] + number[:4])
+        assert number != old and number[:2] == old[:2] and int(digits) % 97 == 1
+
+
+def test_relatives_keep_one_family_name(spark):
+    given = ["John", "Peter", "Paul", "Mark", "Luke", "Adam", "Eric", "Hugo", "Ivan", "Karl", "Leon", "Max"]
+    rows = replaced(spark, [(i, f"Mr. {g} Smith came.") for i, g in enumerate(given)])
+    names = [r.text.split()[1:3] for r in rows]
+    assert len({tuple(n) for n in names}) == len(given) and len({n[1] for n in names}) < len(given) / 2
