@@ -127,36 +127,41 @@ def _solver(width: int, picks: dict[str, list[int]]):
     return solve
 
 
-def posterior_grid(models: Models, points: int = 97, rounds: int = 4) -> DataFrame:
+def class_sums(models: Models, grid: DataFrame) -> DataFrame:
+    """``log_det_v, slope_v, __a, __slope`` of independent groups at every row of ``grid``, from moments by group size."""
+    moments = models.moments
+    classes = moments.select("response", "size", "m", F.posexplode("squares").alias("pos", "square"))
+    whole = moments.groupBy("response").agg(F.max("n_rows").alias("n_rows"), F.max("shift").alias("shift"), F.first("within").alias("within"))
+    n, m, square, ratio = F.col("size"), F.col("m"), F.col("square"), F.exp("log_ratio")
+    entries = grid.join(classes, "response").groupBy(*KEYS, "step", "log_ratio", "pos").agg(
+        F.sum(square / (n * (1 + n * ratio))).alias("part"), F.sum(-ratio * square / ((1 + n * ratio) * (1 + n * ratio))).alias("slope"),
+        F.sum(m * F.log1p(n * ratio)).alias("log_det_v"), F.sum(m * n * ratio / (1 + n * ratio)).alias("slope_v"),
+    )
+    # one element per entry of the matrix
+    sums = entries.groupBy(*KEYS, "step", "log_ratio").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "part", "slope"))).alias("__m"), F.max("log_det_v").alias("log_det_v"), F.max("slope_v").alias("slope_v")
+    ).join(whole, "response")
+    return sums.withColumns({"__a": F.zip_with("within", "__m.part", lambda w, b: w + b), "__slope": F.col("__m.slope")})
+
+
+def posterior_grid(models: Models, points: int = 97, rounds: int = 4, sums=class_sums, shared: bool = False) -> DataFrame:
     """One row per response, spec and grid point: ``log_ratio, weight`` and what the effects and variances are there.
 
     ``shape`` and ``rate`` belong to the inverse gamma of the residual
     variance, ``beta`` and ``unit_var`` to the t distributions of the effects;
     ``hat`` is the trace of the hat matrix and ``fit`` the square sum of the
-    residuals around effects and group effects.
+    residuals around effects and group effects. ``sums`` gives the cross products
+    under the groups' covariance; with ``shared`` all specs of a response keep one grid.
     """
-    moments, solve = models.moments, _solver(len(models.names) + 1, models.picks)
+    solve = _solver(len(models.names) + 1, models.picks)
     specs = F.explode(F.array(*[F.lit(s) for s in models.picks]))
-    limits = moments.select("response").distinct().select("response", specs.alias("spec"), F.lit(FIRST[0]).alias("lo"), F.lit(FIRST[1]).alias("hi"))
-    classes = moments.select("response", "size", "m", F.posexplode("squares").alias("pos", "square"))
-    whole = moments.groupBy("response").agg(F.max("n_rows").alias("n_rows"), F.max("shift").alias("shift"), F.first("within").alias("within"))
-    n, m, square, ratio = F.col("size"), F.col("m"), F.col("square"), F.exp("log_ratio")
+    limits = models.moments.select("response").distinct().select("response", specs.alias("spec"), F.lit(FIRST[0]).alias("lo"), F.lit(FIRST[1]).alias("hi"))
     for left in reversed(range(rounds)):
         step = (F.col("hi") - F.col("lo")) / (points - 1)
         grid = limits.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(
             *KEYS, step.alias("step"), (F.col("lo") + F.col("__i") * step).alias("log_ratio")
         )
-        met = grid.join(classes, "response")
-        entries = met.groupBy(*KEYS, "step", "log_ratio", "pos").agg(
-            F.sum(square / (n * (1 + n * ratio))).alias("part"), F.sum(-ratio * square / ((1 + n * ratio) * (1 + n * ratio))).alias("slope"),
-            F.sum(m * F.log1p(n * ratio)).alias("log_det_v"), F.sum(m * n * ratio / (1 + n * ratio)).alias("slope_v"),
-        )
-        # one element per entry of the matrix
-        sums = entries.groupBy(*KEYS, "step", "log_ratio").agg(
-            F.array_sort(F.collect_list(F.struct("pos", "part", "slope"))).alias("__m"), F.max("log_det_v").alias("log_det_v"), F.max("slope_v").alias("slope_v")
-        ).join(whole, "response")
-        sums = sums.withColumns({"__a": F.zip_with("within", "__m.part", lambda w, b: w + b), "__slope": F.col("__m.slope")})
-        solved = sums.withColumn("__s", solve("spec", "__a", "__slope")).select(
+        solved = sums(models, grid).withColumn("__s", solve("spec", "__a", "__slope")).select(
             *KEYS, "step", "log_ratio", "n_rows", "shift", "log_det_v", "slope_v", "__s.*"
         )
         shape = (F.col("n_rows") - F.col("rank")) / 2 + PRIOR_NU
@@ -168,9 +173,10 @@ def posterior_grid(models: Models, points: int = 97, rounds: int = 4) -> DataFra
         best = attach(priced, KEYS, __best=F.max("__w"))
         if left:
             mass = best.where(F.col("__w") >= F.col("__best") - DEPTH)
-            limits = cut_lineage(mass.groupBy(*KEYS).agg(
-                (F.min("log_ratio") - F.max("step")).alias("lo"), (F.max("log_ratio") + F.max("step")).alias("hi")
-            ))
+            limits = mass.groupBy(*KEYS).agg((F.min("log_ratio") - F.max("step")).alias("lo"), (F.max("log_ratio") + F.max("step")).alias("hi"))
+            if shared:
+                limits = attach(limits, ["response"], __lo=F.min("lo"), __hi=F.max("hi")).select(*KEYS, F.col("__lo").alias("lo"), F.col("__hi").alias("hi"))
+            limits = cut_lineage(limits)
     best = attach(best.withColumn("__w", F.exp(F.col("__w") - F.col("__best"))), KEYS, __sum=F.sum("__w"))
     return best.select(
         *KEYS, "log_ratio", (F.col("__w") / F.col("__sum")).alias("weight"), "n_rows", "shift", "shape", "rate", "rank",
@@ -236,17 +242,29 @@ def posterior_intervals(grid: DataFrame, models: Models, prob: float = 0.95) ->
     return _effects(grid, models).groupBy(*KEYS, "param").applyInPandas(run, shape)
 
 
+def deviance_means(grid: DataFrame, models: Models) -> DataFrame:
+    """``response, spec, d_mean, units, beta_mean, rows``: the mean deviance given the group effects, and the means it is held against."""
+    w, most = F.col("weight"), max(len(p) for p in models.picks.values())
+    deviance = F.col("n_rows") * (F.log(2 * F.pi()) + F.log("rate") - _digamma(F.col("shape"))) + F.col("shape") / F.col("rate") * F.col("fit") + F.col("hat")
+    at = _each(most, lambda j: F.sum(w * F.coalesce(F.get("beta", F.lit(j)), F.lit(0.0))))
+    return cut_lineage(grid.groupBy(*KEYS).agg(
+        F.sum(w * deviance).alias("d_mean"), F.sum(w * F.col("rate") / (F.col("shape") - 1)).alias("units"), at.alias("beta_mean"), F.max("n_rows").alias("rows")
+    ))
+
+
+def scored(fits: DataFrame) -> DataFrame:
+    """DIC from ``fit``, the square sum of the residuals at the means, and its distance to the best of the response."""
+    at_mean = F.col("rows") * (F.log(2 * F.pi()) + F.log("units")) + F.col("fit") / F.col("units")
+    found = attach(fits.select(*KEYS, (2 * F.col("d_mean") - at_mean).alias("dic")), ["response"], __best=F.min("dic"))
+    return found.select(*KEYS, "dic", (F.col("dic") - F.col("__best")).alias("delta_dic"))
+
+
 def grid_dic(grid: DataFrame, models: Models) -> DataFrame:
     """``response, spec, dic, delta_dic``: twice the mean deviance less that at the means, conditional on the group effects."""
     width, picks = len(models.names) + 1, models.picks
     most = max(len(p) for p in picks.values())
     w = F.col("weight")
-    log_two_pi = F.log(2 * F.pi())
-    deviance = F.col("n_rows") * (log_two_pi + F.log("rate") - _digamma(F.col("shape"))) + F.col("shape") / F.col("rate") * F.col("fit") + F.col("hat")
-    at = _each(most, lambda j: F.sum(w * F.coalesce(F.get("beta", F.lit(j)), F.lit(0.0))))
-    means = cut_lineage(grid.groupBy(*KEYS).agg(
-        F.sum(w * deviance).alias("d_mean"), F.sum(w * F.col("rate") / (F.col("shape") - 1)).alias("units"), at.alias("beta_mean"), F.max("n_rows").alias("rows")
-    ))
+    means = deviance_means(grid, models)
     # mean group effects: the mean shrinkage, and its product with the effects, by group size
     ratio = F.exp("log_ratio")
     shrunk = w * ratio / (1 + F.col("size") * ratio)
@@ -277,9 +295,7 @@ def grid_dic(grid: DataFrame, models: Models) -> DataFrame:
         (F.max("__p.around") - 2 * F.sum("__p.cross") + F.sum(F.col("size") * F.col("__p.own"))).alias("fit"),
         F.max("d_mean").alias("d_mean"), F.max("units").alias("units"), F.max("rows").alias("rows"),
     )
-    at_mean = F.col("rows") * (log_two_pi + F.log("units")) + F.col("fit") / F.col("units")
-    scored = attach(sums.select(*KEYS, (2 * F.col("d_mean") - at_mean).alias("dic")), ["response"], __best=F.min("dic"))
-    return scored.select(*KEYS, "dic", (F.col("dic") - F.col("__best")).alias("delta_dic"))
+    return scored(sums)
 
 
 def best_effects(grid: DataFrame, models: Models, prob: float = 0.95) -> DataFrame:

@@ -9,6 +9,7 @@ from spanloom.operators import ranks as W
 from spanloom.operators import report as P
 from spanloom.operators import reshape as R
 from spanloom.operators import summaries as A
+from spanloom.operators import tree_grid
 from spanloom.operators import variance_grid as G
 from spanloom.operators import welch
 from spanloom.operators.curves import critical_x, fitted_max, inverse_at, with_fitted
@@ -16,6 +17,7 @@ from spanloom.plans.aggregates import rounded
 from spanloom.plans.measures import _RECOVERY, recovery, site_exposure
 from spanloom.plans.registry import query
 from spanloom.plans.stats import _FIT, _P, fits
+from spanloom.plans.trees import forest
 
 _TEXT = "printf('%.2f', round(avg(l_tax * 100), 2)) || CASE WHEN count(*) > 1 THEN ' ± ' || printf('%.2f', round(stddev_samp(l_tax * 100), 2)) ELSE '' END"
 
@@ -157,22 +159,15 @@ def modelled(t):
     return G.posterior_grid(models), models
 
 
-def _grid_sql():
-    """The posterior of every spec on a fixed grid, by symmetric sweeps written out; numbers name the columns of the full design."""
-    segments = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    x = {"(Intercept)": "1"} | {f"c_mktsegment{v}": f"(seg = '{v}')::INT" for v in segments} | {"stagerich": "rich"}
-    x |= {f"c_mktsegment{v}:stagerich": f"(seg = '{v}')::INT * rich" for v in segments}
-    names, y = list(x), len(x)
-    uses = {"habit": range(5), "generation": (0, 5), "both": range(6), "interaction": range(10), "null": (0,)}
-    pairs = [(i, j) for i in range(y + 1) for j in range(i, y + 1)]
-
-    def each(text, of=pairs):
-        return ", ".join(text.format(i=i, j=j, e="exp(lr)") for i, j in of)
+_SEGMENTS = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+_COLUMNS = {"(Intercept)": "1"} | {f"c_mktsegment{v}": f"(seg = '{v}')::INT" for v in _SEGMENTS} | {"stagerich": "rich"}
+_COLUMNS |= {f"c_mktsegment{v}:stagerich": f"(seg = '{v}')::INT * rich" for v in _SEGMENTS}
+_USES = {"habit": range(5), "generation": (0, 5), "both": range(6), "interaction": range(10), "null": (0,)}
 
-    def at(i, j, name="a"):
-        return f"{name}{min(i, j)}_{max(i, j)}"
 
-    ctes = [
+def _customer_ctes(x, pairs, each):
+    y = len(x)
+    return [
         "c AS (SELECT c_nationkey AS g, c_mktsegment AS seg, (c_acctbal > 5000)::INT AS rich, ln(1 + spend) AS spend, c_acctbal / 1000 AS balance"
         " FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS spend FROM orders GROUP BY 1) ON c_custkey = o_custkey)",
         "l AS (SELECT 'spend' AS response, *, spend AS v FROM c WHERE spend IS NOT NULL UNION ALL SELECT 'balance', *, balance FROM c WHERE balance IS NOT NULL)",
@@ -181,11 +176,27 @@ def _grid_sql():
         "gs AS (SELECT response, g, count(*) AS n, " + ", ".join(f"sum(x{i}) AS s{i}" for i in range(y + 1)) + " FROM d GROUP BY ALL)",
         "tt AS (SELECT response, count(*) AS nr, max(shift) AS shift, " + each("sum(x{i} * x{j}) AS t{i}_{j}") + " FROM d GROUP BY 1)",
         "bt AS (SELECT response, " + each("sum(s{i} * s{j} / n) AS b{i}_{j}") + " FROM gs GROUP BY 1)",
-        "gr AS (SELECT -14 + i * 0.025::DOUBLE AS lr FROM range(1121) r(i))",
         "ss AS (SELECT response, lr, sum(ln(1 + n * exp(lr))) AS ldv, sum(n * exp(lr) / (1 + n * exp(lr))) AS sv, "
         + each("sum(s{i} * s{j} / (n * (1 + n * {e}))) AS p{i}_{j}, sum(-{e} * s{i} * s{j} / ((1 + n * {e}) * (1 + n * {e}))) AS d{i}_{j}") + " FROM gs, gr GROUP BY ALL)",
         "a AS (SELECT ss.response, lr, ldv, sv, nr, shift, 0.0::DOUBLE AS ld, " + each("t{i}_{j} - b{i}_{j} + p{i}_{j} AS a{i}_{j}, d{i}_{j}") + " FROM ss JOIN tt USING (response) JOIN bt USING (response))",
     ]
+
+
+def _grid_sql(x, uses, sums, low=-14, high=14):
+    """The posterior of every spec on a fixed grid, by symmetric sweeps written out; numbers name the columns of the full design.
+
+    ``sums`` writes the queries down to ``a``, the cross products at every grid point.
+    """
+    names, y = list(x), len(x)
+    pairs = [(i, j) for i in range(y + 1) for j in range(i, y + 1)]
+
+    def each(text, of=pairs):
+        return ", ".join(text.format(i=i, j=j, e="exp(lr)") for i, j in of)
+
+    def at(i, j, name="a"):
+        return f"{name}{min(i, j)}_{max(i, j)}"
+
+    ctes = [f"gr AS (SELECT {low} + i * 0.025::DOUBLE AS lr FROM range({round((high - low) * 40) + 1}) r(i))", *sums(x, pairs, each)]
     for spec, use in uses.items():
         source, inside = "a", [*use, y]
         of = [(i, j) for i, j in pairs if i in inside and j in inside]
@@ -218,15 +229,18 @@ def _grid_sql():
     return "WITH " + ", ".join(ctes), y
 
 
-_GRID, _Y = _grid_sql()
+_GRID, _Y = _grid_sql(_COLUMNS, _USES, _customer_ctes)
 
 
-@query("t11_mixed_grid", _GRID + """,
+_MEANS = """,
  e AS (SELECT response, spec, w, sh, ra, shift, unnest(params) AS param, unnest(beta) AS b, unnest(unit) AS uv FROM w),
  m AS (SELECT response, spec, param, w, b + CASE WHEN param = '(Intercept)' THEN shift ELSE 0 END AS one, uv * ra / (sh - 1) AS var FROM e
   UNION ALL SELECT response, spec, 'units_var', w, ra / (sh - 1), ra * ra / ((sh - 1) * (sh - 1) * (sh - 2)) FROM w
   UNION ALL SELECT response, spec, 'group_var', w, exp(lr) * ra / (sh - 1), exp(2 * lr) * ra * ra / ((sh - 1) * (sh - 1) * (sh - 2)) FROM w)
-SELECT response, spec, param, round(sum(w * one), 6) AS mean, round(sqrt(sum(w * (var + one * one)) - sum(w * one) * sum(w * one)), 6) AS sd FROM m GROUP BY ALL""")
+SELECT response, spec, param, round(sum(w * one), 6) AS mean, round(sqrt(sum(w * (var + one * one)) - sum(w * one) * sum(w * one)), 6) AS sd FROM m GROUP BY ALL"""
+
+
+@query("t11_mixed_grid", _GRID + _MEANS)
 def _(t):
     return rounded(G.posterior_means(*modelled(t)), "mean", "sd")
 
@@ -248,6 +262,61 @@ def _(t):
 def _(t):
     return G.best_effects(*modelled(t))
 
+TREE_SPECS = {
+    "habit": [("l_linestatus",)], "generation": [("band",)], "both": [("l_linestatus",), ("band",)],
+    "interaction": [("l_linestatus",), ("band",), ("l_linestatus", "band")], "null": [],
+}
+
+
+def tree_modelled(t):
+    """Moments and posterior grid of five specs for two responses of all order lines; effects of suppliers along the forest of region and nation."""
+    lines = t.lineitem.select(
+        F.concat(F.lit("s"), "l_suppkey").alias("tip"), "l_linestatus", F.when(F.col("l_tax") > 0.04, "high").otherwise("low").alias("band"),
+        F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_discount") * 100).cast("double").alias("discount"),
+    )
+    models = tree_grid.tree_moments(lines, ["quantity", "discount"], ["l_linestatus", "band"], TREE_SPECS, "tip", forest(t))
+    return tree_grid.tree_posterior_grid(models), models
+
+
+def _tree_ctes(x, pairs, each):
+    y = len(x)
+    return [
+        # trees cut to the tips in use: a root with one branch moves down
+        "tp AS (SELECT DISTINCT n_regionkey AS tree, n_nationkey AS nation, s_suppkey AS tip, 1 + n_nationkey % 4 * 0.5::DOUBLE AS nl, 0.5::DOUBLE + s_suppkey % 7 * 0.25::DOUBLE AS sl"
+        " FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem))",
+        "cu AS (SELECT tree, nation, tip, CASE WHEN min(nation) OVER t = max(nation) OVER t THEN 0 ELSE nl END AS nl, CASE WHEN count(*) OVER t = 1 THEN 0 ELSE sl END AS sl FROM tp WINDOW t AS (PARTITION BY tree))",
+        "br AS (SELECT nation, tip, coalesce(nl / nullif(max(nl + sl) OVER (PARTITION BY tree), 0), 0) AS nl, coalesce(sl / nullif(max(nl + sl) OVER (PARTITION BY tree), 0), 0) AS sl FROM cu)",
+        "l AS (SELECT r.response, l_suppkey AS g, (l_linestatus = 'O')::INT AS o, (NOT coalesce(l_tax > 0.04, false))::INT AS t,"
+        " CASE r.response WHEN 'quantity' THEN l_quantity ELSE l_discount * 100 END::DOUBLE AS v FROM lineitem, (VALUES ('quantity'), ('discount')) r(response))",
+        "d AS (SELECT response, g, avg(v) OVER (PARTITION BY response) AS shift, "
+        + ", ".join(f"({text})::DOUBLE AS x{i}" for i, text in enumerate(x.values())) + f", v - avg(v) OVER (PARTITION BY response) AS x{y} FROM l)",
+        "gs AS (SELECT response, g, count(*) AS n, " + ", ".join(f"sum(x{i}) AS s{i}" for i in range(y + 1)) + " FROM d GROUP BY ALL)",
+        "tt AS (SELECT response, count(*) AS nr, max(shift) AS shift, " + each("sum(x{i} * x{j}) AS t{i}_{j}") + " FROM d GROUP BY 1)",
+        "tl AS (SELECT response, nation, lr, nl * exp(lr) AS b, n, sl * exp(lr) AS tb, " + ", ".join(f"s{i}" for i in range(y + 1)) + " FROM gs JOIN br ON g = tip, gr)",
+        # tips below their branches, then nations below theirs
+        "na AS (SELECT response, nation, lr, max(b) AS b, sum(n / (1 + n * tb)) AS w, sum(ln(1 + n * tb)) AS ldv, "
+        + ", ".join(f"sum(s{i} / (1 + n * tb)) AS s{i}" for i in range(y + 1)) + ", " + each("sum(s{i} * s{j} / (1 + n * tb) / n - s{i} * s{j} / n) AS p{i}_{j}") + " FROM tl GROUP BY ALL)",
+        "ss AS (SELECT response, lr, sum(ldv + ln(1 + b * w)) AS ldv, " + each("sum(p{i}_{j} - b / (1 + b * w) * s{i} * s{j}) AS p{i}_{j}") + " FROM na GROUP BY ALL)",
+        "a AS (SELECT ss.response, lr, ldv, 0.0::DOUBLE AS sv, nr, shift, 0.0::DOUBLE AS ld, " + each("t{i}_{j} + p{i}_{j} AS a{i}_{j}, 0.0::DOUBLE AS d{i}_{j}") + " FROM ss JOIN tt USING (response))",
+    ]
+
+
+_TREE_GRID, _ = _grid_sql(
+    {"(Intercept)": "1", "l_linestatusO": "o", "bandlow": "t", "l_linestatusO:bandlow": "o * t"},
+    {"habit": (0, 1), "generation": (0, 2), "both": (0, 1, 2), "interaction": range(4), "null": (0,)}, _tree_ctes,
+)
+
+
+@query("t11d_tree_grid", _TREE_GRID + _MEANS.replace(", 6)", ", 5)"))
+def _(t):
+    # effects along trees; means and spreads of all effects and both variances
+    return rounded(G.posterior_means(*tree_modelled(t)), "mean", "sd", digits=5)
+
+
+@query("t11e_tree_scores")
+def _(t):
+    return tree_grid.tree_grid_dic(*tree_modelled(t))
+
 
 def stored_draws(t):
     """A deterministic table shaped like draws: one parameter per supplier and status."""
