@@ -38,13 +38,13 @@ SKETCH = 64
 #: Classes of a node that is compared exhaustively.
 SMALL = 24
 #: Share of its parent's classes from which a node counts as near copies.
-COHERENT = 0.93
+COHERENT = 0.89
 #: Deepest branching; nodes that are still large are compared like those of near copies.
 DEEPEST = SKETCH // 2
 #: Most trees.
 TREES = 64
 #: Chance to find a pair that is just similar enough, at the depth of the recall estimate.
-RECALL, RECALL_DEPTH = 0.9999, 8
+RECALL, RECALL_DEPTH = 0.999, 8
 #: Standard deviations of a sketch's estimate that a pair may fall short of the limit.
 SLACK = 4.75
 
@@ -192,7 +192,8 @@ def candidates(classes: DataFrame, percent: int, trees: int) -> tuple[DataFrame,
         if not on.limit(1).count():
             break
         below = on.select("sig", "node", "m").join(light, "sig").select("sig", "n", "sketch", "node", "m")
-        entries = below.mapInArrow(branch(percent / 100, depth + 1), "node long, sig long, n long, was long")
+        # counted and then met, so evaluated once
+        entries = cut_lineage(below.mapInArrow(branch(percent / 100, depth + 1), "node long, sig long, n long, was long"))
     every, members = pairs[0], near[0]
     for some, more in zip(pairs[1:], near[1:]):
         every, members = every.union(some), members.union(more)
