@@ -31,6 +31,7 @@ def _fit(points: DataFrame, by: list[str], k0: float, iterations: int) -> DataFr
     keeps the first that does not raise the residual sum. When none does, the
     step shrinks and the next pass goes on from there.
     """
+    points = cut_lineage(points)  # read again in every pass
     scales = [2.0**-h for h in range(HALVINGS + 1)]
     state = points.groupBy(*by).agg(F.max("y").alias("a"), F.count(F.lit(1)).alias("n")).withColumns(
         {"k": F.lit(k0), "delta": F.lit(0.0), "rss": F.lit(float("inf")), "gg": F.lit(0.0), "converged": F.lit(False)}
