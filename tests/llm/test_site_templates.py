@@ -81,3 +81,44 @@ def test_articles_of_the_tables(spark):
     for r in S.extract(table).join(table.select("page_id", "html"), "page_id").collect():
         body = re.sub(r"<[^>]*\Z", "", re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1])
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]+>", " ", body)).split())
+
+
+def test_names_alone_delete_nothing_of_an_article():
+    parts = (
+        '<section id="discussion"><p>We discuss.</p></section><h2 id="related-work">Related work</h2><p class="reply">The minister\'s reply.</p>'
+        '<div class="share-price-table">Price 12</div><blockquote class="comment">As they said.</blockquote><div class="sharing-economy"><p>On sharing.</p></div>'
+    )
+    assert text_of(page(f"<article><h1>T</h1><p>Intro text.</p>{parts}</article>")) == (
+        "T Intro text. We discuss. Related work The minister's reply. Price 12 As they said. On sharing."
+    )
+
+
+def test_named_blocks_of_an_article_go_by_structure():
+    long = "words of the article " * 40
+    parts = (
+        '<div class="share"><a href=x>Mail</a> <a href=y>Post</a></div><div class="related"><h3>More</h3><ul><li><a href=z>Another story of the day</a></ul></div>'
+        '<div class="newsletter"><form><input></form>Join us</div><ul class="comment-list"><li class="comment">Nice</li><li class="comment">No</li></ul>'
+        f'<div class="ad-slot">{"Buy this. " * 30}</div><div class="comments"><p>First!</p></div>'
+    )
+    assert text_of(page(f"<article><h1>T</h1><p>{long}</p>{parts}<p>End.</p></article>")) == f"T {long}End."
+
+
+def test_headings_outside_the_article():
+    assert text_of('<body><div class="masthead"><h1>Site name</h1></div><div><p>Body text.</p></div></body>') == "Body text."
+    assert text_of("<main><h1>Title</h1><div class=menu>m</div><article><p>Text.</p></article></main>") == "Title Text."
+    assert text_of("<main><h1>Site</h1><article><h1>Title</h1><p>Text.</p></article></main>") == "Title Text."
+
+
+def test_recurring_heading_of_the_site(spark):
+    rows = [(i, f"//h/{i}", f"<body><div class=top><h1>Daily News</h1></div><div><h1>Story {i}</h1><p>Text {i}.</p></div></body>") for i in range(12)]
+    got = S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"Story {r.page_id} Text {r.page_id}." for r in got)
+
+
+def test_stray_tags_take_linear_time():
+    import time
+
+    start = time.time()
+    for body in ("<div>" * 50_000 + "</span>" * 50_000, "<div>" * 50_000 + "<li>" * 50_000, "<b>" * 50_000 + "<hr>" * 50_000, "<span><table>" + "<div>" * 50_000 + "</span>" * 50_000):
+        S.parse(body)
+    assert time.time() - start < 4
