@@ -1,13 +1,15 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Features are hashes of whole words and of their beginnings. Spark counts in how
-many texts of the whole learning fold, and in how many of at most
-``MOST_POSITIVE`` confirmed toxic ones, each feature slot occurs; the slots that
+many texts of the whole learning fold, and in how many of its confirmed toxic
+ones, each feature slot occurs; the slots that
 tell the two apart best become the inputs. A logistic model over log rates is fitted in numpy on
-at most ``MOST_POSITIVE`` toxic and ``MOST_UNLABELLED`` unlabelled texts, with
+at most ``MOST_POSITIVE`` toxic and ``MOST_OTHER`` other texts of the fold, with
 the risk estimator that corrects by the class prior and keeps the negative
-part from going below zero. The prior is the share of toxic texts among the
-labelled ones of the fold.
+part from going below zero. Other texts are all that are not known to be toxic,
+labelled or not. The prior is the share of toxic texts among the labelled ones of
+the fold, kept ``LEAST_PRIOR`` away from 0 and 1; without a text labelled 0 it
+is a half, or the share of texts known to be toxic if that is more.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ SLOTS = 1 << BITS
 CHUNK = 1 << 12
 HEADS = (4, 5, 6, 7)
 INPUTS = 2048
-MOST_POSITIVE, MOST_UNLABELLED = 4000, 12_000
+MOST_POSITIVE, MOST_OTHER = 4000, 12_000
+LEAST_PRIOR = 1e-4
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 THRESHOLD = 0.7
 #: Values of an input for occurring at all, to choose from; its rate in percent adds its logarithm.
@@ -65,7 +68,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 
 def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each class (0 unlabelled, 1 toxic) by slot, as chunks of the whole table."""
+    """Texts of each class (0 all, 1 toxic) by slot, as chunks of the whole table."""
     counts = np.zeros((2, SLOTS), dtype=np.int64)
     for batch in batches:
         toxic = batch.column("positive").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -126,8 +129,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_risk(rows: np.ndarray, at: np.ndarray, value: np.ndarray, positive: np.ndarray, prior: float, width: int, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
-    """Logistic weights and bias that minimise the non-negative positive-unlabelled risk (Adam, whole batches)."""
+def fit_risk(rows: np.ndarray, at: np.ndarray, value: np.ndarray, positive: np.ndarray, prior: float, width: int, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, known: float = 0.0) -> tuple[np.ndarray, float]:
+    """Logistic weights and bias that minimise the non-negative positive-unlabelled risk (Adam, whole batches).
+
+    ``known`` is the share of all texts that are known to be positive and so
+    missing among the others, which makes ``prior - known`` that of positives among the rest.
+    """
+    hidden = max(0.0, prior - known)
     weights = np.zeros(width + 1)
     weights[width] = np.log(prior / (1 - prior))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
@@ -135,16 +143,16 @@ def fit_risk(rows: np.ndarray, at: np.ndarray, value: np.ndarray, positive: np.n
     for step in range(1, steps + 1):
         score = np.bincount(rows, weights=value * weights[at], minlength=len(positive)) + weights[width]
         chance = sigmoid(score)
-        # risk of calling unlabelled texts toxic, less the part that toxic texts among them would bear
-        negative = np.logaddexp(0, score[u]).mean() - prior * np.logaddexp(0, score[p]).mean()
+        # risk of calling the other texts toxic, less the part that toxic texts among them would bear
+        negative = (1 - known) * np.logaddexp(0, score[u]).mean() - hidden * np.logaddexp(0, score[p]).mean()
         slope = np.zeros(len(positive))
         if negative >= 0:
-            slope[p] = prior * (chance[p] - 1) / len(p) - prior * chance[p] / len(p)
-            slope[u] = chance[u] / len(u)
+            slope[p] = prior * (chance[p] - 1) / len(p) - hidden * chance[p] / len(p)
+            slope[u] = (1 - known) * chance[u] / len(u)
         else:
             # the part below zero is over-fitting: go back along it
-            slope[p] = prior * chance[p] / len(p)
-            slope[u] = -chance[u] / len(u)
+            slope[p] = hidden * chance[p] / len(p)
+            slope[u] = -(1 - known) * chance[u] / len(u)
         gradient = np.bincount(at, weights=value * slope[rows], minlength=width + 1)
         gradient[width] = slope.sum()
         gradient[:width] += decay * weights[:width]
@@ -155,9 +163,13 @@ def fit_risk(rows: np.ndarray, at: np.ndarray, value: np.ndarray, positive: np.n
 
 def learn(
     docs: DataFrame, labels: DataFrame, train: Column | None = None, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic",
-    most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, width: int = INPUTS,
+    most_positive: int = MOST_POSITIVE, most_other: int = MOST_OTHER, width: int = INPUTS,
 ) -> Model:
-    """A model from texts labelled toxic and texts without a label (where ``train`` holds)."""
+    """A model from texts labelled toxic and all other texts (where ``train`` holds).
+
+    Null texts are not learned from. Without a toxic text every score is 0; if
+    all texts are toxic, or no feature tells, every score is the prior.
+    """
     given = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("__of")).agg(F.max(F.col(toxic).cast("int")).alias("__toxic"))
     base = docs.where(F.lit(True) if train is None else train).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
     # only ids meet the labels; texts are never shuffled
@@ -165,21 +177,25 @@ def learn(
     size = {row["__toxic"]: row["count"] for row in known.groupBy("__toxic").count().collect()}  # toxic, not toxic, unlabelled
     if not size.get(1):
         return Model(np.full(SLOTS, -1, dtype="<i4"), np.zeros(0), -40.0)
-    prior = min(0.5, max(1e-4, size[1] / (size[1] + size.get(0, 0)))) if size.get(0) else 0.5
+    every = sum(size.values())
+    known_share = size[1] / every
+    labelled = sum(n for kind, n in size.items() if kind is not None)
+    prior = size[1] / labelled if labelled > size[1] else max(0.5, known_share)
+    prior = min(1 - LEAST_PRIOR, max(LEAST_PRIOR, prior))
     lot = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    positive = F.col("__toxic") == 1
+    positive = F.coalesce(F.col("__toxic") == 1, F.lit(False))
     few = F.when(positive, lot < (1 << 20) * min(1.0, most_positive / size[1])).otherwise(
-        F.col("__toxic").isNull() & (lot < (1 << 20) * min(1.0, most_unlabelled / max(1, size.get(None, 0))))
+        lot < (1 << 20) * min(1.0, most_other / max(1, every - size[1]))
     )
     # the parameters bound this table, so it may be sent to every task
-    sample = F.broadcast(known.where(few).groupBy(F.col("id").alias("__of")).agg(F.max(F.coalesce(positive, F.lit(False))).alias("positive")))
+    sample = F.broadcast(known.where(few).groupBy(F.col("id").alias("__of")).agg(F.max(positive).alias("positive")))
     picked = base.join(sample, F.col("id") == F.col("__of")).select("text", "positive")
-    every = base.select("text", F.lit(False).alias("positive"))
-    sums = every.union(picked.where("positive")).mapInArrow(count_slots, "kind int, chunk int, counts binary").groupBy("kind", "chunk").applyInArrow(add_chunks, "kind int, chunk int, counts binary")
+    toxic_texts = base.join(given.where("__toxic = 1"), F.col("id") == F.col("__of"), "left_semi").select("text", F.lit(True).alias("positive"))
+    sums = base.select("text", F.lit(False).alias("positive")).union(toxic_texts).mapInArrow(count_slots, "kind int, chunk int, counts binary").groupBy("kind", "chunk").applyInArrow(add_chunks, "kind int, chunk int, counts binary")
     counts = np.zeros((2, SLOTS))
     for row in sums.toLocalIterator():  # two tables of SLOTS numbers
         counts[row.kind, row.chunk : row.chunk + CHUNK] = np.frombuffer(row.counts, "<i8")
-    n = np.array([sum(size.values()), min(size[1], most_positive)], dtype=float)
+    n = np.array([every, size[1]], dtype=float)
     share = np.minimum((counts + 0.5) / (n + 1)[:, None], 1.0)
     spread = np.sqrt(share[0] * (1 - share[0]) / n[0] + share[1] * (1 - share[1]) / n[1])
     telling = np.abs(share[1] - share[0]) / spread * (counts[1] + counts[0] >= 3)
@@ -196,12 +212,12 @@ def learn(
     value = np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in sample.column("value")]).astype(float)
     rows = np.repeat(np.arange(len(at)), [len(x) for x in at])
     at = np.concatenate(at).astype(np.int64)
-    present = choose_present(rows, at, value, positive, prior, len(best))
-    weights, bias = fit_risk(rows, at, value + present, positive, prior, len(best))
+    present = choose_present(rows, at, value, positive, prior, len(best), known_share)
+    weights, bias = fit_risk(rows, at, value + present, positive, prior, len(best), known=known_share)
     return Model(inputs, weights, bias, present)
 
 
-def choose_present(rows: np.ndarray, at: np.ndarray, value: np.ndarray, positive: np.ndarray, prior: float, width: int) -> float:
+def choose_present(rows: np.ndarray, at: np.ndarray, value: np.ndarray, positive: np.ndarray, prior: float, width: int, known: float = 0.0) -> float:
     """The value of occurrence with the least positive-unlabelled risk on every fourth text of the sample."""
     tested = np.arange(len(positive)) % 4 == 0
     kept = ~tested[rows]
@@ -210,11 +226,11 @@ def choose_present(rows: np.ndarray, at: np.ndarray, value: np.ndarray, positive
     place = np.cumsum(~tested) - 1
     risks = []
     for present in PRESENT:
-        weights, bias = fit_risk(place[rows[kept]], at[kept], value[kept] + present, positive[~tested], prior, width)
+        weights, bias = fit_risk(place[rows[kept]], at[kept], value[kept] + present, positive[~tested], prior, width, known=known)
         score = np.bincount(rows, weights=(value + present) * weights[at], minlength=len(positive)) + bias
         called = sigmoid(score) >= THRESHOLD
         caught = called[tested & positive].mean()
-        risks.append(prior * (1 - caught) + max(0.0, called[tested & ~positive].mean() - prior * caught))
+        risks.append(prior * (1 - caught) + max(0.0, (1 - known) * called[tested & ~positive].mean() - (prior - known) * caught))
     return PRESENT[int(np.argmin(risks))]
 
 

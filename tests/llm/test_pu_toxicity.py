@@ -46,3 +46,32 @@ def test_edges(spark):
         got = T.score(docs, model, [F.col("doc_id")]).collect()
         assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert T.score(docs.limit(0), model, [F.col("doc_id")]).count() == 0
+
+
+def test_every_text_labelled(spark):
+    rows = [(i, f"the {'vile trash' if i % 5 == 0 else 'calm river'} of place {i} and more {i % 7}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = T.learn(docs, labels)
+    for r in T.score(docs, model, [F.col("doc_id")]).collect():
+        assert (r.score >= T.THRESHOLD) == (r.doc_id % 5 == 0)
+    only = T.learn(docs.where("doc_id % 5 = 0"), labels)
+    assert {round(r.score, 3) for r in T.score(docs, only, []).collect()} == {1.0}
+
+
+def test_rows_without_id_are_scored_and_not_held_out(spark, tmp_path):
+    rows = [(i, f"the {'vile trash' if i % 5 == 0 else 'calm river'} of place {i}", "en", "a", 1) for i in range(300)] + [(None, "vile trash", "en", "a", 1), (None, None, None, None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 300, 2)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op6_pu_toxicity", "op10_kneser_ney"):
+        got = plans.QUERIES[name](spark, str(tmp_path)).where("doc_id is null").collect()
+        assert len(got) == 2 and all(r.held_out is False for r in got)
+
+
+def test_toxic_counts_cover_the_fold(spark):
+    """The inputs are those of all toxic texts, however few of them are fitted on."""
+    rows = [(i, f"{'vile' if i % 2 else 'calm'} word") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    whole, few = T.learn(docs, labels), T.learn(docs, labels, most_positive=40, most_other=40)
+    assert (whole.inputs == few.inputs).all()
