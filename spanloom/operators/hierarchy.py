@@ -1,20 +1,24 @@
 """Tree-structured keys as edge tables.
 
 An edge table has ``tree_id, parent, child, length, label, support, is_tip``
-and may have ``pos``, the drawing order; the root row has no parent. Trees are never gathered: paths grow by pointer
-doubling (rounds ~ log2 of the depth), sums from the tips upwards go level by
-level for all trees at once, each level one aggregate.
+and may have ``pos``, the drawing order; the root row has no parent. Trees are
+never gathered: order, tip sets and ancestors come from ranked tours (``tours``),
+rounds ~ log2 of the nodes; sums from the tips upwards go level by level for all
+trees at once, each level one aggregate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.joins import anti, join_null_safe, semi
-from spanloom.operators.ranks import attach, row_numbers
+from spanloom.operators.ranks import attach
+from spanloom.operators.tours import pair_ancestors, tour
 from spanloom.session import cut_lineage
 
 
@@ -28,6 +32,7 @@ def _empty(df: DataFrame) -> bool:
 def paths(edges: DataFrame, share: str | None = None) -> DataFrame:
     """``tree_id, node, ancestor, steps, dist, share`` for every node and ancestor, itself included.
 
+    Rows grow with nodes times depth; only results of that size need them.
     ``dist`` adds branch lengths, ``share`` multiplies the given column.
     """
     own = F.col(share) if share else F.lit(1.0)
@@ -73,14 +78,19 @@ def heights(edges: DataFrame) -> DataFrame:
     return state.select("tree_id", "node", "height")
 
 
+def _with_tips(edges: DataFrame, tips: DataFrame, label: str) -> DataFrame:
+    """Places of all nodes, and ``tips``, the number of listed tips below each."""
+    wanted = semi(edges.where("is_tip"), tips, [("label", label)]).select("tree_id", "child", F.lit(1).alias("__wanted")).distinct()
+    return tour(edges.join(wanted, ["tree_id", "child"], "left"), {"tips": F.col("__wanted")})
+
+
 def keep_tips(edges: DataFrame, tips: DataFrame, label: str = "label") -> DataFrame:
     """Restrict trees to the listed tips.
 
     Nodes left with one child are removed and their lengths added to the
     child's, also at the root, so the root is the last common ancestor.
     """
-    wanted = semi(edges.where("is_tip"), tips, [("label", label)]).select("tree_id", F.col("child").alias("node"))
-    used = paths(edges).join(wanted, ["tree_id", "node"], "left_semi").select("tree_id", F.col("ancestor").alias("child")).distinct()
+    used = _with_tips(edges, tips, label).where("tips > 0").select("tree_id", F.col("node").alias("child"))
     kept = cut_lineage(edges.join(used, ["tree_id", "child"], "left_semi"))
     children = kept.groupBy("tree_id", F.col("parent").alias("child")).agg(F.count(F.lit(1)).alias("__k"))
     marked = kept.join(children, ["tree_id", "child"], "left")
@@ -123,31 +133,16 @@ def tip_order(edges: DataFrame) -> DataFrame:
     Siblings follow ``pos``, their place in the tree text, where the edges have
     it, and their names otherwise.
     """
-    order = ["pos", "child"] if "pos" in edges.columns else ["child"]
-    ranked = row_numbers(edges.where(F.col("parent").isNotNull()), ["tree_id", "parent"], order, "__rank")
-    state = edges.join(ranked.select("tree_id", "child", "__rank"), ["tree_id", "child"], "left").select(
-        "tree_id", F.col("child").alias("node"), F.col("parent").alias("up"), "label", "is_tip",
-        F.lpad(F.coalesce("__rank", F.lit(0)).cast("string"), 12, "0").alias("key"),
-    )
-    while not _empty(state.where(F.col("up").isNotNull())):
-        above = state.select("tree_id", F.col("node").alias("up"), F.col("up").alias("__up"), F.col("key").alias("__key"))
-        state = cut_lineage(
-            state.join(above, ["tree_id", "up"], "left").select(
-                "tree_id", "node", F.col("__up").alias("up"), "label", "is_tip",
-                F.concat(F.coalesce("__key", F.lit("")), F.col("key")).alias("key"),
-            )
-        )
-    return row_numbers(state.where("is_tip"), ["tree_id"], ["key"], "position").select("tree_id", "label", "position")
+    places = tour(edges, {"tips": F.col("is_tip").cast("long")}).select("tree_id", F.col("node").alias("child"), (F.col("before_tips") + 1).alias("position"))
+    return edges.where("is_tip").join(places, ["tree_id", "child"]).select("tree_id", "label", "position")
 
 
 def tip_sets(edges: DataFrame) -> DataFrame:
-    """``tree_id, node, n_tips, tips_hash``: a key of the set of tips below each inner node."""
-    tips = edges.where("is_tip").select("tree_id", F.col("child").alias("node"), "label")
-    below = paths(edges).join(tips, ["tree_id", "node"]).where("steps > 0")
-    hashed = F.xxhash64("label")
-    return below.groupBy("tree_id", F.col("ancestor").alias("node")).agg(
-        F.count(F.lit(1)).alias("n_tips"), F.bit_xor(hashed).alias("__x"), F.sum(F.pmod(hashed, F.lit(2**40))).alias("__s")
-    ).select("tree_id", "node", "n_tips", F.struct("n_tips", "__x", "__s").alias("tips_key"))
+    """``tree_id, node, n_tips, tips_key``: a key of the set of tips below each inner node."""
+    hashed = F.when(F.col("is_tip"), F.xxhash64("label"))
+    below = tour(edges, {"n_tips": F.col("is_tip").cast("long"), "hashes": F.pmod(hashed, F.lit(2**40))}, {"mixed": hashed})
+    inner = below.join(edges.where("is_tip").select("tree_id", F.col("child").alias("node")), ["tree_id", "node"], "left_anti")
+    return inner.where("n_tips > 0").select("tree_id", "node", "n_tips", F.struct("n_tips", "mixed", "hashes").alias("tips_key"))
 
 
 def transfer_support(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -166,26 +161,21 @@ def transfer_support(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def common_ancestor(edges: DataFrame, tips: DataFrame, label: str = "label") -> DataFrame:
     """``tree_id, node``: most recent common ancestor of the listed tips in each tree."""
-    wanted = semi(edges.where("is_tip"), tips, [("label", label)]).select("tree_id", F.col("child").alias("node"))
-    up = paths(edges)
-    counts = wanted.groupBy("tree_id").agg(F.count(F.lit(1)).alias("__all"))
-    shared = up.join(wanted, ["tree_id", "node"], "left_semi").groupBy("tree_id", "ancestor").agg(
-        F.count(F.lit(1)).alias("__n"), F.max("steps").alias("__far")
-    )
-    full = shared.join(counts, "tree_id").where(F.col("__n") == F.col("__all"))
-    return full.groupBy("tree_id").agg(F.min_by("ancestor", "__far").alias("node"))
+    places = _with_tips(edges, tips, label)
+    counts = places.groupBy("tree_id").agg(F.max("tips").alias("__all"))
+    full = places.join(counts, "tree_id").where((F.col("tips") == F.col("__all")) & (F.col("tips") > 0))
+    return full.groupBy("tree_id").agg(F.min_by("node", F.col("last") - F.col("first")).alias("node"))
 
 
 def shared_length(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """``tree_id, tip_i, tip_j, shared``: branch length shared by each listed pair of tips."""
-    length = edges.select("tree_id", F.col("child").alias("ancestor"), F.coalesce("length", F.lit(0.0)).alias("__l"))
-    tips = edges.where("is_tip").select("tree_id", F.col("child").alias("node"), "label")
-    up = cut_lineage(paths(edges).join(tips, ["tree_id", "node"]).join(length, ["tree_id", "ancestor"]))
-    a = up.select("tree_id", F.col("label").alias("tip_i"), "ancestor", "__l")
-    b = up.select("tree_id", F.col("label").alias("tip_j"), F.col("ancestor").alias("__other"))
-    lines = pairs.join(a, ["tree_id", "tip_i"]).join(b, ["tree_id", "tip_j"])
-    same = F.when(F.col("ancestor") == F.col("__other"), F.col("__l")).otherwise(0.0)
-    return lines.groupBy("tree_id", "tip_i", "tip_j").agg(F.sum(same).alias("shared"))
+    edges = cut_lineage(edges)
+    tips = edges.where("is_tip").select("tree_id", "label", "child")
+    named = pairs.join(tips.withColumnsRenamed({"label": "tip_i", "child": "a"}), ["tree_id", "tip_i"])
+    named = named.join(tips.withColumnsRenamed({"label": "tip_j", "child": "b"}), ["tree_id", "tip_j"])
+    tops = pair_ancestors(edges, cut_lineage(tour(edges)), named.select("tree_id", "tip_i", "tip_j", "a", "b"))
+    top = heights(edges).select("tree_id", F.col("node").alias("top"), F.col("height").alias("shared"))
+    return tops.join(top, ["tree_id", "top"]).select("tree_id", "tip_i", "tip_j", "shared")
 
 
 def covariance(edges: DataFrame, max_tips: int = MAX_DENSE_TIPS) -> DataFrame:
@@ -236,7 +226,7 @@ def node_sums(edges: DataFrame, values: DataFrame, xs: Sequence[str], keys: Sequ
     carry = tips.select(*by, F.col("parent").alias("node"), F.col("child").alias("from"), v.alias("__v"), *xs)
     pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
     done = None
-    while True:
+    for number in count():
         w = 1 / F.col("__v")
         sums = carry.groupBy(*by, "node").agg(
             F.count(F.lit(1)).alias("__n"),
@@ -247,7 +237,7 @@ def node_sums(edges: DataFrame, values: DataFrame, xs: Sequence[str], keys: Sequ
         )
         ready = sums.join(inner, [*by, "node"]).where(F.col("__n") == F.col("__c"))
         level = ready.select(
-            *by, "node", F.col("__up").alias("up"), F.col("__c").alias("children"), "weight",
+            *by, "node", F.col("__up").alias("up"), F.col("__c").alias("children"), F.lit(number).alias("level"), "weight",
             (F.col("__lv") + F.log("weight")).alias("logdet"),
             (F.col("__own") + 1 / F.col("weight")).alias("__v"),
             *[(F.col(f"__m_{x}") / F.col("weight")).alias(x) for x in xs],
@@ -282,6 +272,43 @@ def tree_sums(edges: DataFrame, values: DataFrame, xs: Sequence[str], keys: Sequ
     )
 
 
+def column_sums(edges: DataFrame, values: DataFrame, xs: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Root means and contrast sums of squares of many columns on one set of branches.
+
+    ``values`` has ``tree_id, *keys, label`` and ``xs``. Weights and levels of
+    the nodes do not depend on the columns, so they are found once; then each
+    level is one map-side combined aggregate over its children, one row a child
+    and key. Returns ``tree_id, *keys, root_weight``, ``root_…`` and ``q_…``.
+    """
+    by = ["tree_id", *keys]
+    zero = edges.where("is_tip").select("tree_id", "label", F.lit(0.0).alias("__zero"))
+    shape = cut_lineage(node_sums(edges, zero, ["__zero"]).select("tree_id", "node", "up", "weight", "__v", "level"))
+    above = shape.select("tree_id", F.col("node").alias("up"), F.col("level").alias("__at"))
+    shape = cut_lineage(shape.join(above, ["tree_id", "up"], "left"))
+    tips = edges.where("is_tip").select("tree_id", "label", F.col("parent").alias("up"), F.col("length").alias("__v")).join(above, ["tree_id", "up"])
+    carried = [*by, F.col("up").alias("node"), "__v", "__at", *xs]
+    waiting = [cut_lineage(values.join(tips, ["tree_id", "label"]).select(*carried))]
+    done = None
+    for number in range((shape.agg(F.max("level")).first()[0] or 0) + 1):
+        children = reduce(DataFrame.unionByName, waiting).where(F.col("__at") == number)
+        w = 1 / F.col("__v")
+        moments = children.groupBy(*by, "node").agg(
+            *[F.sum(w * F.col(x)).alias(f"__m_{x}") for x in xs], *[F.sum(w * F.col(x) * F.col(x)).alias(f"__q_{x}") for x in xs]
+        )
+        level = moments.join(shape.where(F.col("level") == number), ["tree_id", "node"]).select(
+            *by, "up", "weight", "__v", "__at", *[(F.col(f"__m_{x}") / F.col("weight")).alias(x) for x in xs],
+            *[(F.col(f"__q_{x}") - F.col(f"__m_{x}") * F.col(f"__m_{x}") / F.col("weight")).alias(f"q_{x}") for x in xs],
+        )
+        level = cut_lineage(level)
+        done = level if done is None else done.unionByName(level)
+        waiting.append(level.where(F.col("up").isNotNull()).select(*carried))
+    root = F.col("up").isNull()
+    return done.groupBy(*by).agg(
+        F.max(F.when(root, F.col("weight"))).alias("root_weight"), *[F.max(F.when(root, F.col(x))).alias(f"root_{x}") for x in xs],
+        *[F.sum(f"q_{x}").alias(f"q_{x}") for x in xs],
+    )
+
+
 def contrast_weights(edges: DataFrame) -> DataFrame:
     """``tree_id, contrast, tip, coef, var``: node means as linear weights of the tips.
 

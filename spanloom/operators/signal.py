@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.tails import chi2_1_p_value, f_p_value
-from spanloom.operators.hierarchy import centred, contrast_weights, heights, keep_tips, scale_by_lambda, tree_sums
+from spanloom.operators.hierarchy import centred, column_sums, heights, keep_tips, scale_by_lambda, tree_sums
 from spanloom.operators.ranks import row_numbers
 from spanloom.operators.reshape import to_long
 from spanloom.session import cut_lineage
 
+ORDERS_A_ROW = 32
+
 
 def cut_to(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
     """Trees cut to the tips that have all of ``cols``; trees with fewer than two of them drop out."""
@@ -28,8 +30,9 @@ def signal_k(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str
 
     For each trait the trees are cut to the tips that have a value. The
     observed order counts as one of the ``nsim`` orders, and p is the share of
-    orders whose K reaches the observed one. Orders follow seeded hashes, so
-    reruns agree.
+    orders whose K reaches the observed one; both are null for a trait without
+    spread. Orders follow seeded hashes, so reruns agree. The upward pass has a
+    row per node and ``ORDERS_A_ROW`` orders, whatever the depth.
     """
     parts = [_signal_k(cut_to(edges, traits, label, [c]), traits, label, [c], nsim, seed) for c in cols]
     return reduce(DataFrame.unionByName, parts)
@@ -48,41 +51,38 @@ def _signal_k(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[st
     values = centred(values.dropna(subset=["x"]), ["x"], ["trait"]).drop("__mean_x")
     values = cut_lineage(row_numbers(values, ["tree_id", "trait"], ["tip"], "idx"))
 
-    weights = cut_lineage(contrast_weights(edges))
-    top = heights(edges).withColumnRenamed("node", "child").join(edges.where("is_tip"), ["tree_id", "child"])
-    scale = top.groupBy("tree_id").agg(F.sum("height").alias("__diag"), F.count(F.lit(1)).alias("n"))
-    ones = weights.groupBy("tree_id", "contrast").agg(F.sum("coef").alias("__s"), F.max("weight").alias("weight"), F.count(F.lit(1)).alias("__k"))
-    roots = ones.groupBy("tree_id").agg(F.max("__k").alias("__tips"), F.max_by("contrast", "__k").alias("root"), F.max_by(-F.col("weight"), "__k").alias("__total"))
-    expected = scale.join(roots, "tree_id").select(
-        "tree_id", "n", "root", ((F.col("__diag") - F.col("n") / F.col("__total")) / (F.col("n") - 1)).alias("expected")
-    )
-
     orders = values.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(nsim - 1))))
     key = F.when(F.col("perm") == 0, F.col("idx")).otherwise(F.xxhash64(F.lit(seed), "perm", "tip"))
     orders = row_numbers(orders.withColumn("__key", key), ["tree_id", "trait", "perm"], ["__key", "tip"], "pick")
     drawn = values.select("tree_id", "trait", F.col("idx").alias("pick"), F.col("x").alias("__x"))
     shuffled = orders.select("tree_id", "trait", "perm", "tip", "pick").join(drawn, ["tree_id", "trait", "pick"])
 
-    means = shuffled.join(weights, ["tree_id", "tip"]).groupBy("tree_id", "trait", "perm", "contrast").agg(
-        F.sum(F.col("coef") * F.col("__x")).alias("m"), F.max("weight").alias("weight")
+    # A row per tip and block of orders, an order a column.
+    slots = range(min(nsim, ORDERS_A_ROW))
+    xs = [f"x{i}" for i in slots]
+    width = F.lit(ORDERS_A_ROW)
+    blocks = shuffled.groupBy("tree_id", "trait", F.floor(F.col("perm") / width).alias("block"), F.col("tip").alias("label")).agg(
+        *[F.max(F.when(F.col("perm") % width == i, F.col("__x"))).alias(x) for i, x in zip(slots, xs)]
     )
-    tip_squares = values.groupBy("tree_id", "trait").agg(F.sum(F.col("x") * F.col("x")).alias("__xx"), F.sum("x").alias("__sx"))
-    per_order = (
-        means.join(expected, "tree_id")
-        .groupBy("tree_id", "trait", "perm")
-        .agg(
-            F.sum(F.col("weight") * F.col("m") * F.col("m")).alias("q"),
-            F.max(F.when(F.col("contrast") == F.col("root"), F.col("m"))).alias("a"),
-            F.max("expected").alias("expected"),
-            F.max("n").alias("n"),
-        )
-        .join(tip_squares, ["tree_id", "trait"])
-    )
-    spread = F.col("__xx") - 2 * F.col("a") * F.col("__sx") + F.col("n") * F.col("a") * F.col("a")
-    k = per_order.withColumn("k", spread / F.col("q") / F.col("expected"))
-    observed = k.where("perm = 0").select("tree_id", "trait", F.col("k").alias("__k0"))
+    sums = column_sums(edges, blocks, xs, ["trait", "block"])
+
+    top = heights(edges).withColumnRenamed("node", "child").join(edges.where("is_tip"), ["tree_id", "child"])
+    scale = top.groupBy("tree_id").agg(F.sum("height").alias("__diag"), F.count(F.lit(1)).alias("n"))
+    squares = values.groupBy("tree_id", "trait").agg(F.sum(F.col("x") * F.col("x")).alias("__xx"), F.sum("x").alias("__sx"))
+    full = sums.join(scale, "tree_id").join(squares, ["tree_id", "trait"])
+    n = F.col("n")
+    expected = (F.col("__diag") - n / F.col("root_weight")) / (n - 1)
+
+    def k_of(x: str):
+        a = F.col(f"root_{x}")
+        spread = F.col("__xx") - 2 * a * F.col("__sx") + n * a * a
+        return F.try_divide(F.try_divide(spread, F.col(f"q_{x}")), expected)
+
+    k = cut_lineage(full.select("tree_id", "trait", "block", F.array(*[k_of(x) for x in xs]).alias("ks")))
+    observed = k.where("block = 0").select("tree_id", "trait", F.get("ks", F.lit(0)).alias("__k0"))
+    reached = F.size(F.filter("ks", lambda c: c >= F.col("__k0") * (1 - 1e-12)))
     return k.join(observed, ["tree_id", "trait"]).groupBy("tree_id", "trait").agg(
-        F.max("__k0").alias("k"), F.avg(F.when(F.col("k") >= F.col("__k0") * (1 - 1e-12), 1.0).otherwise(0.0)).alias("p_value")
+        F.max("__k0").alias("k"), F.when(F.max("__k0").isNotNull(), F.sum(reached) / nsim).alias("p_value")
     )
 
 
