@@ -87,7 +87,7 @@ def test_shared_lengths_of_all_pairs(spark):
 
 def test_caterpillar(spark):
     """A tree as deep as it has tips: two rows a node and ~ log2 rounds."""
-    n = int(os.environ.get("CATERPILLAR_TIPS", "300"))
+    n = int(os.environ.get("CATERPILLAR_TIPS", "100"))
     base = spark.range(n).withColumn("name", F.lpad(F.col("id").cast("string"), 9, "0"))
     above = F.when(F.col("id") > 0, F.concat(F.lit("i"), F.lpad((F.col("id") - 1).cast("string"), 9, "0")))
     inner = base.select(F.lit("t").alias("tree_id"), above.alias("parent"), F.concat(F.lit("i"), "name").alias("child"), F.lit(1.0).alias("length"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("is_tip"))
