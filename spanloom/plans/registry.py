@@ -12,7 +12,7 @@ from spanloom.session import tune
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("columns", "joins", "aggregates", "windows", "reshape", "scalars", "measures", "stats", "trees", "gates", "text", "sources", "products")
+MODULES = ("columns", "joins", "aggregates", "windows", "reshape", "scalars", "measures", "stats", "trees", "gates", "text", "sources", "products", "streams")
 
 
 class Tables:
