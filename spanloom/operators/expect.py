@@ -1,14 +1,14 @@
 """Data-quality gates.
 
-``expect`` evaluates every row-level rule in one aggregate; uniqueness rules
-add one key count each. A report row per rule, or an error in strict mode.
+``report`` evaluates all rules in one scan and at most one shuffle: key counts
+of the uniqueness rules and the aggregates of the others are grouping sets of
+one aggregate. A report row per rule, or an error in strict mode.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ class Rule:
     failed: Column | None = None  # true on rows that break the rule
     unique: tuple[str, ...] = ()
     aggregate: Column | None = None  # number of failures as an aggregate
+    empty: int = 0  # failures of a table without rows
 
 
 class GateError(ValueError):
@@ -56,39 +57,47 @@ def single_value(col: str) -> Rule:
 
 
 def row_count(n: int) -> Rule:
-    return Rule("row_count", str(n), aggregate=F.abs(F.count(F.lit(1)) - n))
+    return Rule("row_count", str(n), aggregate=F.abs(F.count(F.lit(1)) - n), empty=abs(n))
 
 
 def has_type(df: DataFrame, col: str, *kinds: str) -> Rule:
     """Schema check, known before any data is read."""
-    return Rule("has_type", col, aggregate=F.lit(0 if dict(df.dtypes)[col] in kinds else 1))
+    failed = 0 if dict(df.dtypes)[col] in kinds else 1
+    return Rule("has_type", col, aggregate=F.lit(failed), empty=failed)
 
 
 def report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``rule, column, n_rows, n_failed, passed`` for each rule."""
-    scans = [r for r in rules if not r.unique]
-    parts = []
-    if scans:
-        counts = [
-            (r.aggregate if r.aggregate is not None else F.count(F.when(r.failed, F.lit(1)))).cast("long").alias(f"f{i}")
-            for i, r in enumerate(scans)
-        ]
-        one = df.agg(F.count(F.lit(1)).alias("n_rows"), *counts)
-        lines = [
-            F.struct(F.lit(r.name).alias("rule"), F.lit(r.column).alias("column"), "n_rows", F.col(f"f{i}").alias("n_failed"))
-            for i, r in enumerate(scans)
-        ]
-        parts.append(one.select(F.inline(F.array(*lines))))
-    for r in rules:
-        if r.unique:
-            keys = df.groupBy(*r.unique).agg(F.count(F.lit(1)).alias("__n"))
-            failed = F.sum(F.when(F.col("__n") > 1, F.col("__n")).otherwise(0))
-            parts.append(
-                keys.agg(
-                    F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"), F.coalesce(failed, F.lit(0)).alias("n_failed")
-                ).select(F.lit(r.name).alias("rule"), F.lit(r.column).alias("column"), "n_rows", "n_failed")
-            )
-    return reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("n_failed") == 0)
+    """``rule, column, n_rows, n_failed, passed`` for each rule; one scan whatever their number."""
+    scans = {
+        f"f{i}": (r.aggregate if r.aggregate is not None else F.count(F.when(r.failed, F.lit(1)))).cast("long")
+        for i, r in enumerate(rules)
+        if not r.unique
+    }
+    counts = [F.count(F.lit(1)).alias("n_rows"), *[c.alias(n) for n, c in scans.items()]]
+    keys = list(dict.fromkeys(frozenset(r.unique) for r in rules if r.unique))
+    if not keys:
+        one = df.agg(*counts)
+    else:
+        # Each set of keys, and the whole table as the set of none, is one grouping set.
+        cols = sorted(frozenset().union(*keys))
+        sets = [sorted(k) for k in keys] + ([[]] if scans else [])
+        masks = [sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in k) for k in sets]
+        grouped = df.groupingSets([[F.col(c) for c in k] for k in sets], *cols).agg(F.grouping_id().alias("set"), *counts)
+        parts = []
+        for i, (key, mask) in enumerate(zip(sets, masks)):
+            mine = F.col("set") == mask
+            parts.append(F.sum(F.when(mine, F.col("n_rows"))).alias(f"n{i}"))
+            if key:
+                parts.append(F.sum(F.when(mine & (F.col("n_rows") > 1), F.col("n_rows"))).alias(f"u{i}"))
+            else:
+                parts += [F.max(F.when(mine, F.col(n))).alias(n) for n in scans]
+        one = grouped.agg(*parts).withColumn("n_rows", F.coalesce(*[F.col(f"n{i}") for i in range(len(sets))], F.lit(0)))
+    lines = []
+    for i, r in enumerate(rules):
+        failed = F.col(f"u{keys.index(frozenset(r.unique))}") if r.unique else F.col(f"f{i}")
+        failed = F.coalesce(failed, F.when(F.col("n_rows") == 0, F.lit(r.empty)), F.lit(0)).cast("long")
+        lines.append(F.struct(F.lit(r.name).alias("rule"), F.lit(r.column).alias("column"), "n_rows", failed.alias("n_failed")))
+    return one.select(F.inline(F.array(*lines))).withColumn("passed", F.col("n_failed") == 0)
 
 
 def failing_rows(df: DataFrame, rule: Rule) -> DataFrame:

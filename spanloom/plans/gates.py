@@ -73,3 +73,24 @@ def _(t):
 @query("g11_single_value", row("single_value", "o_orderstatus", "CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN 0 ELSE 1 END", "orders"))
 def _(t):
     return X.report(t.orders, [X.single_value("o_orderstatus")])
+
+
+_KEYS = "{0} AS rule, '{1}' AS \"column\", CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS n_failed, sum(CASE WHEN n > 1 THEN n ELSE 0 END) = 0 AS passed FROM (SELECT {1}, count(*) AS n FROM lineitem GROUP BY ALL)"
+
+
+@query("g12_rules_in_one_scan", " UNION ALL ".join([
+    row("within", "l_quantity", "count(*) FILTER (NOT l_quantity BETWEEN 1 AND 45)", "lineitem"),
+    row("holds", "tolerance", "count(*) FILTER (NOT coalesce(abs(l_tax - l_discount) <= 0.09, false))", "lineitem"),
+    row("single_value", "l_returnflag", "CASE WHEN count(DISTINCT l_returnflag) = 1 THEN 0 ELSE 1 END", "lineitem"),
+    *["SELECT " + _KEYS.format("'unique'", k) for k in ("l_orderkey,l_linenumber", "l_orderkey", "l_partkey,l_suppkey,l_orderkey")],
+]))
+def _(t):
+    rules = [
+        X.within("l_quantity", 1, 45),
+        X.holds("tolerance", F.abs(F.col("l_tax") - F.col("l_discount")) <= 0.09),
+        X.single_value("l_returnflag"),
+        X.unique("l_orderkey", "l_linenumber"),
+        X.unique("l_orderkey"),
+        X.unique("l_partkey", "l_suppkey", "l_orderkey"),
+    ]
+    return X.report(t.lineitem, rules)

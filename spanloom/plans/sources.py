@@ -10,6 +10,7 @@ from spanloom.functions import scalar as S
 from spanloom.operators import joins as J
 from spanloom.operators import reshape as R
 from spanloom.operators.columns import tag_rules
+from spanloom.operators.formula import formula_columns, parse_formula
 from spanloom.operators.mixed import design, factor_levels
 from spanloom.operators.text import rewrite_lines
 from spanloom.plans.aggregates import rounded
@@ -263,3 +264,27 @@ SELECT c_custkey, 1.0::DOUBLE AS "(Intercept)", CAST(c_mktsegment = 'BUILDING' A
 def _(t):
     columns = design(factor_levels(t.customer, ["c_mktsegment"]), [("c_mktsegment",)])
     return t.customer.select("c_custkey", *[value.alias(name) for name, value in columns.items()])
+
+
+FORMULAS = ("price ~ status", "price ~ priority", "price ~ status + priority", "price ~ status * priority", "price ~ 1", "price ~ status + status:priority")
+# Terms of each formula in the twin: column name, whether the reference level of a factor is left out.
+_COLUMNS = {
+    "one": "SELECT '(Intercept)' AS term, * FROM o",
+    "status": "SELECT 'status' || status AS term, * FROM o WHERE status > (SELECT min(status) FROM o)",
+    "priority": "SELECT 'priority' || priority AS term, * FROM o WHERE priority > (SELECT min(priority) FROM o)",
+    "both": "SELECT 'status' || status || ':priority' || priority AS term, * FROM o WHERE status > (SELECT min(status) FROM o) AND priority > (SELECT min(priority) FROM o)",
+    "nested": "SELECT 'status' || status || ':priority' || priority AS term, * FROM o WHERE priority > (SELECT min(priority) FROM o)",
+}
+_USES = (("one", "status"), ("one", "priority"), ("one", "status", "priority"), ("one", "status", "priority", "both"), ("one",), ("one", "status", "nested"))
+
+
+@query("y07b_formula_designs", "WITH o AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, o_totalprice AS price FROM orders) " + " UNION ALL ".join(
+    f"SELECT '{text}' AS formula, term, CAST(count(*) AS DOUBLE) AS n, round(sum(price), 2) AS total FROM ({_COLUMNS[use]}) GROUP BY ALL"
+    for text, uses in zip(FORMULAS, _USES) for use in uses))
+def _(t):
+    """Sums of every design column, and of its products with the response, in one pass over the orders."""
+    o = t.orders.select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
+    levels = factor_levels(o, ["status", "priority"])
+    designs = [(text, name, value, parse_formula(text)[0]) for text in FORMULAS for name, value in formula_columns(text, levels).items()]
+    sums = [F.struct(F.lit(text).alias("formula"), F.lit(name).alias("term"), F.sum(v).alias("n"), F.sum(v * F.col(y)).alias("total")) for text, name, v, y in designs]
+    return rounded(o.agg(F.array(*sums).alias("s")).select(F.inline("s")), "total", digits=2)
