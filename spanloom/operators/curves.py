@@ -24,6 +24,13 @@ def curve(a: Column, k: Column, x: Column) -> Column:
     return a * (1 - F.exp(-k * x))
 
 
+def _moments(k: str) -> dict[str, str]:
+    """Residual sum, and products of slope and residual, of the curve with rate ``k``, as SQL."""
+    g = f"(a * x * exp(-{k} * x))"
+    r = f"(y - a * (1D - exp(-{k} * x)))"
+    return {"rss": f"sum({r} * {r})", "gr": f"sum({g} * {r})", "gg": f"sum({g} * {g})"}
+
+
 def _fit(points: DataFrame, by: list[str], k0: float, iterations: int) -> DataFrame:
     """Fit all groups together: one aggregate pass per iteration over those not yet converged.
 
@@ -37,30 +44,24 @@ def _fit(points: DataFrame, by: list[str], k0: float, iterations: int) -> DataFr
         {"k": F.lit(k0), "delta": F.lit(0.0), "rss": F.lit(float("inf")), "gg": F.lit(0.0), "converged": F.lit(False)}
     )
     names = [*by, "a", "n", "k", "delta", "rss", "gg", "converged"]
+    # Expressions are by name, so one set serves all passes.
+    sums, tries = [], []
+    for i, scale in enumerate(scales):
+        sums += [F.expr(e).alias(f"{n}{i}") for n, e in _moments(f"(k + delta * {scale!r}D)").items()]
+        step = f"coalesce(try_divide(gr{i}, gg{i}), 0D) AS delta"
+        tries.append(F.expr(f"struct(k + delta * {scale!r}D AS k, rss{i} AS rss, {step}, gg{i} AS gg)"))
+    kept = [F.max(c).alias(c) for c in ("a", "n", "k", "delta", "rss", "gg")]
+    better = F.get(F.filter(F.array(*tries), lambda c: c.rss <= F.col("rss")), F.lit(0))
+    best = F.coalesce(better, F.expr(f"struct(k, rss, delta * {scales[-1] / 2!r}D AS delta, gg)"))
+    settled = F.expr(f"abs(__b.delta) <= {TOLERANCE!r}D * abs(__b.k)")
+    moves = {**{c: F.col(f"__b.{c}") for c in ("k", "delta", "rss", "gg")}, "converged": settled}
+    open_curves = F.count(F.when(~F.col("converged"), 1)).alias("n")
     done = None
     for _ in range(iterations + 1):
-        joined = join_null_safe(points, state, by, "inner")
-        sums, tries = [], []
-        for i, scale in enumerate(scales):
-            k = F.col("k") + F.col("delta") * scale
-            g = F.col("a") * F.col("x") * F.exp(-k * F.col("x"))
-            r = F.col("y") - curve(F.col("a"), k, F.col("x"))
-            sums += [F.sum(r * r).alias(f"rss{i}"), F.sum(g * r).alias(f"gr{i}"), F.sum(g * g).alias(f"gg{i}")]
-            step = F.coalesce(F.try_divide(F.col(f"gr{i}"), F.col(f"gg{i}")), F.lit(0.0))
-            tries.append(F.struct(k.alias("k"), F.col(f"rss{i}").alias("rss"), step.alias("delta"), F.col(f"gg{i}").alias("gg")))
-        kept = [F.max(c).alias(c) for c in ("a", "n", "k", "delta", "rss", "gg")]
-        better = F.get(F.filter(F.array(*tries), lambda c: c.rss <= F.col("rss")), F.lit(0))
-        same = F.struct("k", "rss", (F.col("delta") * scales[-1] / 2).alias("delta"), "gg")
-        agg = joined.groupBy(*by).agg(*kept, *sums).withColumn("__b", F.coalesce(better, same))
-        moved = agg.withColumns(
-            {
-                **{c: F.col(f"__b.{c}") for c in ("k", "delta", "rss", "gg")},
-                "converged": F.abs(F.col("__b.delta")) <= TOLERANCE * F.abs(F.col("__b.k")),
-            }
-        )
+        agg = join_null_safe(points, state, by, "inner").groupBy(*by).agg(*kept, *sums)
+        moved = agg.withColumn("__b", best).withColumns(moves).select(*names)
         left = Observation()
-        counted = moved.select(*names).observe(left, F.count(F.when(~F.col("converged"), 1)).alias("n"))
-        moved = cut_lineage(counted)  # one row per curve
+        moved = cut_lineage(moved.observe(left, open_curves))  # one row per curve
         finished = moved.where("converged")
         done = finished if done is None else done.unionByName(finished)
         if left.get["n"] == 0:
