@@ -126,24 +126,20 @@ def with_delta_min(df: DataFrame, by: Sequence[str], value: str, out: str) -> Da
 def number_duplicates(df: DataFrame, name: str, order: Sequence[str], out: str, **kw) -> DataFrame:
     """Make names unique: the second and later copies get ``.1``, ``.2``, ...
 
-    A suffix that would collide with a name already present is skipped.
+    A suffix that would collide with a name already present is skipped. The
+    i-th taken suffix t has t - i free ones below it, so it goes behind that
+    many copies, and a copy's suffix is its place among copies and taken ones.
     """
     numbered = row_numbers(df, [name], order, "__rn", **kw)
-    shaped = df.select(F.col(name).alias("__full")).distinct().select(
-        F.regexp_extract("__full", r"^(.*)\.([1-9][0-9]*)$", 1).alias("__base"),
-        F.regexp_extract("__full", r"^(.*)\.([1-9][0-9]*)$", 2).alias("__suffix"),
-    )
-    taken = (
-        shaped.where(F.col("__suffix") != "")
-        .groupBy("__base")
-        .agg(F.array_sort(F.collect_set(F.try_to_number("__suffix", F.lit("9" * 18)).cast("long"))).alias("__taken"))
-    )
-    copy = F.col("__rn") - 1
-    skipped = F.size(F.filter("__taken", lambda t, i: t - (i + 1) < copy))
-    suffix = copy + F.coalesce(F.when(F.col("__taken").isNotNull(), skipped), F.lit(0))
-    unique = F.when(copy == 0, F.col(name)).otherwise(F.concat_ws(".", F.col(name), suffix.cast("string")))
-    joined = join_null_safe(numbered, taken, [(name, "__base")])
-    return joined.withColumn(out, unique).select(*df.columns, out)
+    copies = numbered.select(*df.columns, (F.col("__rn") - 1).alias("__free"), F.lit(0).alias("__kind"), F.lit(0).cast("long").alias("__taken"))
+    base, suffix = (F.regexp_extract(name, r"^(.*)\.([1-9][0-9]*)$", i) for i in (1, 2))
+    shaped = df.select(base.alias(name), F.try_to_number(suffix, F.lit("9" * 18)).cast("long").alias("__taken"))
+    taken = row_numbers(shaped.where("__taken is not null").distinct(), [name], ["__taken"], "__i", **kw)
+    taken = taken.select(name, (F.col("__taken") - F.col("__i")).alias("__free"), F.lit(1).alias("__kind"), "__taken")
+    merged = copies.unionByName(taken, allowMissingColumns=True)
+    placed = row_numbers(merged, [name], ["__free", "__kind", "__taken"], "__place", **kw).where("__kind = 0")
+    unique = F.when(F.col("__free") == 0, F.col(name)).otherwise(F.concat_ws(".", F.col(name), (F.col("__place") - 1).cast("string")))
+    return placed.withColumn("__out", unique).select(*df.columns, F.col("__out").alias(out))
 
 
 def pair_events(
