@@ -1,5 +1,6 @@
 """Curves, Welch tests, tail probabilities and clustering on hand-checked inputs."""
 
+import time
 from math import erfc, pi, sqrt
 
 import numpy as np
@@ -53,6 +54,18 @@ def test_tails_for_many_and_for_no_degrees_of_freedom(spark):
     assert got[:3] == [None, None, None] and got[3] == pytest.approx(0.2951672, abs=1e-6)
 
 
+def test_tails_of_many_values_at_once():
+    # a value is what it is alone, and one that has converged does not wait for the others
+    t = np.linspace(-8, 8, 200_001)
+    df = np.where(np.arange(len(t)) % 2, 9e4, 15e3)
+    begun = time.perf_counter()
+    got = t_two_sided(t, df)
+    assert time.perf_counter() - begun < 15
+    some = np.arange(0, len(t), 20_001)
+    alone = np.concatenate([t_two_sided(t[[i]], df[[i]]) for i in some])
+    assert np.array_equal(got[some], alone)
+
+
 def test_curves_of_one_and_two_points(spark):
     df = spark.createDataFrame([("one", 10.0, 5.0), ("two", 10.0, 5.0), ("two", 40.0, 9.0)], "id string, x double, y double")
     got = {r.id: r for r in fit_saturation(df, ["id"], "x", "y", iterations=200).collect()}
