@@ -275,33 +275,51 @@ def tree_sums(edges: DataFrame, values: DataFrame, xs: Sequence[str], keys: Sequ
 def column_sums(edges: DataFrame, values: DataFrame, xs: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Root means and contrast sums of squares of many columns on one set of branches.
 
-    ``values`` has ``tree_id, *keys, label`` and ``xs``. Weights and levels of
-    the nodes do not depend on the columns, so they are found once; then each
-    level is one map-side combined aggregate over its children, one row a child
-    and key. Returns ``tree_id, *keys, root_weight``, ``root_…`` and ``q_…``.
+    ``values`` has ``tree_id, *keys, label`` and ``xs``. Returns ``tree_id,
+    *keys, root_weight``, ``root_…`` and ``q_…``.
+    """
+    return risen_sums(edges, tip_moments(edges, values, xs, keys), xs, keys)
+
+
+def tip_moments(edges: DataFrame, values: DataFrame, xs: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``tree_id, *keys, node`` with the weighted sums (``__m_…``) and square sums (``__q_…``) of the tips right below a node."""
+    tips = edges.where("is_tip").select("tree_id", "label", F.col("parent").alias("node"), (1 / F.col("length")).alias("__w"))
+    w = F.col("__w")
+    return values.join(tips, ["tree_id", "label"]).groupBy("tree_id", *keys, "node").agg(
+        *[F.sum(w * F.col(x)).alias(f"__m_{x}") for x in xs], *[F.sum(w * F.col(x) * F.col(x)).alias(f"__q_{x}") for x in xs]
+    )
+
+
+def risen_sums(edges: DataFrame, moments: DataFrame, xs: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``column_sums`` from the moments of the tips below each node, as ``tip_moments`` gives them.
+
+    Weights and levels of the nodes do not depend on the columns, so they are
+    found once; then each level is one map-side combined aggregate over its
+    children, one row a node and key.
     """
     by = ["tree_id", *keys]
     zero = edges.where("is_tip").select("tree_id", "label", F.lit(0.0).alias("__zero"))
     shape = cut_lineage(node_sums(edges, zero, ["__zero"]).select("tree_id", "node", "up", "weight", "__v", "level"))
     above = shape.select("tree_id", F.col("node").alias("up"), F.col("level").alias("__at"))
     shape = cut_lineage(shape.join(above, ["tree_id", "up"], "left"))
-    tips = edges.where("is_tip").select("tree_id", "label", F.col("parent").alias("up"), F.col("length").alias("__v")).join(above, ["tree_id", "up"])
-    carried = [*by, F.col("up").alias("node"), "__v", "__at", *xs]
-    waiting = [cut_lineage(values.join(tips, ["tree_id", "label"]).select(*carried))]
+    summed = [f"__{kind}_{x}" for kind in "mq" for x in xs]
+    at = above.withColumnRenamed("up", "node")
+    waiting = [cut_lineage(moments.join(at, ["tree_id", "node"]).select(*by, "node", "__at", *summed))]
     done = None
     for number in range((shape.agg(F.max("level")).first()[0] or 0) + 1):
         children = reduce(DataFrame.unionByName, waiting).where(F.col("__at") == number)
-        w = 1 / F.col("__v")
-        moments = children.groupBy(*by, "node").agg(
-            *[F.sum(w * F.col(x)).alias(f"__m_{x}") for x in xs], *[F.sum(w * F.col(x) * F.col(x)).alias(f"__q_{x}") for x in xs]
-        )
-        level = moments.join(shape.where(F.col("level") == number), ["tree_id", "node"]).select(
+        added = children.groupBy(*by, "node").agg(*[F.sum(c).alias(c) for c in summed])
+        level = added.join(shape.where(F.col("level") == number), ["tree_id", "node"]).select(
             *by, "up", "weight", "__v", "__at", *[(F.col(f"__m_{x}") / F.col("weight")).alias(x) for x in xs],
             *[(F.col(f"__q_{x}") - F.col(f"__m_{x}") * F.col(f"__m_{x}") / F.col("weight")).alias(f"q_{x}") for x in xs],
         )
         level = cut_lineage(level)
         done = level if done is None else done.unionByName(level)
-        waiting.append(level.where(F.col("up").isNotNull()).select(*carried))
+        w = 1 / F.col("__v")
+        waiting.append(level.where(F.col("up").isNotNull()).select(
+            *by, F.col("up").alias("node"), "__at",
+            *[(w * F.col(x)).alias(f"__m_{x}") for x in xs], *[(w * F.col(x) * F.col(x)).alias(f"__q_{x}") for x in xs],
+        ))
     root = F.col("up").isNull()
     return done.groupBy(*by).agg(
         F.max(F.when(root, F.col("weight"))).alias("root_weight"), *[F.max(F.when(root, F.col(x))).alias(f"root_{x}") for x in xs],

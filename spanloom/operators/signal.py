@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.tails import chi2_1_p_value, f_p_value
-from spanloom.operators.hierarchy import centred, column_sums, heights, keep_tips, scale_by_lambda, tree_sums
+from spanloom.operators.hierarchy import centred, heights, keep_tips, risen_sums, scale_by_lambda, tip_moments, tree_sums
+from spanloom.operators.joins import join_null_safe
 from spanloom.operators.ranks import row_numbers
 from spanloom.operators.reshape import to_long
 from spanloom.session import cut_lineage
 
 ORDERS_A_ROW = 32
+#: Rows of orders that one task draws together from the values of one tree.
+ROWS_A_DRAW = 4
+#: Values of a tree that one task orders; the orders of larger trees are sorted by Spark, a row per value and order.
+MOST_DRAWN = 200_000
 
 
 def cut_to(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
@@ -25,16 +32,18 @@ def cut_to(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str])
     return cut_lineage(kept.join(lone, "tree_id", "left_anti"))
 
 
-def signal_k(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str], nsim: int = 10_000, seed: int = 1) -> DataFrame:
+def signal_k(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str], nsim: int = 10_000, seed: int = 1, most_drawn: int = MOST_DRAWN) -> DataFrame:
     """Blomberg's K per tree and trait with a permutation p-value.
 
     For each trait the trees are cut to the tips that have a value. The
     observed order counts as one of the ``nsim`` orders, and p is the share of
     orders whose K reaches the observed one; both are null for a trait without
-    spread. Orders follow seeded hashes, so reruns agree. The upward pass has a
-    row per node and ``ORDERS_A_ROW`` orders, whatever the depth.
+    spread. Orders follow seeded hashes, so reruns agree. The values go once to
+    each group of orders, where a tree of up to ``most_drawn`` values is ordered
+    and summed to the nodes above its tips; the upward pass has a row per inner
+    node and ``ORDERS_A_ROW`` orders, whatever the depth.
     """
-    parts = [_signal_k(cut_to(edges, traits, label, [c]), traits, label, [c], nsim, seed) for c in cols]
+    parts = [_signal_k(cut_to(edges, traits, label, [c]), traits, label, [c], nsim, seed, most_drawn) for c in cols]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -45,26 +54,108 @@ def signal_by_stage(edges: DataFrame, traits: DataFrame, label: str, cols: Seque
     return reduce(DataFrame.unionByName, parts)
 
 
-def _signal_k(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str], nsim: int, seed: int) -> DataFrame:
-    tips = edges.where("is_tip").select("tree_id", F.col("label").alias("tip"))
-    values = to_long(tips.join(traits.withColumnRenamed(label, "tip"), "tip"), ["tree_id", "tip"], cols, "trait", "x")
-    values = centred(values.dropna(subset=["x"]), ["x"], ["trait"]).drop("__mean_x")
-    values = cut_lineage(row_numbers(values, ["tree_id", "trait"], ["tip"], "idx"))
+def draw(slots: int, nsim: int, xs: Sequence[str]):
+    """Moments of the tips below each node for a group of orders, from rows sorted by tree, trait, group, tip and idx."""
+
+    def summed(rows: pa.Table, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        number, idx, x, w = (rows.column(c).to_numpy() for c in ("draw", "idx", "x", "__w"))
+        tip, node = (rows.column(c).combine_chunks().dictionary_encode() for c in ("tip", "node"))
+        at, known = node.indices.to_numpy(zero_copy_only=False), len(node.dictionary)
+        value = np.flatnonzero(np.concatenate(([True], idx[1:] != idx[:-1])))
+        tip = tip.indices.to_numpy()[value]
+        starts = np.flatnonzero(np.concatenate(([True], tip[1:] != tip[:-1])))
+        # a tip's branches come with each of its values: those of the first count
+        run = np.searchsorted(value[starts], np.arange(len(idx)), side="right") - 1
+        branch = np.flatnonzero((idx == idx[value[starts]][run]) & ~np.isnan(at))
+        at, run, w = at[branch].astype(np.int64), run[branch], w[branch]
+        drawn, keys = x[value][np.argsort(idx[value])], keys[value]
+        sums = np.zeros((2, keys.shape[1], known))
+        shuffled = np.empty(len(value))
+        for j in range(keys.shape[1]):
+            shuffled[np.argsort(keys[:, j], kind="stable")] = drawn
+            mine = np.maximum.reduceat(shuffled, starts)[run]
+            sums[0, j] = np.bincount(at, weights=w * mine, minlength=known)
+            sums[1, j] = np.bincount(at, weights=w * mine * mine, minlength=known)
+        same = [rows.column(c).combine_chunks().take(pa.array(np.zeros(known, np.int64))) for c in ("tree_id", "trait")]
+        first = int(number[0]) * slots * ROWS_A_DRAW
+        for part in range(0, keys.shape[1], slots):
+            if first + part < nsim:
+                live = [part + i if first + part + i < nsim else None for i in range(slots)]
+                block = pa.array(np.full(known, (first + part) // ORDERS_A_ROW))
+                moments = [pa.nulls(known, pa.float64()) if j is None else pa.array(sums[kind, j]) for kind in (0, 1) for j in live]
+                yield pa.RecordBatch.from_arrays([*same, block, node.dictionary, *moments], names=["tree_id", "trait", "block", "node", *[f"__{k}_{x}" for k in "mq" for x in xs]])
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("keys").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+
+        def close():
+            light = pa.Table.from_batches([b.drop_columns(["keys"]) for b in held])
+            return summed(light, np.concatenate([matrix(b) for b in held]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = [batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy() for c in ("tree_id", "trait", "draw")]
+            cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                key = tuple(batch.column(c)[int(a)].as_py() for c in ("tree_id", "trait", "draw"))
+                if held and key != last:
+                    yield from close()
+                    held = []
+                held.append(batch.slice(int(a), int(b - a)))
+                last = key
+        if held:
+            yield from close()
+
+    return run
+
 
+def drawn_moments(edges: DataFrame, values: DataFrame, nsim: int, seed: int, xs: Sequence[str]) -> DataFrame:
+    """``tree_id, trait, block, node`` with the moments of all orders: a value goes once to each group of orders."""
+    together = len(xs) * ROWS_A_DRAW
+    # a tip listed more than once below a node weighs as often
+    branches = edges.where("is_tip").groupBy("tree_id", F.col("label").alias("tip"), F.col("parent").alias("node")).agg(F.sum(1 / F.col("length")).alias("__w"))
+    rows = values.join(branches, ["tree_id", "tip"]).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit((nsim - 1) // together))))
+    at = ["tree_id", "trait", "draw"]
+    rows = rows.repartition(*at).sortWithinPartitions(*at, "tip", "idx", "node")
+    perms = [F.col("draw") * together + i for i in range(min(nsim, together))]
+    keys = F.array(*[F.when(p == 0, F.col("idx")).otherwise(F.xxhash64(F.lit(seed), p, "tip")) for p in perms])
+    rows = rows.select(*at, "tip", "idx", "x", "node", "__w", keys.alias("keys"))
+    kinds = dict(rows.dtypes)
+    sums = ", ".join(f"__{k}_{x} double" for k in "mq" for x in xs)
+    return rows.mapInArrow(draw(len(xs), nsim, xs), f"tree_id {kinds['tree_id']}, trait string, block long, node {kinds['node']}, {sums}")
+
+
+def sorted_moments(edges: DataFrame, values: DataFrame, nsim: int, seed: int, xs: Sequence[str]) -> DataFrame:
+    """As ``drawn_moments`` for trees of any size, with a row per value and order."""
     orders = values.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(nsim - 1))))
     key = F.when(F.col("perm") == 0, F.col("idx")).otherwise(F.xxhash64(F.lit(seed), "perm", "tip"))
     orders = row_numbers(orders.withColumn("__key", key), ["tree_id", "trait", "perm"], ["__key", "tip"], "pick")
     drawn = values.select("tree_id", "trait", F.col("idx").alias("pick"), F.col("x").alias("__x"))
     shuffled = orders.select("tree_id", "trait", "perm", "tip", "pick").join(drawn, ["tree_id", "trait", "pick"])
-
-    # A row per tip and block of orders, an order a column.
-    slots = range(min(nsim, ORDERS_A_ROW))
-    xs = [f"x{i}" for i in slots]
     width = F.lit(ORDERS_A_ROW)
     blocks = shuffled.groupBy("tree_id", "trait", F.floor(F.col("perm") / width).alias("block"), F.col("tip").alias("label")).agg(
-        *[F.max(F.when(F.col("perm") % width == i, F.col("__x"))).alias(x) for i, x in zip(slots, xs)]
+        *[F.max(F.when(F.col("perm") % width == i, F.col("__x"))).alias(x) for i, x in enumerate(xs)]
     )
-    sums = column_sums(edges, blocks, xs, ["trait", "block"])
+    return tip_moments(edges, blocks, xs, ["trait", "block"])
+
+
+def _signal_k(edges: DataFrame, traits: DataFrame, label: str, cols: Sequence[str], nsim: int, seed: int, most_drawn: int) -> DataFrame:
+    tips = edges.where("is_tip").select("tree_id", F.col("label").alias("tip"))
+    values = to_long(tips.join(traits.withColumnRenamed(label, "tip"), "tip"), ["tree_id", "tip"], cols, "trait", "x")
+    values = centred(values.dropna(subset=["x"]), ["x"], ["trait"]).drop("__mean_x")
+    values = cut_lineage(row_numbers(values, ["tree_id", "trait"], ["tip"], "idx"))
+
+    # A row per node and block of orders, an order a column.
+    xs = [f"x{i}" for i in range(min(nsim, ORDERS_A_ROW))]
+    large = cut_lineage(values.groupBy("tree_id", "trait").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most_drawn))
+    moments = drawn_moments(edges, join_null_safe(values, large, ["tree_id", "trait"], "left_anti"), nsim, seed, xs)
+    if not large.isEmpty():
+        moments = moments.unionByName(sorted_moments(edges, join_null_safe(values, large, ["tree_id", "trait"], "left_semi"), nsim, seed, xs))
+    sums = risen_sums(edges, moments, xs, ["trait", "block"])
 
     top = heights(edges).withColumnRenamed("node", "child").join(edges.where("is_tip"), ["tree_id", "child"])
     scale = top.groupBy("tree_id").agg(F.sum("height").alias("__diag"), F.count(F.lit(1)).alias("n"))

@@ -127,3 +127,17 @@ def test_permutation_p_by_plain_formulas(spark):
     assert got["v"].k == pytest.approx(ks[0])
     assert got["v"].p_value == pytest.approx(np.mean([v >= ks[0] * (1 - 1e-12) for v in ks.values()]))
     assert got["flat"].k is None and got["flat"].p_value is None
+
+
+def test_drawn_orders_equal_sorted_ones(spark):
+    """Trees above ``most_drawn`` are sorted by Spark; both ways draw the same orders, and a value is not spread over them."""
+    text = "((A:1.5,B:1,E:0.5):1,((C:2,D:1):0.7,F:2.2):0.4);"
+    traits = spark.createDataFrame([(t, v) for t, v in zip("ABCDEFF", (1.0, 2.5, -1.0, 0.3, 4.0, 2.0, 2.0))], "s string, v double")
+    a, b = (G.signal_k(tree(spark, text), traits, "s", ["v"], 300, 5, most).first() for most in (G.MOST_DRAWN, 3))
+    assert a.k == pytest.approx(b.k) and a.p_value == b.p_value
+    values = spark.range(1, 61).select(F.lit("t").alias("tree_id"), F.lit("v").alias("trait"), F.concat(F.lit("s"), "id").alias("tip"), F.col("id").alias("idx"), F.sin("id").alias("x"))
+    edges = values.select("tree_id", F.lit("r").alias("parent"), F.col("tip").alias("child"), F.lit(1.0).alias("length"), F.col("tip").alias("label"), F.lit(True).alias("is_tip"))
+    moments = G.drawn_moments(edges, values, 300, 5, [f"x{i}" for i in range(32)]).toPandas()
+    assert sorted(moments["block"]) == list(range(10))  # a row per node and 32 orders, not per value
+    sums = moments[[f"__m_x{i}" for i in range(32)]].to_numpy().ravel()
+    assert np.isnan(sums).sum() == 20 and np.allclose(sums[~np.isnan(sums)], np.sin(np.arange(1, 61)).sum())
