@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.hierarchy import heights, keep_tips
@@ -75,79 +75,108 @@ def tree_moments(
 
 
 def levelled(tree: DataFrame) -> DataFrame:
-    """``tree_id, node, up, level, branch``: steps from the root, and lengths as shares of the tree's height."""
-    up = tree.select("tree_id", F.col("child").alias("node"), F.col("parent").alias("up"), F.coalesce("length", F.lit(0.0)).alias("length"))
+    """``tree_id, node, up, level, branch, is_inner``: steps from the root, and lengths as shares of the tree's height."""
+    up = tree.select(
+        "tree_id", F.col("child").alias("node"), F.col("parent").alias("up"), F.coalesce("length", F.lit(0.0)).alias("length"), (~F.col("is_tip")).alias("is_inner")
+    )
     steps = heights(tree.withColumn("length", F.lit(1.0))).withColumnRenamed("height", "level")
     tall = heights(tree).groupBy("tree_id").agg(F.max("height").alias("tall"))
     joined = up.join(steps, NODE).join(tall, "tree_id")
     length = F.when(F.col("up").isNotNull(), F.col("length") / F.col("tall")).otherwise(0.0)
-    return cut_lineage(joined.select(*NODE, "up", F.col("level").cast("int").alias("level"), length.alias("branch")))
+    return cut_lineage(joined.select(*NODE, "up", F.col("level").cast("int").alias("level"), length.alias("branch"), "is_inner"))
 
 
-def upward(models: TreeModels, grid: DataFrame) -> tuple[DataFrame, int]:
-    """Weights and sums of all nodes below their branches, one row per response, node and point, and the number of columns.
+def _below(own: DataFrame, k: int) -> DataFrame:
+    """Nodes as their parents see them: weight, sums and log determinant below the branch, with derivatives by the log ratio.
 
-    ``w, dw`` and the arrays ``s, ds`` are as the node's parent sees them, ``w0,
-    s0`` as the node itself; ``share`` and ``slope`` hold what the node adds to the
-    cross products, ``lv`` and ``dlv`` to the log determinant. A root with branches has no row.
+    ``w0, dw0``, ``s0_…, ds0_…`` are those of the node itself; ``w, dw, s_…, ds_…, lv, dlv`` follow.
     """
-    k = len(models.names) + 1
+    b, w, dw = F.col("branch") * F.exp("log_ratio"), F.col("w0"), F.col("dw0")
+    own = own.withColumn("__b", b).withColumn("f", 1 / (1 + F.col("__b") * w))
+    own = own.withColumn("df", -F.col("f") * F.col("f") * F.col("__b") * (w + dw))
+    f, df = F.col("f"), F.col("df")
+    return own.withColumns({
+        "w": w * f, "dw": dw * f + w * df, "lv": F.log1p(F.col("__b") * w), "dlv": f * F.col("__b") * (w + dw),
+        **{f"s_{i}": F.col(f"s0_{i}") * f for i in range(k)}, **{f"ds_{i}": F.col(f"ds0_{i}") * f + F.col(f"s0_{i}") * df for i in range(k)},
+    }).drop("__b", "f", "df")
+
+
+def _passed_on(nodes: DataFrame, k: int, tips: bool) -> DataFrame:
+    """What nodes give their parents, one row per response, point and parent, in one map-side combined aggregate.
+
+    ``w0, dw0, s0_…, ds0_…`` are the sums the parent sees, ``lv, dlv, share_…,
+    slope_…`` what the nodes themselves add to the log determinant and the cross
+    products. A tip's own products are those between the rows of its group,
+    counted with the moments.
+    """
+
+    def product(i, j, a="s_", weight="w"):
+        return F.col(f"{a}{i}") * F.col(f"{a}{j}") / F.col(weight)
+
+    def slope(i, j, a="s", weight="w"):
+        x, y, dx, dy = F.col(f"{a}_{i}"), F.col(f"{a}_{j}"), F.col(f"d{a}_{i}"), F.col(f"d{a}_{j}")
+        return (dx * y + x * dy - x * y * F.col(f"d{weight}") / F.col(weight)) / F.col(weight)
+
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    points = cut_lineage(grid.select("response", "log_ratio").distinct())
-    deepest = models.nodes.agg(F.max("level")).first()[0] or 0
-    own = models.tips.join(models.nodes, NODE).join(points, "response")
-    nothing = F.array(*[F.lit(0.0)] * k)
-    tips = own.select(
-        "response", "log_ratio", *NODE, "up", "level", "branch", F.lit(True).alias("tip"), F.col("size").cast("double").alias("w0"), F.lit(0.0).alias("dw0"),
-        F.col("s").alias("s0"), nothing.alias("ds0"),
+    if tips:
+        share, steep = [product(i, j) for i, j in pairs], [slope(i, j) for i, j in pairs]
+    else:
+        share = [product(i, j) - product(i, j, "s0_", "w0") for i, j in pairs]
+        steep = [slope(i, j) - slope(i, j, "s0", "w0") for i, j in pairs]
+    return nodes.groupBy("response", "log_ratio", "tree_id", F.col("up").alias("node")).agg(
+        *[F.sum(c).alias(f"{c}0") for c in ("w", "dw")], *[F.sum(f"{c}_{i}").alias(f"{c}0_{i}") for c in ("s", "ds") for i in range(k)],
+        F.sum("lv").alias("lv"), F.sum("dlv").alias("dlv"),
+        *[F.sum(c).alias(f"share_{n}") for n, c in enumerate(share)], *[F.sum(c).alias(f"slope_{n}") for n, c in enumerate(steep)],
     )
-    tips = cut_lineage(tips)
-    done, risen = None, None
-    w, dw, s, ds = F.col("w0"), F.col("dw0"), F.col("s0"), F.col("ds0")
-    # a lone tip is its own root, without a branch
-    for level in range(deepest, -1, -1):
-        here = tips.where(F.col("level") == level)
-        if level and risen is not None:
-            here = here.unionByName(risen)
-        b = F.col("branch") * F.exp("log_ratio")
-        here = here.withColumn("f", 1 / (1 + b * w)).withColumn("df", -F.col("f") * F.col("f") * b * (w + dw))
-        f, df = F.col("f"), F.col("df")
-        here = here.withColumns({
-            "w": w * f, "dw": dw * f + w * df, "s": F.transform(s, lambda x: x * f), "ds": F.zip_with(s, ds, lambda x, d: d * f + x * df),
-            "lv": F.log1p(b * w), "dlv": f * b * (w + dw),
-        })
-
-        def product(i, j, a="s", weight="w"):
-            return F.col(a)[i] * F.col(a)[j] / F.col(weight)
-
-        def slope(i, j, a="s", weight="w"):
-            return (F.col(f"d{a}")[i] * F.col(a)[j] + F.col(a)[i] * F.col(f"d{a}")[j] - F.col(a)[i] * F.col(a)[j] * F.col(f"d{weight}") / F.col(weight)) / F.col(weight)
-
-        # a tip's own products are those between the rows of its group, counted with the moments
-        less = F.when(F.col("tip"), 0.0).otherwise(1.0)
-        here = here.withColumns({
-            "share": F.array(*[product(i, j) - less * product(i, j, "s0", "w0") for i, j in pairs]),
-            "slope": F.array(*[slope(i, j) - less * slope(i, j, "s0", "w0") for i, j in pairs]),
-        })
-        here = cut_lineage(here.drop("f", "df", "ds0", "dw0", "tip"))
-        done = here if done is None else done.unionByName(here)
-        sums = here.groupBy("response", "log_ratio", "tree_id", F.col("up").alias("node")).agg(
-            F.sum("w").alias("w0"), F.sum("dw").alias("dw0"),
-            F.array(*[F.sum(F.col("s")[i]) for i in range(k)]).alias("s0"), F.array(*[F.sum(F.col("ds")[i]) for i in range(k)]).alias("ds0"),
-        )
-        risen = sums.join(models.nodes, NODE).where("up is not null").select(
-            "response", "log_ratio", *NODE, "up", "level", "branch", F.lit(False).alias("tip"), "w0", "dw0", "s0", "ds0"
-        )
-    return done, k
+
+
+def tip_rows(models: TreeModels) -> DataFrame:
+    """The tips of each response with their nodes, weights and sums; a lone tip is its own root, without a branch."""
+    return models.tips.join(models.nodes.drop("is_inner"), NODE).select(
+        "response", *NODE, "up", "level", "branch", F.col("size").cast("double").alias("w0"),
+        *[F.col("s")[i].alias(f"s0_{i}") for i in range(len(models.names) + 1)],
+    )
+
+
+def upward(models: TreeModels, points: DataFrame) -> tuple[DataFrame | None, DataFrame, int]:
+    """One pass from the tips to the root at all ``points(response, log_ratio)``.
+
+    Returns the inner nodes as their parents see them, if there are any below the
+    roots; what all nodes added, one row per response, point and parent; and the
+    number of columns. Only inner nodes are kept: tips at all
+    points are read once and go into the aggregate of their parents. A root with
+    branches has no row.
+    """
+    k = len(models.names) + 1
+    deepest = models.nodes.where("is_inner").agg(F.max("level")).first()[0]
+    tips = tip_rows(models).join(F.broadcast(points), "response").withColumns({"dw0": F.lit(0.0), **{f"ds0_{i}": F.lit(0.0) for i in range(k)}})
+    tips = _below(tips, k)
+    given = cut_lineage(_passed_on(tips, k, True))
+    summed = [c for c in given.columns if c.startswith(("w0", "dw0", "s0_", "ds0_"))]
+    own = given.join(models.nodes.where("is_inner").drop("is_inner"), NODE).select("response", "log_ratio", *NODE, "up", "level", "branch", *summed)
+    own = cut_lineage(own)
+    inner, added, risen = None, given, None
+    for level in range(deepest if deepest is not None else -1, 0, -1):
+        here = own.where(F.col("level") == level)
+        if risen is not None:
+            # children that are tips and children that are not
+            here = here.unionByName(risen.where(F.col("level") == level)).groupBy("response", "log_ratio", *NODE, "up", "level", "branch").agg(*[F.sum(c).alias(c) for c in summed])
+        here = cut_lineage(_below(here, k))
+        inner = here if inner is None else inner.unionByName(here)
+        given = cut_lineage(_passed_on(here, k, False))
+        added = added.unionByName(given)
+        risen = given.join(models.nodes.where("is_inner").drop("is_inner"), NODE).select("response", "log_ratio", *NODE, "up", "level", "branch", *summed)
+    return inner, added, k
 
 
 def tree_sums_at(models: TreeModels, grid: DataFrame) -> DataFrame:
     """``log_det_v, slope_v, __a, __slope`` at every row of ``grid``."""
-    nodes, k = upward(models, grid)
+    points = cut_lineage(grid.select("response", "log_ratio").distinct())
+    _, added, k = upward(models, points)
     width = k * (k + 1) // 2
-    sums = nodes.groupBy("response", "log_ratio").agg(
+    sums = added.groupBy("response", "log_ratio").agg(
         F.sum("lv").alias("log_det_v"), F.sum("dlv").alias("slope_v"),
-        F.array(*[F.sum(F.col("share")[i]) for i in range(width)]).alias("share"), F.array(*[F.sum(F.col("slope")[i]) for i in range(width)]).alias("__slope"),
+        F.array(*[F.sum(f"share_{i}") for i in range(width)]).alias("share"), F.array(*[F.sum(f"slope_{i}") for i in range(width)]).alias("__slope"),
     )
     whole = models.moments.select("response", "n_rows", "shift", "within")
     return grid.join(sums, ["response", "log_ratio"]).join(whole, "response").withColumn("__a", F.zip_with("within", "share", lambda x, y: x + y))
@@ -159,28 +188,44 @@ def tree_posterior_grid(models: TreeModels, points: int = 49, rounds: int = 4) -
 
 
 def mean_effects(grid: DataFrame, models: TreeModels) -> DataFrame:
-    """``response, spec, tree_id, node, effect``: posterior mean of every node's effect, the root's being zero."""
-    nodes, _ = upward(models, grid)
+    """``response, spec, tree_id, node, effect``: posterior mean of every node's effect, the root's being zero.
+
+    Inner nodes go down from the root, a row per point of the grid; tips are
+    last and are summed over the points as they are read.
+    """
+    inner, _, k = upward(models, cut_lineage(grid.select("response", "log_ratio").distinct()))
     used = F.create_map(*[x for s, at in models.picks.items() for x in (F.lit(s), F.array(*[F.lit(i) for i in at]))])[F.col("spec")]
-    spread = grid.select(*KEYS, "log_ratio", "weight", F.arrays_zip(used.alias("i"), "beta").alias("b"))
-    # what the effects leave of a node's sums
-    left = F.element_at("s0", -1) - F.aggregate("b", F.lit(0.0), lambda t, e: t + e.beta * F.get("s0", e.i))
+    # per column of the full design what the effects take of a node's sums
+    taken = [F.coalesce(F.get("beta", F.array_position(used, F.lit(i)).cast("int") - 1), F.lit(0.0)).alias(f"__t{i}") for i in range(k - 1)]
+    # the grid is bounded: its points for each model, numbered per response
+    order = Window.partitionBy("response").orderBy("spec", "log_ratio")
+    spread = cut_lineage(grid.select(*KEYS, "log_ratio", "weight", (F.row_number().over(order) - 1).alias("at"), *taken))
+    left = F.col(f"s0_{k - 1}") - sum((F.col(f"__t{i}") * F.col(f"s0_{i}") for i in range(k - 1)), F.lit(0.0))
     b = F.col("branch") * F.exp("log_ratio")
-    each = nodes.join(spread, ["response", "log_ratio"]).select(
-        *KEYS, "log_ratio", "weight", *NODE, "up", "level", (1 / (1 + b * F.col("w0"))).alias("f"), (b * left).alias("pull")
-    )
-    each = cut_lineage(each)
-    deepest = models.nodes.agg(F.max("level")).first()[0]
-    done = above = None
-    for level in range(deepest + 1):
-        here = each.where(F.col("level") == level)
-        if level < 2:
-            here = here.withColumn("__up", F.lit(0.0))
-        else:
-            here = here.join(above.select(*KEYS, "log_ratio", "tree_id", F.col("node").alias("up"), F.col("e").alias("__up")), [*KEYS, "log_ratio", "tree_id", "up"])
-        above = cut_lineage(here.select(*KEYS, "log_ratio", "weight", *NODE, (F.col("f") * (F.col("pull") + F.col("__up"))).alias("e")))
-        done = above if done is None else done.unionByName(above)
-    return done.groupBy(*KEYS, *NODE).agg(F.sum(F.col("weight") * F.col("e")).alias("effect"))
+    moved = (1 / (1 + b * F.col("w0"))) * (b * left + F.col("__up"))
+    done = None
+    ends = tip_rows(models)
+    if inner is not None:
+        each = inner.select("response", "log_ratio", *NODE, "up", "level", "branch", "w0", *[f"s0_{i}" for i in range(k)])
+        each = each.join(F.broadcast(spread), ["response", "log_ratio"])
+        above = None
+        for level in range(1, inner.agg(F.max("level")).first()[0] + 1):
+            here = each.where(F.col("level") == level)
+            here = here.withColumn("__up", F.lit(0.0)) if above is None else here.join(above, ["response", "at", "tree_id", "up"])
+            here = cut_lineage(here.select(*KEYS, "at", *NODE, "weight", moved.alias("e")))
+            done = here if done is None else done.unionByName(here)
+            above = here.select("response", "at", "tree_id", F.col("node").alias("up"), F.col("e").alias("__up"))
+        # a tip meets its parent once, with the effects at all points in their order
+        packed = done.groupBy("response", "tree_id", F.col("node").alias("up")).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x.e).alias("__ups")
+        )
+        ends = ends.join(packed, ["response", "tree_id", "up"], "left").join(F.broadcast(spread), "response").withColumn("__up", F.coalesce(F.get("__ups", F.col("at")), F.lit(0.0)))
+    else:
+        ends = ends.join(F.broadcast(spread), "response").withColumn("__up", F.lit(0.0))
+    every = ends.select(*KEYS, *NODE, "weight", moved.alias("e"))
+    if done is not None:
+        every = every.unionByName(done.select(*every.columns))
+    return every.groupBy(*KEYS, *NODE).agg(F.sum(F.col("weight") * F.col("e")).alias("effect"))
 
 
 def tree_grid_dic(grid: DataFrame, models: TreeModels) -> DataFrame:

@@ -164,3 +164,13 @@ def test_unknown_tips_are_refused(spark):
     df = spark.createDataFrame([("t1", "a", 1.0), ("nowhere", "b", 2.0)], "tip string, stage string, y double")
     with pytest.raises(Exception, match="not a tip"):
         T.tree_moments(df, ["y"], ["stage"], SPECS, "tip", edges)
+
+
+def test_tips_at_all_points_are_not_kept(case):
+    # one row per point and inner node; tips go into their parents' aggregate
+    _, tips, models, grid = case
+    points = grid.select("response", "log_ratio").distinct()
+    inner, added, _ = T.upward(models, points)
+    nodes = {r.node for r in inner.select("node").distinct().collect()}
+    assert nodes and not nodes & set(tips)
+    assert added.count() <= points.count() * 2 * models.nodes.where("is_inner").count()
