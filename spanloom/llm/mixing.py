@@ -6,7 +6,8 @@ from running sums over the sources in order of size by weight. Copies: a
 source is read in the order of a hash of the id, again from the start when it
 is used up, until its target is reached. Positions: a source's weight schedule
 over training time is integrated; a copy stands where the source's cumulative
-demand meets the words read before it, and the mix is sorted by that place.
+demand meets the words read before it, and documents or copies are range-sorted
+by that place.
 
 Running sums go by prefix of the hash: sums by prefix are combined before the
 shuffle and then added up, so a source with most rows is spread like any other.
@@ -73,7 +74,16 @@ def source_targets(sizes: DataFrame, weights: tuple = (1, 2, 3), most: int = MOS
     )
 
 
-def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = (1, 2, 3), most: int = MOST, schedules: dict | None = None) -> DataFrame:
+def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """What ``placed_copies`` gives, range-sorted by the position of the first copy; rows that are not taken come last."""
+    found = placed_copies(docs, doc_id, text, source, **options)
+    names = docs.columns
+    flat = found.toDF(*[f"c{i}" for i in range(len(names))], *found.columns[len(names) :])
+    at, tie = F.get("__places", F.lit(0)).asc_nulls_last(), F.col(f"c{names.index(doc_id)}")
+    return flat.repartitionByRange(at, F.xxhash64(tie)).sortWithinPartitions(at, F.xxhash64(tie), tie).toDF(*found.columns)
+
+
+def placed_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = (1, 2, 3), most: int = MOST, schedules: dict | None = None) -> DataFrame:
     """All rows with ``__size``, ``__source_size``, ``__target``, ``__copies`` and ``__places``.
 
     ``__places`` holds the training position (0 to 1) of each copy. A null text
@@ -120,7 +130,7 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed table: a row of ``docs`` as often as it is taken, in order of training position."""
     names = docs.columns
-    found = mixture(docs, doc_id, text, source, **options)
+    found = placed_copies(docs, doc_id, text, source, **options)
     spread = found.toDF(*[f"c{i}" for i in range(len(names))], "size", "source_size", "target", "copies", "places")
     spread = spread.select(*[f"c{i}" for i in range(len(names))], F.explode("places").alias("place"))
     ordered = spread.repartitionByRange(F.col("place"), F.xxhash64(f"c{names.index(doc_id)}")).sortWithinPartitions("place", f"c{names.index(doc_id)}")

@@ -78,3 +78,10 @@ def test_mix_repeats_rows_in_order(spark):
     assert M.mix(docs.limit(0)).count() == 0
     again = [r.doc_id for r in M.mix(docs).collect()]
     assert again == [r.doc_id for r in mixed.collect()]
+
+
+def test_mixture_is_sorted_by_place(spark):
+    docs = spark.createDataFrame(rows_of(4), "doc_id long, text string, source string").repartition(5)
+    firsts = [r["__places"][0] if r["__places"] else 9.0 for r in M.mixture(docs).collect()]
+    assert firsts == sorted(firsts) and len(set(firsts)) > 100
+    assert sorted(M.mixture(docs).groupBy("doc_id").count().collect(), key=str) == sorted(docs.groupBy("doc_id").count().collect(), key=str)
