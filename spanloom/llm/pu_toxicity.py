@@ -26,6 +26,8 @@ from spanloom.llm.texts import LOWER, U64, runs, span_hashes
 from spanloom.session import cut_lineage
 
 BITS = 18
+#: Marks by which texts that cannot be toxic are left out before a join.
+MARKS = 1 << 23
 SLOTS = 1 << BITS
 CHUNK = 1 << 12
 HEADS = (4, 5, 6, 7)
@@ -161,6 +163,22 @@ def fit_risk(rows: np.ndarray, at: np.ndarray, value: np.ndarray, positive: np.n
     return weights[:width], float(weights[width])
 
 
+def marked(rows: DataFrame, ids: DataFrame, marks: int = MARKS) -> DataFrame:
+    """``rows`` whose ``id`` may be among ``ids`` (column ``__of``): all of these and few others while the ids are fewer than ``marks``.
+
+    The marks are bits, 64 a row, so what is sent to every task is bounded.
+    """
+
+    def mark(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(marks))
+
+    words = ids.select(mark("__of").alias("m")).groupBy(F.shiftright("m", 6).alias("__word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(m & 63 as int))")).alias("__bits")
+    )
+    met = rows.withColumn("__m", mark("id")).join(F.broadcast(words), F.shiftright("__m", 6) == F.col("__word"))
+    return met.where(F.getbit("__bits", F.col("__m").bitwiseAND(F.lit(63)).cast("int")) == 1).select(*rows.columns)
+
+
 def learn(
     docs: DataFrame, labels: DataFrame, train: Column | None = None, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic",
     most_positive: int = MOST_POSITIVE, most_other: int = MOST_OTHER, width: int = INPUTS,
@@ -172,7 +190,7 @@ def learn(
     """
     given = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("__of")).agg(F.max(F.col(toxic).cast("int")).alias("__toxic"))
     base = docs.where(F.lit(True) if train is None else train).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    # only ids meet the labels; texts are never shuffled
+    # only ids meet the labels
     known = cut_lineage(base.select("id").join(given, F.col("id") == F.col("__of"), "left").select("id", "__toxic"))
     size = {row["__toxic"]: row["count"] for row in known.groupBy("__toxic").count().collect()}  # toxic, not toxic, unlabelled
     if not size.get(1):
@@ -190,7 +208,8 @@ def learn(
     # the parameters bound this table, so it may be sent to every task
     sample = F.broadcast(known.where(few).groupBy(F.col("id").alias("__of")).agg(F.max(positive).alias("positive")))
     picked = base.join(sample, F.col("id") == F.col("__of")).select("text", "positive")
-    toxic_texts = base.join(given.where("__toxic = 1"), F.col("id") == F.col("__of"), "left_semi").select("text", F.lit(True).alias("positive"))
+    # of the others' texts only those with a marked id meet the toxic ids
+    toxic_texts = marked(base, given.where("__toxic = 1")).join(given.where("__toxic = 1"), F.col("id") == F.col("__of"), "left_semi").select("text", F.lit(True).alias("positive"))
     sums = base.select("text", F.lit(False).alias("positive")).union(toxic_texts).mapInArrow(count_slots, "kind int, chunk int, counts binary").groupBy("kind", "chunk").applyInArrow(add_chunks, "kind int, chunk int, counts binary")
     counts = np.zeros((2, SLOTS))
     for row in sums.toLocalIterator():  # two tables of SLOTS numbers

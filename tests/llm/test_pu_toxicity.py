@@ -75,3 +75,15 @@ def test_toxic_counts_cover_the_fold(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
     whole, few = T.learn(docs, labels), T.learn(docs, labels, most_positive=40, most_other=40)
     assert (whole.inputs == few.inputs).all()
+
+
+def test_marks_keep_all_listed_texts_and_few_others(spark):
+    rows = spark.range(20_000).select((F.col("id") - 10_000).alias("id"), F.lit("t").alias("text"))
+    ids = rows.where("id % 50 = 0").select(F.col("id").alias("__of"))
+    kept = {r.id for r in T.marked(rows, ids.union(ids)).collect()}
+    assert {i for i in range(-10_000, 10_000) if i % 50 == 0} <= kept and len(kept) < 500
+    # with as many ids as marks none is lost either, and no row comes twice
+    assert T.marked(rows, rows.select(F.col("id").alias("__of")), 128).count() == 20_000
+    assert T.marked(rows, ids.limit(0)).count() == 0
+    named = spark.createDataFrame([("a", "x"), (None, "y")], "id string, text string")
+    assert [r.text for r in T.marked(named, spark.createDataFrame([("a",)], "__of string")).collect()] == ["x"]
