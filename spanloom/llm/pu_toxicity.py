@@ -208,8 +208,9 @@ def learn(
     # the parameters bound this table, so it may be sent to every task
     sample = F.broadcast(known.where(few).groupBy(F.col("id").alias("__of")).agg(F.max(positive).alias("positive")))
     picked = base.join(sample, F.col("id") == F.col("__of")).select("text", "positive")
-    # of the others' texts only those with a marked id meet the toxic ids
-    toxic_texts = marked(base, given.where("__toxic = 1")).join(given.where("__toxic = 1"), F.col("id") == F.col("__of"), "left_semi").select("text", F.lit(True).alias("positive"))
+    # An inner join, as toxic ids are distinct: a semi join would go below the marks and move all texts.
+    listed = given.where("__toxic = 1")
+    toxic_texts = marked(base, listed).join(listed, F.col("id") == F.col("__of")).select("text", F.lit(True).alias("positive"))
     sums = base.select("text", F.lit(False).alias("positive")).union(toxic_texts).mapInArrow(count_slots, "kind int, chunk int, counts binary").groupBy("kind", "chunk").applyInArrow(add_chunks, "kind int, chunk int, counts binary")
     counts = np.zeros((2, SLOTS))
     for row in sums.toLocalIterator():  # two tables of SLOTS numbers
