@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.graph import components
 from spanloom.llm.jaccard_join import left_over_links, own_sets, signature, signed_sets, verify
 from spanloom.llm.texts import U64, mix, shingles, runs
-from spanloom.session import cut_lineage
+from spanloom.session import settled
 
 WIDTH = 3
 PERCENT = 85
@@ -137,8 +137,8 @@ def pairs_of_small(percent: int):
 
     def found(node, n, sig):
         out = []
-        for d in range(1, SMALL):
-            i = np.flatnonzero(node[d:] == node[:-d]) if len(node) > d else np.zeros(0, np.int64)
+        for d in range(1, len(node)):
+            i = np.flatnonzero(node[d:] == node[:-d])
             if not len(i):
                 break
             fit = i[100 * n[i] >= percent * n[i + d]]
@@ -176,28 +176,32 @@ def like_sketches(percent: int):
 
 
 def candidates(classes: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of small nodes, and members (node, sig) of the nodes of near copies."""
+    """Pairs (a, b) of small nodes, repeated ones too, and members (node, sig) of the nodes of near copies.
+
+    The small nodes of all depths are brought together once, so the plan has one
+    shuffle of them however deep the trees are.
+    """
     light = classes.select("sig", "n", "sketch")
     entries = light.mapInArrow(branch(percent / 100, 1, trees), "node long, sig long, n long, was long")
-    pairs, near = [], []
+    small, near = [], []
     for depth in range(1, DEEPEST + 1):
         sizes = entries.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-        met = cut_lineage(entries.join(sizes, "node"))
-        small = met.where(F.col("m") <= SMALL).select("node", "n", "sig").repartition("node").sortWithinPartitions("node", "n", "sig")
-        pairs.append(small.mapInArrow(pairs_of_small(percent), "a long, b long"))
+        met = settled(entries.join(sizes, "node"))
+        small.append(met.where(F.col("m") <= SMALL).select("node", "n", "sig"))
         large = met.where(F.col("m") > SMALL)
         stays = (F.col("was") > 0) & (F.col("m") >= COHERENT * F.col("was")) if depth < DEEPEST else F.lit(True)
         near.append(large.where(stays).select("node", "sig"))
         on = large.where(~stays)
-        if not on.limit(1).count():
+        if on.isEmpty():
             break
         below = on.select("sig", "node", "m").join(light, "sig").select("sig", "n", "sketch", "node", "m")
         # counted and then met, so evaluated once
-        entries = cut_lineage(below.mapInArrow(branch(percent / 100, depth + 1), "node long, sig long, n long, was long"))
-    every, members = pairs[0], near[0]
-    for some, more in zip(pairs[1:], near[1:]):
+        entries = settled(below.mapInArrow(branch(percent / 100, depth + 1), "node long, sig long, n long, was long"))
+    every, members = small[0], near[0]
+    for some, more in zip(small[1:], near[1:]):
         every, members = every.union(some), members.union(more)
-    return every.distinct(), members
+    ordered = every.repartition("node").sortWithinPartitions("node", "n", "sig")
+    return ordered.mapInArrow(pairs_of_small(percent), "a long, b long"), members
 
 
 def similar_components(
@@ -214,11 +218,12 @@ def similar_components(
     is found with the chance ``recall``, a closer one with a higher chance.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = cut_lineage(base.mapInArrow(summarise(width), "doc_id long, n long, sig long, sketch binary"))
-    classes = cut_lineage(table.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    table = settled(base.mapInArrow(summarise(width), "doc_id long, n long, sig long, sketch binary"))
+    classes = settled(table.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     pairs, members = candidates(classes, percent, trees_needed(percent, recall))
-    members = cut_lineage(members.distinct())
-    stars = members.join(members.groupBy("node").agg(F.min("sig").alias("a")), "node").where("sig != a").select("a", F.col("sig").alias("b"))
+    members = members.distinct()
+    # read for the pairs and for the clusters, so evaluated once
+    stars = settled(members.join(members.groupBy("node").agg(F.min("sig").alias("a")), "node").where("sig != a").select("a", F.col("sig").alias("b")).distinct())
     sketches = classes.select("sig", "sketch")
     cold = (
         pairs.union(stars).distinct()
@@ -226,26 +231,26 @@ def similar_components(
         .join(sketches.select(F.col("sig").alias("b"), F.col("sketch").alias("y")), "b")
         .mapInArrow(like_sketches(percent), "a long, b long")
     )
-    cold = cut_lineage(cold)
+    cold = settled(cold)
     # overlapping nodes of near copies are one cluster
     clusters = components(stars).withColumnRenamed("root", "cluster")
 
     asked = cold.select(F.col("a").alias("sig")).union(cold.select("b")).union(clusters.select("node")).distinct()
-    asked = cut_lineage(asked.join(classes.select("sig", "doc_id"), "sig").select("sig", F.col("doc_id").alias("rep")))
+    asked = settled(asked.join(classes.select("sig", "doc_id"), "sig").select("sig", F.col("doc_id").alias("rep")))
     # an id may come with several texts, and a class may have no id; the signature decides
     found = base.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("sig", "text").mapInArrow(own_sets(width), "sig long, tokens binary")
     nameless = base.where("doc_id is null").select("text").mapInArrow(signed_sets(width), "sig long, tokens binary")
-    sets = cut_lineage(found.union(nameless.join(asked.where("rep is null").select("sig"), "sig", "left_semi")).dropDuplicates(["sig"]))
+    sets = settled(found.union(nameless.join(asked.where("rep is null").select("sig"), "sig", "left_semi")).dropDuplicates(["sig"]))
     links = (
         cold.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("xs")), "a")
         .join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("ys")), "b")
         .mapInArrow(verify(percent), "a long, b long")
     )
-    links = cut_lineage(links)
+    links = settled(links)
     roots = components(links)
-    more = cut_lineage(left_over_links(clusters, roots, sets, percent))
-    if more.limit(1).count():
-        roots = components(links.union(more))
+    more = settled(left_over_links(clusters, roots, sets, percent))
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
 
     named = table.select("doc_id", "n", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = named.where("n > 0").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("least"))

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.session import cut_lineage
+from spanloom.session import settled
+
+
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) that join the same nodes: each node of a batch and the smallest one it reaches within the batch."""
+    for batch in batches:
+        ids, at = np.unique(np.concatenate([batch.column(c).to_numpy() for c in (0, 1)]), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        root = np.arange(len(ids))
+        while (x := root[a] != root[b]).any():
+            low, high = np.minimum(root[a[x]], root[b[x]]), np.maximum(root[a[x]], root[b[x]])
+            np.minimum.at(root, high, low)
+            while (root != (root := root[root])).any():
+                pass
+        yield pa.RecordBatch.from_arrays([pa.array(ids[root]), pa.array(ids)], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,20 +32,21 @@ def components(edges: DataFrame) -> DataFrame:
     Each round lets a node take the smallest root of its neighbours and then
     jump to its root's root, so long chains close in a number of rounds that
     grows with the logarithm of their length. Minima are combined before each
-    shuffle, and the joins are plain equi-joins that Spark may split.
+    shuffle, and the joins are plain equi-joins that Spark may split. A round is
+    one plan and one checkpoint; both uses of ``step`` read the same shuffles.
+    What a batch of edges joins by itself is joined before the first round.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    state = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-    state = cut_lineage(state.select("node", F.least("node", "near").alias("root")))
+    trees = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(forests, "a long, b long")
+    both = settled(trees.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct())
+    state = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root"))
     while True:
         seen = both.join(state, both.b == state.node).groupBy("a").agg(F.min("root").alias("near"))
         step = state.join(seen, state.node == seen.a).select("node", "root", F.least("root", "near").alias("low"))
-        step = cut_lineage(step)
         jump = step.select(F.col("node").alias("at"), F.col("low").alias("far"))
         new = step.join(jump, step.low == jump.at).select(
             "node", F.least("low", "far").alias("root"), (F.least("low", "far") < F.col("root")).alias("moved")
         )
-        new = cut_lineage(new)
+        new = settled(new)
         state = new.select("node", "root")
-        if new.where("moved").limit(1).count() == 0:
+        if new.where("moved").isEmpty():
             return state

@@ -62,6 +62,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``; the shuffle files of ``df`` are deleted at once.
+
+    Otherwise they stay until the driver happens to collect its garbage, which
+    over many short rounds is never.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        df = df.select("*")  # a plan takes the setting when it is made
+    finally:
+        conf.set(key, before)
+    return cut_lineage(df)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has been written to."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -104,3 +104,20 @@ def test_meeting_chance_falls_slowly_and_sketch_is_whole():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d", None])], names=["doc_id", "text"])
     out = next(chosen_path.summarise(3)([batch]))
     assert out.column("n").to_pylist() == [2, 0] and len(out.column("sketch")[0].as_py()) == 4 * chosen_path.SKETCH
+
+
+def test_small_nodes_of_all_depths_meet_in_one_plan(spark, monkeypatch):
+    rng = random.Random(6)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join(shared + [f"own{i}_{k}" for k in range(25)])) for i in range(60)]
+    rows += [(100 + i, varied(rows[i][1].split(), rng, 1)) for i in range(6)]
+    plans, plain = [], chosen_path.pairs_of_small
+    monkeypatch.setattr(chosen_path, "pairs_of_small", lambda percent: plans.append(percent) or plain(percent))
+    assert run(spark, rows) == brute(rows)
+    assert len(plans) == 1
+
+
+def test_pairs_of_a_node_with_many_rows_are_whole():
+    # two nodes of like name may lie beside each other
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 40), pa.array([100] * 40), pa.array(range(40))], names=["node", "n", "sig"])
+    assert sum(b.num_rows for b in chosen_path.pairs_of_small(85)([batch])) == 40 * 39 // 2

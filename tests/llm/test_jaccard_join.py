@@ -1,9 +1,11 @@
 import random
+import time
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.llm import graph
 from spanloom.llm import jaccard_join as J
 from spanloom.llm.graph import components
 from spanloom.llm.texts import shingle_sets
@@ -97,3 +99,32 @@ def test_text_without_id_links_its_neighbours(spark):
     assert b and near(b, 2 * b) and not near(0, 2 * b)
     docs = spark.createDataFrame([(1, chain[0]), (None, chain[b]), (3, chain[2 * b])], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id) for r in J.jaccard_components(docs).collect()) == [(-1, 1), (1, 1), (3, 1)]
+
+
+def test_components_take_few_checkpoints(spark, monkeypatch):
+    cuts, plain = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: cuts.append(1) or plain(df))
+    # hubs in a chain, and loose pairs; names fall along the chain
+    hubs = [(1000 - 10 * h, 1000 - 10 * h + k) for h in range(50) for k in range(1, 11)]
+    loose = [(2000 + 2 * i, 2001 + 2 * i) for i in range(50)]
+    want = {n: 510 for e in hubs for n in e} | {n: a for a, b in loose for n in (a, b)}
+    for parts, most in ((1, 2), (7, 8)):
+        cuts.clear()
+        got = components(spark.createDataFrame(hubs + loose, "a long, b long").repartition(parts)).collect()
+        assert {r.node: r.root for r in got} == want and len(got) == len(want)
+        assert len(cuts) <= most, (parts, len(cuts))
+
+
+def test_shuffle_files_of_rounds_are_deleted(spark):
+    def kept():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+    before, key = kept(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    as_set = spark.conf.get(key)
+    out = components(spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 5).alias("b")).repartition(5))
+    until = time.time() + 20
+    while kept() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not kept() - before and spark.conf.get(key) == as_set
+    assert {(r.node, r.root) for r in out.collect()} == {(i, i % 5) for i in range(1005)}
