@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.graph import components
 from spanloom.llm.texts import U64, mix, shingle_sets
-from spanloom.session import cut_lineage
+from spanloom.session import settled
 
 WIDTH = 5
 PERCENT = 75
@@ -292,7 +292,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    first = cut_lineage(base.mapInArrow(summarise(width), "doc_id long, n long, sig long, parts binary, chunk int, counts binary"))
+    first = settled(base.mapInArrow(summarise(width), "doc_id long, n long, sig long, parts binary, chunk int, counts binary"))
     table = first.where("chunk is null").select("doc_id", "n", "sig", "parts")
     sums = first.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add_counts, "chunk int, counts binary")
     counts = np.zeros(SLOTS, dtype="<u4")
@@ -302,7 +302,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     filed = base.select("text").mapInArrow(postings(width, percent, shared), "token long, n int, sig long, pos int")
     ordered = filed.repartition("token").sortWithinPartitions("token", "n", "sig")
-    found = cut_lineage(ordered.mapInArrow(meet(percent, hot), "a long, b long, hot int").where("a != b").distinct())
+    found = settled(ordered.mapInArrow(meet(percent, hot), "a long, b long, hot int").where("a != b").distinct())
 
     classes = table.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"), F.first("n").alias("n"))
     info = classes.select("sig", "parts", "n")
@@ -312,7 +312,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         .join(info.select(F.col("sig").alias("b"), F.col("parts").alias("yp"), F.col("n").alias("yn")), "b")
         .mapInArrow(suffix_filter(percent), "a long, b long")
     )
-    cold = cut_lineage(cold)
+    cold = settled(cold)
     stars = found.where("hot = 1").select("a", "b")
     clusters = components(stars).withColumnRenamed("root", "cluster")
 
@@ -324,18 +324,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # classes without any id are found by signature
     nameless = base.where("doc_id is null").select("text").mapInArrow(signed_sets(width), "sig long, tokens binary")
     sets = sets.union(nameless.join(asked.where("rep is null").select("sig"), "sig", "left_semi")).dropDuplicates(["sig"])
-    sets = cut_lineage(sets)
+    sets = settled(sets)
     links = (
         cold.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("xs")), "a")
         .join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("ys")), "b")
         .mapInArrow(verify(percent), "a long, b long")
     )
-    links = cut_lineage(links)
+    links = settled(links)
     roots = components(links)
-    more = cut_lineage(left_over_links(clusters, roots, sets, percent))
-    if more.limit(1).count():
-        links = links.union(more)
-        roots = components(links)
+    more = settled(left_over_links(clusters, roots, sets, percent))
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
 
     named = table.select("doc_id", "n", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     named = named.withColumn("root", F.coalesce("root", "sig"))
