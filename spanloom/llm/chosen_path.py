@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ DEEPEST = SKETCH // 2
 TREES = 64
 #: Chance to find a pair that is just similar enough, at the depth of the recall estimate.
 RECALL, RECALL_DEPTH = 0.999, 8
+#: Entries of large nodes that are branched at once.
+AT_ONCE = 1 << 18
 #: Standard deviations of a sketch's estimate that a pair may fall short of the limit.
 SLACK = 4.75
 
@@ -91,7 +94,9 @@ def summarise(width: int):
 
 
 def branch(similarity: float, depth: int, trees: int | None = None):
-    """Children (node, sig, n, was): from (sig, n, sketch) those of all roots, else from (sig, n, sketch, node, m) those of large nodes.
+    """Children (node, sig, n, was): from (sig, n, sketch) those of all roots, else from (sig, n, sketch, nodes) those of large nodes.
+
+    A class comes once, with the list of its large nodes and their sizes (node, m).
 
     A tree has an order of the sketch's places of its own and two of them for each depth, so
     no path meets a place again. The last bits of a node name its tree.
@@ -106,7 +111,6 @@ def branch(similarity: float, depth: int, trees: int | None = None):
                 continue
             sig, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u4").reshape(rows, SKETCH)
-            out = []
 
             def go(node, was, which, second):
                 tree = node % U64(TREES)
@@ -114,24 +118,27 @@ def branch(similarity: float, depth: int, trees: int | None = None):
                 place = places[tree.astype(np.int64), pick]
                 child = mix(mix(node * U64(2) + pick.astype(U64)) + tokens[which, place].astype(U64))
                 child = child - child % U64(TREES) + tree
-                out.append((child.view(np.int64), sig[which], n[which], was))
+                return child.view(np.int64), sig[which], n[which], was
 
             with np.errstate(over="ignore"):
-                everything = np.arange(rows)
                 if trees is not None:
-                    for root in range(trees):
-                        for second in (0, 1):
-                            go(np.full(rows, root, U64), np.full(rows, -1, np.int64), everything, second)
-                else:
-                    node, m = batch.column(3).to_numpy().view(U64), batch.column(4).to_numpy()
-                    go(node, m, everything, 0)
-                    more = np.flatnonzero((mix(node ^ U64(0xA5A5A5A5)) >> U64(11)).astype(np.float64) / (1 << 53) < two)
-                    go(node[more], m[more], more, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["node", "sig", "n", "was"])
+                    everything = np.arange(rows)
+                    yield children([go(np.full(rows, root, U64), np.full(rows, -1, np.int64), everything, second) for root in range(trees) for second in (0, 1)])
+                    continue
+                of = np.repeat(np.arange(rows), pc.list_value_length(batch.column(3)).to_numpy())
+                nodes = batch.column(3).flatten()
+                node, m = nodes.field("node").to_numpy().view(U64), nodes.field("m").to_numpy()
+                for some in np.split(np.arange(len(of)), range(AT_ONCE, len(of), AT_ONCE)):
+                    more = some[(mix(node[some] ^ U64(0xA5A5A5A5)) >> U64(11)).astype(np.float64) / (1 << 53) < two]
+                    yield children([go(node[some], m[some], of[some], 0), go(node[more], m[more], of[more], 1)])
 
     return run
 
 
+def children(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["node", "sig", "n", "was"])
+
+
 def pairs_of_small(percent: int):
     """Pairs of classes of like lengths that share a node, from rows (node, n, sig) sorted by them."""
 
@@ -194,7 +201,8 @@ def candidates(classes: DataFrame, percent: int, trees: int) -> tuple[DataFrame,
         on = large.where(~stays)
         if on.isEmpty():
             break
-        below = on.select("sig", "node", "m").join(light, "sig").select("sig", "n", "sketch", "node", "m")
+        # a class lists its nodes, so its sketch is joined once a depth however many they are
+        below = on.groupBy("sig").agg(F.collect_list(F.struct("node", "m")).alias("nodes")).join(light, "sig").select("sig", "n", "sketch", "nodes")
         # counted and then met, so evaluated once
         entries = settled(below.mapInArrow(branch(percent / 100, depth + 1), "node long, sig long, n long, was long"))
     every, members = small[0], near[0]

@@ -366,9 +366,46 @@ def signed_sets(width: int):
     return run
 
 
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles (cluster, token, sig, n) of members (cluster, sig, tokens)."""
+
+    def rows(found):
+        cluster, sig, sets = zip(*found)
+        n = np.array([len(x) for x in sets], dtype=np.int64)
+        table = [np.repeat(np.array(cluster, np.int64), n), np.concatenate(sets).view(np.int64), np.repeat(np.array(sig, np.int64), n), np.repeat(n, n)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in table], names=["cluster", "token", "sig", "n"])
+
+    for batch in batches:
+        found, size = [], 0
+        for cluster, sig, tokens in zip(*(batch.column(i) for i in range(3))):
+            found.append((cluster.as_py(), sig.as_py(), np.frombuffer(tokens.as_buffer(), U64)))
+            size += len(found[-1][2])
+            if size > 200_000:
+                yield rows(found)
+                found, size = [], 0
+        if found:
+            yield rows(found)
+
+
+def alone(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (sig) that link with no other of their cluster, as too many of their shingles are in none.
+
+    A partner would have at least ``percent`` of a member's shingles. Only clusters
+    that are not yet one component are read, each shingle of theirs once.
+    """
+    parted = members.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cluster")
+    tokens = members.join(parted, "cluster").select("cluster", "sig").join(sets, "sig").select("cluster", "sig", "tokens").mapInArrow(listed, "cluster long, token long, sig long, n long")
+    own = tokens.groupBy("cluster", "token").agg(F.count("*").alias("have"), F.min("sig").alias("sig"), F.min("n").alias("n")).where("have = 1")
+    return own.groupBy("sig").agg(F.count("*").alias("own"), F.min("n").alias("n")).where(100 * F.col("own") > (100 - percent) * F.col("n")).select("sig")
+
+
 def left_over_links(clusters: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of a cluster, component by component."""
-    members = clusters.join(roots, "node", "left").select(F.col("node").alias("sig"), "cluster", F.coalesce("root", "node").alias("root"))
+    """Links between different components of a cluster, component by component.
+
+    Members whose own shingles rule out any link are left out before the blocks are made.
+    """
+    members = settled(clusters.join(roots, "node", "left").select(F.col("node").alias("sig"), "cluster", F.coalesce("root", "node").alias("root")))
+    members = settled(members.join(alone(members, sets, percent), "sig", "left_anti"))
     sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("cluster").agg(
         F.max_by("root", F.struct("size", F.negate("root"))).alias("main"), F.sum("size").alias("all"), (F.sum("size") - F.max("size")).alias("out")

@@ -121,3 +121,45 @@ def test_pairs_of_a_node_with_many_rows_are_whole():
     # two nodes of like name may lie beside each other
     batch = pa.RecordBatch.from_arrays([pa.array([7] * 40), pa.array([100] * 40), pa.array(range(40))], names=["node", "n", "sig"])
     assert sum(b.num_rows for b in chosen_path.pairs_of_small(85)([batch])) == 40 * 39 // 2
+
+
+def test_a_class_in_many_large_nodes_is_joined_with_its_sketch_once(spark, monkeypatch):
+    rng = random.Random(7)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join(shared + [f"own{i}_{k}" for k in range(25)])) for i in range(60)]
+    rows += [(100 + i, varied(rows[i][1].split(), rng, 1)) for i in range(6)]
+    plain = chosen_path.branch
+
+    def once(similarity, depth, trees=None):
+        inner = plain(similarity, depth, trees)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    assert len(set(batch.column(0).to_pylist())) == batch.num_rows
+                    yield batch
+
+            yield from inner(seen())
+
+        return run
+
+    monkeypatch.setattr(chosen_path, "branch", once)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_children_do_not_depend_on_how_entries_are_dealt(monkeypatch):
+    rng = random.Random(8)
+    sketch = [rng.randbytes(4 * chosen_path.SKETCH) for _ in range(5)]
+    nodes = [[{"node": rng.randrange(2**62), "m": 30 + k} for k in range(9)] for _ in range(5)]
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("m", pa.int64())]))
+
+    def found(lists):
+        sig, n = list(range(5)), [100 + k for k in range(5)]
+        batch = pa.RecordBatch.from_arrays([pa.array(sig), pa.array(n), pa.array(sketch, pa.binary()), pa.array(lists, kind)], names=["sig", "n", "sketch", "nodes"])
+        return [row for part in chosen_path.branch(0.85, 3)([batch.slice(0, 2), batch.slice(2)]) for row in zip(*part.to_pydict().values())]
+
+    whole = sorted(found(nodes))
+    assert len(whole) >= 45 and len({r[1] for r in whole}) == 5
+    assert sorted(r for k in range(9) for r in found([[x[k]] for x in nodes])) == whole
+    monkeypatch.setattr(chosen_path, "AT_ONCE", 4)
+    assert sorted(found(nodes)) == whole

@@ -1,6 +1,7 @@
 import random
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,41 @@ def test_shuffle_files_of_rounds_are_deleted(spark):
         time.sleep(0.2)
     assert not kept() - before and spark.conf.get(key) == as_set
     assert {(r.node, r.root) for r in out.collect()} == {(i, i % 5) for i in range(1005)}
+
+
+def left_over_case(spark, sets, cluster=None):
+    members = [(sig, (cluster or {}).get(sig, 0)) for sig in sets]
+    tokens = [(sig, np.array(sorted(x), "<u8").tobytes()) for sig, x in sets.items()]
+    return spark.createDataFrame(members, "node long, cluster long"), spark.createDataFrame([], "node long, root long"), spark.createDataFrame(tokens, "sig long, tokens binary")
+
+
+def test_members_with_shingles_of_their_own_are_not_dealt_to_blocks(spark, monkeypatch):
+    # strangers that share a passage: blocks of all by all would take a row per member and block
+    sets = {i: {*range(100), *(1000 * i + k for k in range(1000, 1040))} for i in range(3 * J.BLOCK)}
+    for i in (5, 700):  # near copies of strangers, in the same cluster
+        sets[10_000 + i] = sets[i] - {50} | {999_999_000 + i}
+    monkeypatch.setattr(J, "verify_blocks", lambda percent: lambda key, table: pa.table({"a": table.column("sig"), "b": table.column("root")}))
+    dealt = [r.a for r in J.left_over_links(*left_over_case(spark, sets), 75).collect()]
+    assert set(dealt) == {5, 700, 10_005, 10_700} and len(dealt) < 3 * 4
+    monkeypatch.undo()
+    assert {(min(r), max(r)) for r in J.left_over_links(*left_over_case(spark, sets), 75).collect()} == {(5, 10_005), (700, 10_700)}
+
+
+def test_left_over_links_are_those_of_brute_force(spark):
+    draw, percent = random.Random(5), 75
+    for size in (40, 41):  # own shingles from none to just over the limit, and on it
+        sets, base = {}, set(range(size))
+        for i in range(1, 60):
+            gone = set(draw.sample(sorted(base), draw.randrange(0, 16)))
+            sets[i] = base - gone | {1000 * i + k for k in range(len(gone))}
+        cluster = {i: i % 2 for i in sets}
+        found = J.left_over_links(*left_over_case(spark, sets, cluster), percent)
+        got = {r.sig: r.root for r in components(found).selectExpr("node AS sig", "root").collect()}
+        want = {i: i for i in sets}
+        for _ in sets:
+            for i in sets:
+                for j in sets:
+                    both = len(sets[i] & sets[j])
+                    if i % 2 == j % 2 and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        want[i] = want[j] = min(want[i], want[j])
+        assert {i: got.get(i, i) for i in sets} == want
