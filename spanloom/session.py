@@ -57,9 +57,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
+    """Reliable checkpoint in the shared folder; neither the plan nor an ever longer estimate of its size is kept."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return _estimated(df.checkpoint())
+
+
+def _estimated(df: DataFrame) -> DataFrame:
+    """``df``, a checkpoint, with no larger an estimate of its size than that of an unknown table.
+
+    Spark takes a join to be as large as the product of its sides and keeps that at
+    a checkpoint. A table joined with itself every round doubles the digits of its
+    estimate each time, which fills the driver's memory after some 20 rounds.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    try:
+        if plan.stats().sizeInBytes() < 1 << 63:
+            return df
+    except ValueError:  # Python reads no number of more than 4,300 digits
+        pass
+    java = df.sparkSession._jvm
+    bare = plan.copy(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(),
+        df.sparkSession._jsparkSession, java.scala.Option.empty(), java.scala.Option.apply(plan.constraints()),
+    )
+    return type(df)(java.org.apache.spark.sql.classic.Dataset.ofRows(df.sparkSession._jsparkSession, bare), df.sparkSession)
 
 
 def settled(df: DataFrame) -> DataFrame:
