@@ -29,11 +29,12 @@ def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest node reachable.
 
-    Each round lets a node take the smallest root of its neighbours and then
-    jump to its root's root, so long chains close in a number of rounds that
-    grows with the logarithm of their length. Minima are combined before each
+    Each round lets a node take the smallest root of its neighbours, its root
+    the smallest that any of its nodes has met, and then jumps to the root's
+    root, so long chains close in a number of rounds that grows with the
+    logarithm of their length, whatever the order of their ids. Minima are combined before each
     shuffle, and the joins are plain equi-joins that Spark may split. A round is
-    one plan and one checkpoint; both uses of ``step`` read the same shuffles.
+    one plan and one checkpoint; all uses of ``met`` and ``step`` read the same shuffles.
     What a batch of edges joins by itself is joined before the first round.
     """
     trees = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(forests, "a long, b long")
@@ -41,7 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root"))
     while True:
         seen = both.join(state, both.b == state.node).groupBy("a").agg(F.min("root").alias("near"))
-        step = state.join(seen, state.node == seen.a).select("node", "root", F.least("root", "near").alias("low"))
+        met = state.join(seen, state.node == seen.a).select("node", "root", "near")
+        hook = met.groupBy(F.col("root").alias("of")).agg(F.min("near").alias("next"))
+        step = met.join(hook, met.node == hook.of, "left").select("node", "root", F.least("root", "near", "next").alias("low"))
         jump = step.select(F.col("node").alias("at"), F.col("low").alias("far"))
         new = step.join(jump, step.low == jump.at).select(
             "node", F.least("low", "far").alias("root"), (F.least("low", "far") < F.col("root")).alias("moved")

@@ -67,6 +67,16 @@ def test_tree_rounds_keep_no_long_estimates(spark, monkeypatch):
     assert len(seen) > 10 and max(map(estimate, seen)) <= UNKNOWN
 
 
+def test_components_of_a_shuffled_chain_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr("spanloom.llm.graph.settled", lambda df: rounds.append(out := settled(df)) or out)
+    n = 300
+    ids = [(i * 7919 + 13) % 1009 for i in range(n)]
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long").repartition(n, "a")
+    assert sorted(map(tuple, components(edges).collect())) == sorted((i, min(ids)) for i in ids)
+    assert len(rounds) <= 9
+
+
 def test_component_rounds_keep_no_long_estimates(spark):
     """op9, pipeline: edges dealt so that no batch joins the chain by itself."""
     n = 60
