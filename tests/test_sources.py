@@ -1,5 +1,8 @@
 """Sources and sinks on small files."""
 
+import gzip
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +97,27 @@ def test_sinks(spark, tmp_path):
     assert L.manifest(spark, str(tmp_path / "csv"), "*.csv").where(F.length("md5") == 32).count() >= 1
 
 
+def test_manifest_reads_large_files_line_by_line(spark, tmp_path):
+    noise = bytes((i * i * 31 + i // 7) % 256 for i in range(200_000))
+    mark = b"\xef\xbb\xbf"
+    texts = {
+        "a.bin": noise, "b.bin": noise + b"\n", "c.bin": b"\n" * 50_000, "d.bin": b"no line feed" * 9_000, "e.csv": mark + b"a,b\r\n" * 9_000, "f.csv": mark + b"x\n" * 9_000 + b"y",
+        "g.csv.gz": gzip.compress(noise, mtime=0), "h i%20j.csv": b"\xff\xfe\x00" * 9_000, "k": noise[:50_000], "l.parquet": b"PAR1" + noise, "n.csv": mark, "o.bin": mark + b"\n" + mark * 9_000,
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    for whole in (0, 20_000, 1 << 20):
+        files = L.manifest(spark, str(tmp_path), whole=whole)
+        assert files.dtypes == [("file", "string"), ("bytes", "bigint"), ("md5", "string")]
+        rows = files.collect()
+        assert len(rows) == len(texts)
+        assert {r.file.rsplit("/", 1)[1]: (r.bytes, r.md5) for r in rows} == {n: (len(x), hashlib.md5(x).hexdigest()) for n, x in texts.items()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    some = L.manifest(spark, str(tmp_path), "*.bin", whole=20_000)
+    assert some.count() == 5 and "MapInArrow" in some._jdf.queryExecution().toString()  # in pieces
+
+
 def test_trees_and_text(spark, tmp_path):
     (tmp_path / "t.tre").write_text("((A:1,B:1)90:1,C:2);\n\n(D:1,E:2);\n")
     assert read_trees(spark, str(tmp_path)).groupBy("tree_id").count().count() == 2
